@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
+
+from tableflow.functions import casts
 
 # The comparison and logic signs of step expressions that Spark SQL spells
 # differently. Equality there is two-valued: null equals null and differs from everything else.
@@ -29,4 +31,4 @@ def differs(left: Column, right) -> Column:
 
 def text_number(value: Column) -> Column:
     """A number held as text, NULL where it is none; for comparisons on untyped columns."""
-    return value.try_cast("double")
+    return casts.number(value, T.DoubleType())

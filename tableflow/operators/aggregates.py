@@ -51,8 +51,7 @@ def _expression(df: DataFrame, agg: Agg, nulls: str) -> Column:
     value, dtype = names.col(found), df.schema[found].dataType
     if nulls == "zero":
         return _NUMERIC[function](casts.zero_filled(value, dtype))
-    number = value.try_cast("double") if casts.numeric_source(dtype) else F.lit(None).cast("double")
-    return _NUMERIC[function](number)
+    return _NUMERIC[function](casts.as_double(value, dtype))
 
 
 def aggregate(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -57,21 +59,27 @@ def rejects(df: DataFrame, fields: Fields) -> DataFrame:
 
     Columns: those of ``df``, then ``reject_field``, ``reject_value``, ``reject_type``.
     """
+    checks = [
+        (casts.failed(value, dtype, target), name, value, target)
+        for name, target, value, dtype in _checks(df, fields)
+    ]
+    if not checks:
+        raise ValueError("no declared field to check")
     broken = [
         F.when(
-            casts.failed(value, dtype, target),
+            condition,
             F.struct(
                 F.lit(name).alias("field"),
                 value.cast("string").alias("value"),
                 F.lit(target).alias("type"),
             ),
         )
-        for name, target, value, dtype in _checks(df, fields)
+        for condition, name, value, target in checks
     ]
-    if not broken:
-        raise ValueError("no declared field to check")
     found = F.explode(F.array_compact(F.array(*broken))).alias("__reject")
-    return df.select(*[names.col(c) for c in df.columns], found).select(
+    # Sound rows, normally almost all, leave before any array is built.
+    bad = df.where(reduce(or_, [condition for condition, *_ in checks]))
+    return bad.select(*[names.col(c) for c in df.columns], found).select(
         *[names.col(c) for c in df.columns],
         F.col("__reject.field").alias("reject_field"),
         F.col("__reject.value").alias("reject_value"),

@@ -55,7 +55,7 @@ def rename(df: DataFrame, mapping: Mapping_) -> DataFrame:
     clash = [to for to in new.values() if to in kept]
     if clash or len(set(new.values())) < len(new):
         raise ValueError(f"rename: target name used twice: {clash or list(new.values())}")
-    return df.withColumnsRenamed(new)
+    return df.toDF(*[new.get(c, c) for c in df.columns])
 
 
 def type_cast(df: DataFrame, targets: Mapping_, strict: bool = False) -> DataFrame:

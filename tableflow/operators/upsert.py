@@ -36,20 +36,20 @@ def upsert(
         return base.unionByName(batch.select(*_shared(base, batch)), allowMissingColumns=True)
     names.require(base, keys, "upsert base")
     names.require(batch, keys, "upsert batch")
-    if order_by is not None:
-        batch = last_per_key(batch, keys, list(order_by))
-    elif not unique_keys:
+    if order_by is None and not unique_keys:
         raise ValueError("upsert needs order_by to choose the last row per key, or unique_keys=True")
     shared = _shared(base, batch)
+    touched = batch.select(*keys) if unique_keys else batch.select(*keys).distinct()
     if set(shared) == set(keys):
-        new = batch.select(*keys).join(base.select(*keys), keys, "left_anti")
+        new = touched.join(base.select(*keys), keys, "left_anti")
         return base.unionByName(new, allowMissingColumns=True)
+    if order_by is not None:
+        batch = last_per_key(batch, keys, list(order_by))
     if len(shared) == len(base.columns):
-        # The batch brings whole rows: what it does not touch stays, the rest is the batch. Only keys
-        # go through the join, and the base is not shuffled if the batch's keys are small.
-        return base.join(batch.select(*keys), keys, "left_anti").select(*base.columns).unionByName(
-            batch.select(*base.columns)
-        )
+        # The batch brings whole rows: what it does not touch stays, the rest is the batch. The join
+        # needs the batch's keys only, and the base is not shuffled if those are small.
+        kept = base.join(touched, keys, "left_anti").select(*base.columns)
+        return kept.unionByName(batch.select(*base.columns))
     return _merge_partial(base, batch.select(*shared), keys)
 
 

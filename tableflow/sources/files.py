@@ -104,7 +104,5 @@ def stream_csv(
 
 def read_raw(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Each file's whole content as one ``_value``."""
-    reader = spark.read.option("wholetext", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).withColumnRenamed("value", "_value")
+    # DataFrameReader.text would override the option with its own argument's default.
+    return spark.read.text(path, wholetext=True, pathGlobFilter=glob).withColumnRenamed("value", "_value")
