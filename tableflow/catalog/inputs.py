@@ -76,6 +76,23 @@ def src_glob(spark, folder):
     return files.read_folder(spark, path, "*.csv", fields=declared)
 
 
+@query("select o_orderkey, o_custkey, o_totalprice from orders")
+def src_jdbc_balanced(spark, folder):
+    """Ranges of equal row counts, although most keys lie close together at the low end."""
+    target = derby.connection(spark)
+    uneven = (F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_orderkey")).alias("CUBE")
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("O_ORDERKEY"),
+        F.col("o_custkey").alias("O_CUSTKEY"),
+        F.col("o_totalprice").alias("O_TOTALPRICE"),
+        uneven,
+    )
+    options = jdbc.jdbc_options(target)
+    orders.write.format("jdbc").options(**options).option("dbtable", "orders").save()
+    text = "select o_orderkey, o_custkey, o_totalprice, cube from orders"
+    return jdbc.read_balanced(spark, target, text, "cube", max_partitions=8).drop("cube")
+
+
 @query("select event_id, user_id, event_type, value from events")
 def src_file_stream(spark, folder):
     """Files that arrive in two drops, each taken once by two runs of the same stream."""
@@ -93,15 +110,15 @@ def src_file_stream(spark, folder):
     return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value")
 
 
-@query("select c_custkey, c_name from customer where c_nationkey = 1")
+@query("select c_custkey, c_name from customer where c_acctbal > 0")
 def src_jdbc_query(spark, folder):
     """The database runs the query; its upper-case names come back in lower case."""
     target = derby.connection(spark)
-    customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey")
+    customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
     upper = customer.toDF(*[c.upper() for c in customer.columns])
     options = jdbc.jdbc_options(target)
     upper.write.format("jdbc").options(**options).option("dbtable", "customer").save()
-    return jdbc.read_query(spark, target, "select c_custkey, c_name from customer where c_nationkey = 1")
+    return jdbc.read_query(spark, target, "select c_custkey, c_name from customer where c_acctbal > 0")
 
 
 @query("select o_orderkey, o_custkey, o_totalprice from orders")

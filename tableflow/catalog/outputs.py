@@ -37,12 +37,15 @@ def sink_csv(spark, folder):
 
 @query("select s_suppkey, s_name from supplier")
 def sink_jdbc(spark, folder):
-    """Two appends into one table."""
+    """Two appends into one table: by each task on its own, and as one statement."""
     target = derby.connection(spark)
+    execute = derby.executor(spark, target)
+    execute('CREATE TABLE supplier ("s_suppkey" BIGINT, "s_name" VARCHAR(100))')
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_name")
     poor = table(spark, folder, "supplier").where("s_acctbal < 5000").select("s_suppkey", "s_name")
     jdbc_sink.append_jdbc(poor, target, "supplier")
-    jdbc_sink.append_jdbc(supplier.join(poor, "s_suppkey", "left_anti"), target, "supplier")
+    rest = supplier.join(poor, "s_suppkey", "left_anti")
+    jdbc_sink.append_jdbc(rest, target, "supplier", execute=execute)
     return jdbc.read_query(spark, target, "select * from supplier")
 
 
@@ -261,7 +264,7 @@ def runlog_append(spark, folder):
     runs = _events_as_runs(spark, folder)
     log.append(runs.where("pipeline_name = 'click'"))
     log.append(runs.where("pipeline_name = 'view'"))
-    runs.limit(1).select(F.lit("{broken").alias("value")).write.mode("append").text(path)
+    spark.range(1).select(F.lit("{broken").alias("value")).write.mode("append").text(path)
     kept = log.read().select("id", "pipeline_name", "status", "row_count", "end_time")
     return kept.withColumn("end_time", F.col("end_time").cast("timestamp_ntz"))
 

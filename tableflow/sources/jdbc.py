@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tableflow.functions import names
 from tableflow.operators.shape import lower_names
@@ -42,18 +42,16 @@ def read_partitioned(
 
     One aggregate query fetches the bounds and the row count; there is a range per page, at most
     ``max_partitions`` of them (each is a connection to the database), and every row is in exactly
-    one, null keys included. Ranges have equal width: choose a key whose values are spread evenly,
-    such as a sequence; rows that share one key value cannot be split.
+    one, null keys included. Ranges have equal width, which suits a key whose values are spread
+    evenly, such as a sequence; for others see :func:`read_balanced`. Rows that share one key value
+    cannot be split.
     """
-    options = jdbc_options(connection)
-    bounds_query = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi, COUNT(*) AS n FROM ({query}) t"
-    low, high, rows = read_query(spark, connection, bounds_query).first()
-    if not rows or low is None:
+    bounds = _bounds(spark, connection, query, column)
+    if bounds is None:
         return read_query(spark, connection, query)
-    reader = spark.read.format("jdbc").options(**options).option("dbtable", f"({query}) t")
-    plain = reader.load()
-    found = names.find(plain, column)
-    dtype = plain.schema[found].dataType if found else None
+    low, high, rows = bounds
+    reader = _table_reader(spark, connection, query)
+    found, dtype = _key(reader.load(), column)
     if not isinstance(dtype, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         raise ValueError(f"cursor column {column} must be a number, date or timestamp, not {dtype}")
     if isinstance(dtype, T.NumericType):
@@ -66,3 +64,58 @@ def read_partitioned(
         .option("fetchsize", page_size)
     )
     return lower_names(ranged.load())
+
+
+def read_balanced(
+    spark: SparkSession,
+    connection: Mapping[str, str],
+    query: str,
+    column: str,
+    page_size: int = PAGE_SIZE,
+    max_partitions: int = 200,
+) -> DataFrame:
+    """Like :func:`read_partitioned`, with about as many rows in each range, however uneven the keys.
+
+    The range ends are quantiles of the key column, which is read once beforehand. The key must be a
+    number.
+    """
+    bounds = _bounds(spark, connection, query, column)
+    if bounds is None:
+        return read_query(spark, connection, query)
+    found, dtype = _key(_table_reader(spark, connection, query).load(), column)
+    if not isinstance(dtype, T.NumericType):
+        raise ValueError(f"cursor column {column} must be a number, not {dtype}")
+    parts = page_count(bounds[2], page_size, max_partitions)
+    keys = read_partitioned(spark, connection, query, column, page_size, max_partitions)
+    shares = [i / parts for i in range(1, parts)]
+    value = names.col(column.lower())
+    # The accuracy keeps each range within a tenth of its share.
+    cuts = keys.agg(F.percentile_approx(value, shares, parts * 10)).first()[0] if shares else []
+    options = {**jdbc_options(connection), "fetchsize": str(page_size)}
+    url = options.pop("url")
+    ranges = range_predicates(found, [str(cut) for cut in cuts or ()])
+    return lower_names(spark.read.jdbc(url, f"({query}) t", predicates=ranges, properties=options))
+
+
+def range_predicates(column: str, cuts: list[str]) -> list[str]:
+    """Conditions that split all rows at the given values; null keys go with the lowest."""
+    cuts = list(dict.fromkeys(cuts))
+    if not cuts:
+        return ["1 = 1"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{column} < {cuts[0]} OR {column} IS NULL", *inner, f"{column} >= {cuts[-1]}"]
+
+
+def _bounds(spark: SparkSession, connection: Mapping[str, str], query: str, column: str):
+    text = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi, COUNT(*) AS n FROM ({query}) t"
+    low, high, rows = read_query(spark, connection, text).first()
+    return (low, high, rows) if rows and low is not None else None
+
+
+def _table_reader(spark: SparkSession, connection: Mapping[str, str], query: str):
+    return spark.read.format("jdbc").options(**jdbc_options(connection)).option("dbtable", f"({query}) t")
+
+
+def _key(df: DataFrame, column: str) -> tuple[str, T.DataType | None]:
+    found = names.find(df, column)
+    return found, df.schema[found].dataType if found else None
