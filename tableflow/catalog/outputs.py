@@ -286,12 +286,12 @@ def runlog_recent(spark, folder):
 
 
 @query(
-    """select user_id, max(ts) as ts, cast(arg_max(event_id, ts) as bigint) as event_id from events
-    where event_type = 'purchase' group by 1"""
+    """select user_id, ts, event_id from events where event_type = 'purchase'
+    qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1"""
 )
 def runlog_last(spark, folder):
     bought = table(spark, folder, "events").where("event_type = 'purchase'")
-    return runlog.last_run(bought, "user_id", "ts", ["event_id"])
+    return runlog.last_run(bought, "user_id", ["ts", "event_id"], ["event_id"])
 
 
 @query(

@@ -500,11 +500,12 @@ def rollup_month(spark, folder):
 
 @query(
     """select r_name as region, p_type as product, cast(sum(l_quantity) as bigint) as total_quantity,
-    round(sum(l_extendedprice * (1 - l_discount)), 4) as total_revenue
+    cast(sum(cast(l_extendedprice * (1 - l_discount) as decimal(18,4))) as double) as total_revenue
     from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
     join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
     join part on l_partkey = p_partkey group by 1, 2"""
 )
 def sales_region_product(spark, folder):
     tables = [table(spark, folder, n) for n in ("lineitem", "orders", "customer", "nation", "region", "part")]
-    return _rounded(rollups.sales_by_region_product(*tables), 4, "total_revenue")
+    sales = rollups.sales_by_region_product(*tables)
+    return sales.withColumn("total_revenue", F.col("total_revenue").cast("double"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from tableflow.functions import names, predicates
 from tableflow.operators.transforms import filter_rows, project
-from tableflow.sinks.tables import VersionedTable
+from tableflow.sinks.tables import Commit, VersionedTable
 
 # Rows per page and seconds a snapshot stays current, where none are given.
 PAGE_SIZE = 500
@@ -172,17 +172,17 @@ class Snapshots:
     def _table(self, pipeline: str) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.path}/{quote(pipeline, safe='')}")
 
-    def put(self, pipeline: str, df: DataFrame):
+    def put(self, pipeline: str, df: DataFrame) -> Commit | None:
         """Store a result; an empty one keeps the previous snapshot. Returns the current commit.
 
         With ``max_rows`` a larger result leaves no snapshot at all; by default there is no limit.
         """
         commit = self._table(pipeline).replace(df, keep_if_empty=True)
-        if commit is not None and self.max_rows is not None and commit["rows"] > self.max_rows:
+        if commit is not None and self.max_rows is not None and commit.rows > self.max_rows:
             self.clear(pipeline)
         return commit
 
-    def content(self, pipeline: str, commit) -> DataFrame:
+    def content(self, pipeline: str, commit: Commit) -> DataFrame:
         """The rows of one commit, whether current or not."""
         return self._table(pipeline).read(commit)
 
@@ -197,6 +197,6 @@ class Snapshots:
         commit = table.latest()
         if commit is None:
             return None
-        age = (now or datetime.now()) - commit["committed_at"]
-        stored = table.read()
+        age = (now or datetime.now()) - commit.committed_at
+        stored = table.read(commit)
         return stored if age.total_seconds() <= self.ttl_seconds else stored.where(F.lit(False))

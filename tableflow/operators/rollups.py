@@ -53,7 +53,8 @@ def sales_by_region_product(
     """``region, product, total_quantity, total_revenue``.
 
     The region is brought down to the order before the fact table joins, so the fact table meets
-    two narrow inputs only: (order, region) and (part, type).
+    two narrow inputs only: (order, region) and (part, type). Revenue is summed in decimals, so the
+    result does not depend on the order in which rows meet.
     """
     place = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
     customer_region = customer.join(place, customer.c_nationkey == place.n_nationkey).select(
@@ -67,7 +68,7 @@ def sales_by_region_product(
         "l_orderkey",
         "l_partkey",
         "l_quantity",
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("revenue"),
     )
     joined = sold.join(order_region, sold.l_orderkey == order_region.o_orderkey).join(
         product, sold.l_partkey == product.p_partkey

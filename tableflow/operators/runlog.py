@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tableflow import storage
 from tableflow.functions import names
 from tableflow.operators.delivery import page
+from tableflow.operators.upsert import last_per_key
 from tableflow.storage import TIME_FORMAT
 
 # Entries per history page and in the recent-activity list.
@@ -126,11 +127,18 @@ def recent(log: DataFrame, count: int = RECENT_ENTRIES, order_by: Sequence[str]
 
 
 def last_run(
-    log: DataFrame, key: str = "pipeline_name", time: str = "end_time", values: Sequence[str] = ("row_count",)
+    log: DataFrame,
+    key: str = "pipeline_name",
+    order_by: Sequence[str] = ("end_time", "id"),
+    values: Sequence[str] = ("row_count",),
 ) -> DataFrame:
-    """Per pipeline the time and the values of its latest entry, combined in each task first."""
-    latest = [F.max_by(names.col(v), names.col(time)).alias(v) for v in values]
-    return log.groupBy(names.col(key).alias(key)).agg(F.max(names.col(time)).alias(time), *latest)
+    """Per pipeline its latest entry: key, time (the first order column) and values.
+
+    The order must be total, so that entries of the same moment do not change places between runs.
+    """
+    wanted = dict.fromkeys([key, order_by[0], *values])
+    latest = last_per_key(log.select(*dict.fromkeys([*wanted, *order_by])), [key], order_by)
+    return latest.select(*[names.col(c) for c in wanted])
 
 
 def executions(log: DataFrame) -> DataFrame:

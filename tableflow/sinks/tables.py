@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -12,6 +14,17 @@ from tableflow.functions import names
 from tableflow.operators.upsert import last_per_key, upsert
 
 _COMMITS = "version long, folder string, rows long, committed_at timestamp"
+
+
+class Commit(NamedTuple):
+    """A version of a table: where it is, how many rows it has, since when it is current."""
+
+    version: int
+    folder: str
+    rows: int
+    committed_at: datetime
+
+
 # Above this many touched partitions the values are joined instead of listed in the scan's filter.
 MAX_LISTED_PARTITIONS = 10_000
 
@@ -27,35 +40,35 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def latest(self):
-        """The current commit (``version, folder, rows, committed_at``) or ``None``."""
+    def latest(self) -> Commit | None:
+        """The current commit, ``None`` before the first."""
         log = storage.if_exists(lambda: self.spark.read.schema(_COMMITS).json(f"{self.path}/commits"))
-        return None if log is None else log.orderBy(F.desc("version")).first()
+        found = None if log is None else log.orderBy(F.desc("version")).first()
+        return found and Commit(*found)
 
-    def read(self, commit=None) -> DataFrame:
+    def read(self, commit: Commit | None = None) -> DataFrame:
         """The content of a commit, by default of the current one."""
         commit = commit or self.latest()
         if commit is None:
             raise ValueError(f"nothing committed at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{commit['folder']}")
+        return self.spark.read.parquet(f"{self.path}/{commit.folder}")
 
-    def replace(self, df: DataFrame, keep_if_empty: bool = False):
+    def replace(self, df: DataFrame, keep_if_empty: bool = False) -> Commit | None:
         """Make ``df`` the content; with ``keep_if_empty`` an empty ``df`` changes nothing."""
-        current = self.latest()
-        version = current["version"] + 1 if current else 1
+        return self._commit(df, self.latest(), keep_if_empty)
+
+    def _commit(self, df: DataFrame, current: Commit | None, keep_if_empty: bool = False) -> Commit | None:
+        version = current.version + 1 if current else 1
         folder = f"data/v{version}-{uuid.uuid4().hex[:8]}"
         counted = Observation()
         df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.path}/{folder}")
         rows = counted.get["rows"]
         if rows == 0 and keep_if_empty:
             return current
-        self.spark.range(1).select(
-            F.lit(version).cast("long").alias("version"),
-            F.lit(folder).alias("folder"),
-            F.lit(rows).cast("long").alias("rows"),
-            F.current_timestamp().alias("committed_at"),
-        ).write.mode("append").json(f"{self.path}/commits")
-        return self.latest()
+        done = Commit(version, folder, rows, datetime.now())
+        record = self.spark.createDataFrame([done], _COMMITS)
+        record.coalesce(1).write.mode("append").json(f"{self.path}/commits")
+        return done
 
     def upsert(
         self,
@@ -63,21 +76,21 @@ class VersionedTable:
         keys: Iterable[str] | None,
         order_by: Iterable[str | Column] | None = None,
         unique_keys: bool = False,
-    ):
+    ) -> Commit:
         """Write ``batch`` by key; see :func:`tableflow.operators.upsert.upsert`.
 
         The batch is written once to the shared folder first: it is used twice below, and a source
         query must neither run twice nor change between.
         """
-        keys = list(keys or [])
-        staged = stage(self.spark, batch)
-        if self.latest() is not None:
-            return self.replace(upsert(self.read(), staged, keys, order_by, unique_keys))
-        if keys and order_by is not None:
-            staged = last_per_key(staged, keys, list(order_by))
-        elif keys and not unique_keys:
+        keys, current = list(keys or []), self.latest()
+        order_by = None if order_by is None else list(order_by)
+        if keys and order_by is None and not unique_keys:
             raise ValueError("upsert needs order_by to choose the last row per key, or unique_keys=True")
-        return self.replace(staged)
+        if current is None:
+            first = last_per_key(batch, keys, order_by) if keys and order_by else batch
+            return self._commit(first, None)
+        staged = stage(self.spark, batch)
+        return self._commit(upsert(self.read(current), staged, keys, order_by, unique_keys), current)
 
 
 def stage(spark: SparkSession, df: DataFrame) -> DataFrame:

@@ -21,11 +21,11 @@ def test_versioned_table(spark, rows, folder):
     assert t.latest() is None
     with pytest.raises(ValueError):
         t.read()
-    assert t.replace(rows([(1,), (2,)], "a int"))["version"] == 1
+    assert t.replace(rows([(1,), (2,)], "a int")).version == 1
     before = t.read()
-    assert t.replace(t.read().where("a > 1"))["rows"] == 1
+    assert t.replace(t.read().where("a > 1")).rows == 1
     assert table(t.read()) == [(2,)] and table(before) == [(1,), (2,)]
-    assert t.replace(rows([], "a int"), keep_if_empty=True)["version"] == 2
+    assert t.replace(rows([], "a int"), keep_if_empty=True).version == 2
 
 
 def test_failed_write_commits_nothing(spark, rows, folder):
@@ -151,7 +151,7 @@ def test_snapshots(spark, rows, folder):
     assert store.get("p") is None
     commit = store.put("p", rows([(1,)], "a int"))
     assert table(store.get("p")) == [(1,)]
-    assert table(store.get("p", commit["committed_at"] + datetime.timedelta(seconds=61))) == []
+    assert table(store.get("p", commit.committed_at + datetime.timedelta(seconds=61))) == []
     store.put("p", rows([], "a int"))
     assert table(store.get("p")) == [(1,)]
     big = store.put("p", rows([(1,), (2,), (3,)], "a int"))

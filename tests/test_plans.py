@@ -334,3 +334,19 @@ def test_repeated_batch_replaces_itself(spark, rows, folder):
     batches.replace_batch(rows([(3,)], "a int"), 1, path)
     batches.replace_batch(rows([(1,), (2,)], "a int"), 0, path)
     assert table(spark.read.parquet(path).select("a")) == [(1,), (2,), (3,)]
+
+
+def test_every_batch_of_a_stream_is_a_recorded_run(spark, folder):
+    spec = orders_spec(folder)
+    inbox = pathlib.Path(folder, "inbox")
+    inbox.mkdir()
+    spec["datasource"] = {"type": "csv", "filePath": str(inbox)}
+    spec["output"] = {"storage": {"type": "parquet", "table": f"{folder}/t", "primaryKeys": ["id"]}}
+    env = plans.Environment(run_log=runlog.RunLog(spark, f"{folder}/log"))
+    (inbox / "a.csv").write_text(ORDERS, "utf-8")
+    plans.run_stream(spark, spec, f"{folder}/checkpoint", env).awaitTermination()
+    (inbox / "b.csv").write_text(ORDERS.replace("200.00", "210.00"), "utf-8")
+    plans.run_stream(spark, spec, f"{folder}/checkpoint", env).awaitTermination()
+    found = VersionedTable(spark, f"{folder}/t").read()
+    assert table(found.select("id", "total")) == [(1, 150.0), (3, 210.0), (5, 320.0)]
+    assert [r.row_count for r in env.run_log.read().orderBy("end_time").collect()] == [3, 3]
