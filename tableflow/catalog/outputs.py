@@ -207,7 +207,7 @@ def sub_fanout(spark, folder):
     result = snapshots.content("events", commit)
     out = workspace.new_folder(spark, "deliveries")
     done = delivery.fan_out(result, _event_subscriptions(), out, run="1")
-    return delivery.read_deliveries(spark, done, run="1").select("consumer", "event_id", "user_id", "value")
+    return delivery.read_deliveries(spark, done).select("consumer", "event_id", "user_id", "value")
 
 
 @query(

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
+from operator import or_
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tableflow.functions import names, predicates
-from tableflow.operators.transforms import filter_rows, project
+from tableflow.operators.transforms import condition, filter_rows, project
 from tableflow.sinks.tables import Commit, VersionedTable
 
 # Rows per page and seconds a snapshot stays current, where none are given.
@@ -29,6 +33,13 @@ class Subscription:
     fields: tuple[str, ...] = ()
     filter: str | None = None
 
+    @property
+    def label(self) -> str:
+        """A folder name: stays the same as long as the subscription does."""
+        told = json.dumps([self.consumer, self.pipeline, self.fields, self.filter])
+        readable = re.sub(r"[^A-Za-z0-9]+", "-", self.consumer)
+        return f"{readable}-{hashlib.sha256(told.encode()).hexdigest()[:12]}"
+
 
 def subscriptions(registration: Mapping) -> list[Subscription]:
     """The subscriptions of a ``{consumer: {name}, subscriptions: [..]}`` document, each once."""
@@ -103,52 +114,59 @@ class Delivery:
     rows: int
 
 
-def delivery_folder(path: str, subscription: Subscription, number: int) -> str:
-    parts = {"pipeline": subscription.pipeline, "consumer": subscription.consumer, "subscription": str(number)}
-    return "/".join([path.rstrip("/"), *[f"{k}={quote(v, safe='')}" for k, v in parts.items()]])
+def _match(df: DataFrame, subscription: Subscription) -> Column:
+    text = subscription.filter
+    wanted = condition(df, predicates.from_expression(text) if text else None)
+    return F.lit(True) if wanted is None else wanted
 
 
 def fan_out(result: DataFrame, wanted: Iterable[Subscription], path: str, run: str) -> list[Delivery]:
     """Write each subscription's view of ``result`` below ``path``, one ``run=`` partition per run.
 
-    ``result`` should be a stored table (a snapshot): each view is then a scan of its own columns
-    and row groups, and nothing is held in executor memory. A repeated run replaces its own
-    partition. An empty view writes none and is not listed.
+    Subscriptions to the same fields share one scan: each row is written once per subscription that
+    it matches, without a shuffle. ``result`` should be a stored table (a snapshot), so that every
+    scan reads its own columns and nothing is held in executor memory. A repeated run replaces its
+    own partitions. An empty view writes none and is not listed.
     """
-    done = []
-    for number, subscription in enumerate(dict.fromkeys(wanted)):
-        folder = delivery_folder(path, subscription, number)
-        counted = Observation()
-        out = subscribed(result, subscription).observe(counted, F.count(F.lit(1)).alias("rows"))
-        out.withColumn("run", F.lit(run)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("run").parquet(folder)
-        rows = counted.get["rows"]
-        if rows:
-            done.append(Delivery(subscription, folder, rows))
-    return done
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", run):
+        raise ValueError(f"run {run!r} must be letters, digits, - and _: it names a folder")
+    sharing: dict[tuple[str, ...], list[Subscription]] = {}
+    for subscription in dict.fromkeys(wanted):
+        sharing.setdefault((subscription.pipeline, *subscription.fields), []).append(subscription)
+    return [d for members in sharing.values() for d in _fan_out_shared(result, members, path, run)]
+
+
+def _fan_out_shared(result: DataFrame, members: list[Subscription], path: str, run: str) -> list[Delivery]:
+    fields = members[0].fields or tuple(result.columns)
+    reserved = {"subscription", "run"} & set(fields)
+    if reserved:
+        raise ValueError(f"fan_out: field names {sorted(reserved)} are taken by the folder layout")
+    matches = [_match(result, m) for m in members]
+    labels = F.array_compact(F.array(*[F.when(c, F.lit(m.label)) for c, m in zip(matches, members)]))
+    matched = result.where(reduce(or_, matches)).select("*", F.explode(labels).alias("subscription"))
+    view = project(matched, {f: f for f in (*fields, "subscription")}).withColumn("run", F.lit(run))
+    counted = Observation()
+    totals = [F.count_if(F.col("subscription") == m.label).alias(f"n{i}") for i, m in enumerate(members)]
+    base = f"{path.rstrip('/')}/pipeline={quote(members[0].pipeline, safe='')}"
+    view.observe(counted, *totals).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("subscription", "run").parquet(base)
+    rows = [counted.get[f"n{i}"] for i in range(len(members))]
+    return [Delivery(m, f"{base}/subscription={m.label}/run={run}", n) for m, n in zip(members, rows) if n]
 
 
 def fan_out_counts(result: DataFrame, wanted: Iterable[Subscription]) -> DataFrame:
     """``consumer, n``: rows each subscription would get, in one scan; empty ones are left out."""
     wanted = list(dict.fromkeys(wanted))
-    totals = []
-    for i, subscription in enumerate(wanted):
-        text = subscription.filter
-        match = predicates.as_column(predicates.from_expression(text)) if text else F.lit(True)
-        totals.append(F.count_if(match).alias(f"n{i}"))
+    totals = [F.count_if(_match(result, s)).alias(f"n{i}") for i, s in enumerate(wanted)]
     rows = [F.struct(F.lit(s.consumer).alias("consumer"), F.col(f"n{i}").alias("n")) for i, s in enumerate(wanted)]
     return result.agg(*totals).select(F.inline(F.array(*rows))).where("n > 0")
 
 
-def read_deliveries(spark: SparkSession, deliveries: Iterable[Delivery], run: str) -> DataFrame:
-    """The delivered rows of one run, labelled by consumer; absent fields are NULL."""
+def read_deliveries(spark: SparkSession, deliveries: Iterable[Delivery]) -> DataFrame:
+    """The delivered rows, labelled by consumer; absent fields are NULL."""
     parts = [
-        spark.read.parquet(d.folder)
-        .where(F.col("run") == run)
-        .drop("run")
-        .withColumn("consumer", F.lit(d.subscription.consumer))
-        for d in deliveries
+        spark.read.parquet(d.folder).withColumn("consumer", F.lit(d.subscription.consumer)) for d in deliveries
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

@@ -16,18 +16,22 @@ def _pairs(mapping: Mapping_) -> dict[str, str]:
     return dict(mapping.items() if isinstance(mapping, Mapping) else mapping)
 
 
+def condition(df: DataFrame, predicate: str | Column | None) -> Column | None:
+    """The predicate as a Boolean Column, ``None`` for a blank one; one that is not Boolean is false."""
+    if predicate is None or (isinstance(predicate, str) and not predicate.strip()):
+        return None
+    wanted = predicates.as_column(predicate)
+    return wanted if isinstance(df.select(wanted).schema[0].dataType, T.BooleanType) else F.lit(False)
+
+
 def filter_rows(df: DataFrame, predicate: str | Column | None) -> DataFrame:
     """Keep the rows for which ``predicate`` is true.
 
     NULL drops the row, a blank predicate keeps all, a predicate that is not Boolean keeps none.
     The predicate goes to Catalyst unwrapped, so it reaches the scan.
     """
-    if predicate is None or (isinstance(predicate, str) and not predicate.strip()):
-        return df
-    condition = predicates.as_column(predicate)
-    if not isinstance(df.select(condition).schema[0].dataType, T.BooleanType):
-        return df.where(F.lit(False))
-    return df.where(condition)
+    wanted = condition(df, predicate)
+    return df if wanted is None else df.where(wanted)
 
 
 def project(df: DataFrame, mapping: Mapping_) -> DataFrame:

@@ -136,14 +136,20 @@ def test_fan_out(spark, rows, folder):
         delivery.Subscription("one", "p", ("a",), "s == 'x'"),
         delivery.Subscription("none", "p", (), "a > 9"),
     ]
+    wanted.append(delivery.Subscription("same fields", "p", ("a",), "a >= 2"))
+    wanted.append(delivery.Subscription("no condition at all", "p", ("a",), "a + 1"))
     for _ in range(2):  # a repeated run replaces its deliveries
         done = delivery.fan_out(df, wanted, folder, "r1")
-    assert [(d.subscription.consumer, d.rows) for d in done] == [("one", 2), ("two/three", 3)]
-    assert spark.read.parquet(done[0].folder).drop("run").columns == ["a"]
-    assert delivery.read_deliveries(spark, done, "r1").count() == 5
+    assert [(d.subscription.consumer, d.rows) for d in done] == [("one", 2), ("same fields", 2), ("two/three", 3)]
+    assert spark.read.parquet(done[0].folder).columns == ["a"]
+    assert delivery.read_deliveries(spark, done).count() == 7
+    with pytest.raises(ValueError):
+        delivery.fan_out(df.withColumn("run", F.lit(1)), wanted, folder, "r1")
     delivery.fan_out(df.where("a = 1"), wanted, folder, "r2")
-    assert spark.read.parquet(done[0].folder).count() == 3
-    assert table(delivery.fan_out_counts(df, wanted)) == [("one", 2), ("two/three", 3)]
+    assert spark.read.parquet(str(pathlib.Path(done[0].folder).parent)).count() == 3
+    with pytest.raises(ValueError):
+        delivery.fan_out(df, wanted, folder, "a/b")
+    assert table(delivery.fan_out_counts(df, wanted)) == [("one", 2), ("same fields", 2), ("two/three", 3)]
 
 
 def test_snapshots(spark, rows, folder):
