@@ -87,19 +87,29 @@ def upsert(spark, folder):
     return upsert_rows(base, _price_cut(spark, folder), ["o_orderkey"], order_by=["step"])
 
 
-@query(
-    """select o_orderkey, o_orderstatus, o_custkey, case when o_orderstatus = 'P' then null else o_totalprice
-    end as o_totalprice from orders where o_orderstatus <> 'O'
+_PARTIAL = """select o_orderkey, o_orderstatus, o_custkey, case when o_orderstatus = 'P' then null
+    else o_totalprice end as o_totalprice from orders where o_orderstatus <> 'O'
     union all select o_orderkey, null, null, 1.0::double from orders where o_orderstatus = 'O'"""
-)
-def upsert_partial(spark, folder):
-    """A batch without all columns: an explicit null overwrites, an absent column is kept."""
+
+
+def _partial(spark, folder, **choice):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_totalprice")
     base = orders.where("o_orderstatus <> 'O'")
     batch = orders.where("o_orderstatus <> 'F'").select(
         "o_orderkey", F.when(F.col("o_orderstatus") == "O", 1.0).alias("o_totalprice")
     )
-    return upsert_rows(base, batch, ["o_orderkey"], unique_keys=True)
+    return upsert_rows(base, batch, ["o_orderkey"], unique_keys=True, **choice)
+
+
+@query(_PARTIAL)
+def upsert_partial(spark, folder):
+    """A batch without all columns: an explicit null overwrites, an absent column is kept."""
+    return _partial(spark, folder)
+
+
+@query(_PARTIAL)
+def upsert_partial_large(spark, folder):
+    return _partial(spark, folder, large_batch=True)
 
 
 @query(

@@ -22,6 +22,7 @@ def upsert(
     keys: Iterable[str] | None,
     order_by: Iterable[str | Column] | None = None,
     unique_keys: bool = False,
+    large_batch: bool = False,
 ) -> DataFrame:
     """``base`` after writing ``batch``: new keys are added, known keys take the batch's values.
 
@@ -30,6 +31,10 @@ def upsert(
     Columns of ``base`` that the batch does not have keep their value, or NULL in new rows; a NULL
     in the batch does overwrite. A batch of keys only adds missing keys. Order columns that are not
     in ``base`` are dropped. A null key never matches.
+
+    The plan suits a batch much smaller than the table: the table is then not shuffled. With
+    ``large_batch`` a batch that lacks columns is merged in one full outer join, which moves both
+    sides once; that is less work if the batch is about as large as the table.
     """
     keys = list(keys or [])
     if not keys:
@@ -41,8 +46,7 @@ def upsert(
     shared = _shared(base, batch)
     touched = batch.select(*keys) if unique_keys else batch.select(*keys).distinct()
     if set(shared) == set(keys):
-        new = touched.join(base.select(*keys), keys, "left_anti")
-        return base.unionByName(new, allowMissingColumns=True)
+        return base.unionByName(_absent(touched, base, touched, keys), allowMissingColumns=True)
     if order_by is not None:
         batch = last_per_key(batch, keys, list(order_by))
     if len(shared) == len(base.columns):
@@ -50,19 +54,34 @@ def upsert(
         # needs the batch's keys only, and the base is not shuffled if those are small.
         kept = base.join(touched, keys, "left_anti").select(*base.columns)
         return kept.unionByName(batch.select(*base.columns))
-    return _merge_partial(base, batch.select(*shared), keys)
+    batch = batch.select(*shared)
+    if large_batch:
+        return _overwrite(base, batch, keys, "full_outer")
+    new = _absent(batch, base, touched, keys)
+    return _overwrite(base, batch, keys).unionByName(new, allowMissingColumns=True)
 
 
 def _shared(base: DataFrame, batch: DataFrame) -> list[str]:
     return [c for c in base.columns if c in batch.columns]
 
 
-def _merge_partial(base: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+def _absent(batch: DataFrame, base: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``batch`` whose key is not in ``base``.
+
+    The base only passes by the batch's keys: it is not shuffled if those are small, and what is left
+    of it is no larger than the batch.
+    """
+    present = base.select(*keys).join(touched, keys, "left_semi")
+    return batch.join(present, keys, "left_anti")
+
+
+def _overwrite(base: DataFrame, batch: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``base`` with the columns of ``batch`` overwritten where the key is in the batch; a full outer
+    join brings the batch's other rows too."""
     new = batch.toDF(*[f"__new_{c}" for c in batch.columns]).withColumn("__in_batch", F.lit(True))
     condition = [names.col(k) == names.col(f"__new_{k}") for k in keys]
-    merged = base.join(new, condition, "full_outer")
     touched = F.col("__in_batch").isNotNull()
-    return merged.select(
+    return base.join(new, condition, how).select(
         *[
             F.when(touched, names.col(f"__new_{c}")).otherwise(names.col(c)).alias(c)
             if c in batch.columns

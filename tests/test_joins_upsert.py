@@ -126,6 +126,15 @@ def test_upsert_matches_row_by_row_writing(rows, whole):
     batch_df = rows(batch, "a int, b string, x int, y int, seq int").repartition(8)
     if not whole:
         batch_df = batch_df.drop("y")
-    out = upsert(base_df, batch_df, ["a", "b"], order_by=["seq"])
-    assert {(r.a, r.b): (r.x, r.y) for r in out.collect()} == expected
-    assert out.count() == len(expected)
+    for large in (False, True):
+        out = upsert(base_df, batch_df, ["a", "b"], order_by=["seq"], large_batch=large)
+        assert {(r.a, r.b): (r.x, r.y) for r in out.collect()} == expected
+        assert out.count() == len(expected)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_null_keys_never_match(rows, large):
+    base = rows([(None, "a", 1), (1, "b", 2)], "k int, x string, y int")
+    batch = rows([(None, "c"), (1, "d")], "k int, x string")
+    out = upsert(base, batch, ["k"], unique_keys=True, large_batch=large)
+    assert table(out) == [(1, "d", 2), (None, "a", 1), (None, "c", None)]

@@ -79,11 +79,27 @@ def test_keys_are_cut_to_one_row_before_the_shuffle(large):
 
 def test_shuffle_counts(large):
     """Exchanges per plan: more would mean a partitioning that is not reused."""
-    expected = {"agg_many_keys": 1, "join_inner": 2, "join_one": 2, "flagship": 3, "runlog_last": 1, "upsert_partial": 2}
+    expected = {"agg_many_keys": 1, "join_inner": 2, "join_one": 2, "flagship": 3, "runlog_last": 1}
     found = {name: plan(QUERIES[name](large, FOLDER)).count("Exchange hashpartitioning") for name in expected}
     assert found == expected
 
 
+@pytest.mark.parametrize("name", ["upsert", "upsert_partial", "upsert_keys_only"])
+def test_a_small_batch_does_not_shuffle_the_table(spark, name):
+    from pyspark.sql import functions as F
+
+    from tableflow.operators.upsert import upsert
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10mb")
+    base = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_tax", "l_quantity")
+    keys = ["l_orderkey", "l_linenumber"]
+    columns = {"upsert": base.columns, "upsert_partial": [*keys, "l_tax"], "upsert_keys_only": keys}[name]
+    batch = spark.range(5).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"))
+    batch = batch.withColumns({"l_tax": F.lit(0.0), "l_quantity": F.lit(0.0)}).select(*columns)
+    text = plan(upsert(base, batch, keys, unique_keys=True))
+    assert "Exchange hashpartitioning" not in text and "BroadcastHashJoin" in text
+
+
 def test_narrow_operators_do_not_shuffle(large):
     for name in QUERIES:
         if name.startswith(("filter_", "project", "rename", "cast_", "split_", "shape_", "contract_rejects", "src_kafka")):
