@@ -27,6 +27,8 @@ class Commit(NamedTuple):
 
 # Above this many touched partitions the values are joined instead of listed in the scan's filter.
 MAX_LISTED_PARTITIONS = 10_000
+# A batch with more than this share of the table's rows (one in four) is merged as a large one.
+LARGE_BATCH_SHARE = 4
 
 
 class VersionedTable:
@@ -89,15 +91,21 @@ class VersionedTable:
         if current is None:
             first = last_per_key(batch, keys, order_by) if keys and order_by else batch
             return self._commit(first, None)
-        staged = stage(self.spark, batch)
-        return self._commit(upsert(self.read(current), staged, keys, order_by, unique_keys), current)
+        staged, rows = _stage_counted(self.spark, batch)
+        large = rows * LARGE_BATCH_SHARE > current.rows
+        merged = upsert(self.read(current), staged, keys, order_by, unique_keys, large)
+        return self._commit(merged, current)
 
 
 def stage(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``df`` as a written table in the shared folder."""
-    folder = workspace.new_folder(spark, "staged")
-    df.write.parquet(folder)
-    return spark.read.parquet(folder)
+    return _stage_counted(spark, df)[0]
+
+
+def _stage_counted(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
+    folder, counted = workspace.new_folder(spark, "staged"), Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(folder)
+    return spark.read.parquet(folder), counted.get["rows"]
 
 
 def append_table(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
