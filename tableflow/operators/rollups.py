@@ -53,8 +53,8 @@ def sales_by_region_product(
     """``region, product, total_quantity, total_revenue``.
 
     The region is brought down to the order before the fact table joins, so the fact table meets
-    two narrow inputs only: (order, region) and (part, type). Revenue is summed in decimals, so the
-    result does not depend on the order in which rows meet.
+    two narrow inputs only: (part, type) and (order, region). Revenue has four decimals; it is summed
+    in whole ten-thousandths, so the result does not depend on the order in which rows meet.
     """
     place = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
     customer_region = customer.join(place, customer.c_nationkey == place.n_nationkey).select(
@@ -64,16 +64,17 @@ def sales_by_region_product(
         "o_orderkey", F.col("r_name").alias("region")
     )
     product = part.select("p_partkey", F.col("p_type").alias("product"))
+    revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     sold = lineitem.select(
         "l_orderkey",
         "l_partkey",
         "l_quantity",
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("revenue"),
+        F.floor(revenue * 10_000 + 0.5).cast("decimal(19,0)").alias("revenue"),
     )
-    joined = sold.join(order_region, sold.l_orderkey == order_region.o_orderkey).join(
-        product, sold.l_partkey == product.p_partkey
+    joined = sold.join(product, sold.l_partkey == product.p_partkey).join(
+        order_region, sold.l_orderkey == order_region.o_orderkey
     )
     return joined.groupBy("region", "product").agg(
         F.sum("l_quantity").cast("bigint").alias("total_quantity"),
-        F.sum("revenue").alias("total_revenue"),
+        (F.sum("revenue") / 10_000).cast("decimal(28,4)").alias("total_revenue"),
     )

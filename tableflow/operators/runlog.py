@@ -69,7 +69,7 @@ class _Log:
         return self.spark.createDataFrame([], self.schema) if log is None else log
 
     def _add(self, *rows: tuple) -> None:
-        self.append(self.spark.createDataFrame(list(rows), self.schema))
+        self.append(self.spark.createDataFrame(list(rows), self.schema).coalesce(1))
 
 
 class RunLog(_Log):
