@@ -174,10 +174,16 @@ def read_deliveries(spark: SparkSession, deliveries: Iterable[Delivery]) -> Data
 # --- snapshots -----------------------------------------------------------------------------------
 
 
-def fresh(df: DataFrame, now: datetime | str, ttl_seconds: int = SNAPSHOT_TTL_SECONDS, staged_at: str = "staged_at") -> DataFrame:
-    """Rows staged no longer than ``ttl_seconds`` before ``now``; the bound reaches the scan."""
+def fresh(
+    df: DataFrame, now: datetime | str, ttl_seconds: int = SNAPSHOT_TTL_SECONDS, staged_at: str = "staged_at"
+) -> DataFrame:
+    """Rows staged no longer than ``ttl_seconds`` before ``now``; the bound reaches the scan.
+
+    ``now`` is a local time: of the session's zone where the column is an instant.
+    """
     moment = datetime.fromisoformat(now) if isinstance(now, str) else now
-    return df.where(names.col(staged_at) >= F.lit(moment - timedelta(seconds=ttl_seconds)).cast(df.schema[staged_at].dataType))
+    oldest = (moment - timedelta(seconds=ttl_seconds)).isoformat(sep=" ")
+    return df.where(names.col(staged_at) >= F.lit(oldest).cast(names.type_of(df, staged_at)))
 
 
 class Snapshots:
