@@ -26,7 +26,7 @@ TYPE_NAMES = {
 CAST_TARGETS = ("STRING", "LONG", "DOUBLE", "DECIMAL", "INT", "INTEGER", "BOOLEAN")
 
 # The number texts that convert. A text is tested before it is cast, because a cast that
-# fails inside a task costs an exception per row, about fifty times the price of the test.
+# fails inside a task costs an exception per row, many times the price of the test.
 INTEGER_TEXT = r"\A[+-]?+[0-9]++\z"
 DECIMAL_TEXT = r"\A[+-]?+(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eE][+-]?+[0-9]++)?+\z"
 DOUBLE_TEXT = (
