@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,11 +13,19 @@ from tableflow.operators.joins import first_per_key
 
 
 def last_per_key(batch: DataFrame, keys: Iterable[str], order_by: Iterable[str | Column]) -> DataFrame:
-    """The last row of each key: what is left after writing the batch row by row in this order."""
+    """The last row of each key; null is a key like any other."""
     descending = [F.desc_nulls_last(names.col(o)) if isinstance(o, str) else o for o in order_by]
     return first_per_key(batch, keys, descending)
 
 
+def written_rows(batch: DataFrame, keys: Iterable[str], order_by: Iterable[str | Column]) -> DataFrame:
+    """What is left of a batch that is written row by row: the last row of each key, and every row
+    whose key has a null, as such a key never matches."""
+    keys = list(keys)
+    known = reduce(and_, [names.col(k).isNotNull() for k in keys])
+    return last_per_key(batch.where(known), keys, order_by).unionByName(batch.where(~known))
+
+
 def upsert(
     base: DataFrame,
     batch: DataFrame,
@@ -44,11 +54,13 @@ def upsert(
     if order_by is None and not unique_keys:
         raise ValueError("upsert needs order_by to choose the last row per key, or unique_keys=True")
     shared = _shared(base, batch)
-    touched = batch.select(*keys) if unique_keys else batch.select(*keys).distinct()
+    touched = batch.select(*keys).dropna()
+    touched = touched if unique_keys else touched.distinct()
     if set(shared) == set(keys):
-        return base.unionByName(_absent(touched, base, touched, keys), allowMissingColumns=True)
+        new = batch.select(*keys) if unique_keys else touched.unionByName(_null_keys(batch, keys))
+        return base.unionByName(_absent(new, base, touched, keys), allowMissingColumns=True)
     if order_by is not None:
-        batch = last_per_key(batch, keys, list(order_by))
+        batch = written_rows(batch, keys, list(order_by))
     if len(shared) == len(base.columns):
         # The batch brings whole rows: what it does not touch stays, the rest is the batch. The join
         # needs the batch's keys only, and the base is not shuffled if those are small.
@@ -65,6 +77,10 @@ def _shared(base: DataFrame, batch: DataFrame) -> list[str]:
     return [c for c in base.columns if c in batch.columns]
 
 
+def _null_keys(batch: DataFrame, keys: list[str]) -> DataFrame:
+    return batch.select(*keys).where(reduce(or_, [names.col(k).isNull() for k in keys]))
+
+
 def _absent(batch: DataFrame, base: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of ``batch`` whose key is not in ``base``.
 

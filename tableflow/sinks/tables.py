@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from tableflow import storage, workspace
 from tableflow.functions import names
-from tableflow.operators.upsert import last_per_key, upsert
+from tableflow.operators.upsert import upsert, written_rows
 
 _COMMITS = "version long, folder string, rows long, committed_at timestamp"
 
@@ -89,7 +89,7 @@ class VersionedTable:
         if keys and order_by is None and not unique_keys:
             raise ValueError("upsert needs order_by to choose the last row per key, or unique_keys=True")
         if current is None:
-            first = last_per_key(batch, keys, order_by) if keys and order_by else batch
+            first = written_rows(batch, keys, order_by) if keys and order_by else batch
             return self._commit(first, None)
         staged, rows = _stage_counted(self.spark, batch)
         large = rows * LARGE_BATCH_SHARE > current.rows

@@ -236,6 +236,19 @@ def test_failed_run_is_recorded_and_keeps_the_mark(spark, folder, staff):
     assert env.marks.read("bad") is None and env.lineage.read().count() == 0
 
 
+def test_repeated_keys_need_an_order(spark, folder, rows):
+    df = rows([(1, "a", 1), (1, "b", 2), (None, "c", 1), (None, "d", 1)], "k int, v string, seq int")
+    storage = {"type": "parquet", "table": f"{folder}/t", "primaryKeys": ["k"]}
+    spec = {"pipeline": {"name": "p"}, "datasource": {"type": "sql", "query": "-"}, "output": {"storage": storage}}
+    with pytest.raises(ValueError, match="orderBy"):
+        plans.run(spark, spec, source=df)
+    plans.run(spark, spec, source=df.where("seq = 1"))
+    storage["orderBy"] = ["seq"]
+    plans.run(spark, spec, source=df.where("k = 1"))
+    found = VersionedTable(spark, f"{folder}/t").read().select("k", "v")
+    assert table(found) == [(1, "b"), (None, "c"), (None, "d")]
+
+
 def test_jdbc_to_jdbc(spark, folder):
     target = derby.connection(spark)
     execute = derby.executor(spark, target)
