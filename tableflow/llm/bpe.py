@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,7 @@ from tableflow.llm.batches import binaries, byte_hashes, extend, utf8
 
 REMEMBERED = 400_000  # distinct parts that a worker remembers
 SLICE = 1 << 20
+BATCH = 2000  # parts that the tokenizer holds at once
 
 
 @lru_cache(1)
@@ -38,6 +40,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
 
 
+@lru_cache(4)
+def byte_table(path: str) -> list[bytes]:
+    """The bytes of each id; an id that the file leaves out has none."""
+    words = {rank: token for token, rank in read_ranks(path).items()}
+    return [words.get(i, b"") for i in range(max(words) + 1)]
+
+
 def _last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     """The two parts from which the token is merged: merging by rank, stopped one step before the whole."""
     parts = [token[i : i + 1] for i in range(len(token))]
@@ -68,20 +77,21 @@ def tokenizer_json(path: str, pattern: str) -> str:
 
 
 class _Coder:
-    """A worker's tokenizer, its byte table, and the parts it has seen."""
+    """A worker's tokenizer, and the parts it has seen."""
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        back = {c: b for b, c in enumerate(byte_characters())}
-        words = {i: bytes(back[c] for c in w) for w, i in self.tokenizer.get_vocab().items()}
-        self.table = [words.get(i, b"") for i in range(max(words) + 1)]
-        self.lengths = np.array([len(w) for w in self.table], np.int64)
         self.seen: dict[int, bytes] = {}
 
     def encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(parts), BATCH):
+            found = self.tokenizer.encode_batch_fast(parts[at : at + BATCH], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        return out
 
 
 @lru_cache(2)
@@ -136,11 +146,11 @@ def _encode(coder: _Coder, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.append(begin, len(out))[np.searchsorted(starts, offsets)]
 
 
-def _offsets(coder: _Coder, column: pa.Array, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _offsets(lengths: np.ndarray, column: pa.Array, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Characters of each id's text, start and end. An id that ends inside a character counts it wholly."""
     buffer, offsets = utf8(column)
-    ends = np.cumsum(coder.lengths[ids])
-    starts = ends - coder.lengths[ids]
+    ends = np.cumsum(lengths[ids])
+    starts = ends - lengths[ids]
     heads = np.zeros(len(buffer) + 1, np.int64)
     np.cumsum((buffer & 0xC0) != 0x80, out=heads[1:])
     base = np.repeat(heads[offsets[:-1]], np.diff(rows))
@@ -159,7 +169,9 @@ def encode(
     ``offsets`` adds ``starts`` and ``ends``: the characters of the text that each id stands for. A
     character that two ids share is in both ranges. Null and empty texts: an empty value.
     """
-    shared = df.sparkSession.sparkContext.broadcast(tokenizer_json(path, pattern))
+    context = df.sparkSession.sparkContext
+    shared = context.broadcast(tokenizer_json(path, pattern))
+    lengths = np.array([len(w) for w in byte_table(path)], np.int64) if offsets else None
     fields = [StructField("ids", BinaryType() if packed else ArrayType(IntegerType()))]
     if offsets:
         fields += [StructField("starts", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType()))]
@@ -168,25 +180,23 @@ def encode(
         coder = _coder(shared.value)
         ids, rows = _encode(coder, columns[0])
         out = [binaries(ids.tobytes(), rows * 4) if packed else _lists(ids, rows)]
-        return out + ([_lists(v, rows) for v in _offsets(coder, columns[0], ids, rows)] if offsets else [])
+        return out + ([_lists(v, rows) for v in _offsets(lengths, columns[0], ids, rows)] if offsets else [])
 
     return extend(df, [F.col(text) if isinstance(text, str) else text], StructType(fields), run, keep, SLICE)
 
 
-def decode(df: DataFrame, ids: str, path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
+def decode(df: DataFrame, ids: str, path: str, keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``decoded``: the bytes of packed ids. Ids that end inside a character meet in the bytes, so
     nothing is replaced; ``text_of`` makes text of them. An id without entry has no bytes; null: empty."""
-    shared = df.sparkSession.sparkContext.broadcast(tokenizer_json(path, pattern))
+    shared = df.sparkSession.sparkContext.broadcast([*byte_table(path), b""])
 
     def run(columns):
-        coder = _coder(shared.value)
+        table = shared.value
         buffer, offsets = utf8(columns[0])
-        values = np.frombuffer(buffer.tobytes(), "<u4")
-        known = np.minimum(values, len(coder.table)).astype(np.int64)
-        lengths = np.append(coder.lengths, 0)
-        ends = np.append(0, np.cumsum(lengths[known]))
-        table = [*coder.table, b""]
-        return [binaries(b"".join([table[i] for i in known.tolist()]), ends[offsets // 4])]
+        known = np.minimum(np.frombuffer(buffer.tobytes(), "<u4"), len(table) - 1)
+        parts = [table[i] for i in known.tolist()]
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
+        return [binaries(b"".join(parts), ends[offsets // 4])]
 
     return extend(df, [F.col(ids)], StructType([StructField("decoded", BinaryType())]), run, keep)
 

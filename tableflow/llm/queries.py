@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import bpe, sharding
+from tableflow.llm import bpe, licenses, sharding, warc
+from tableflow.workspace import new_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,7 +34,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     ids = bpe.encode(documents, "text", VOCABULARY, public_tokenizers.PATTERN, packed=True, keep=["doc_id"])
-    return bpe.decode(ids, "ids", VOCABULARY, public_tokenizers.PATTERN).select(
+    return bpe.decode(ids, "ids", VOCABULARY).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -45,3 +46,31 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op9_hash_tree(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return sharding.shard_documents(documents, "doc_id", "text", sharding.tree(40), sharding.tree(41))
+
+
+@query()
+def op8_license_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents").select("doc_id", "text"), "text", keep=["doc_id"])
+
+
+_B32 = "list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha1(h), 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))) & 31), 1))"
+
+
+@query(
+    f"""
+    with p as (select page_id, coalesce(html, '') h from pages),
+    f as (select page_id, strlen(h)::bigint payload_bytes, array_to_string({_B32}, '') payload_digest, min(page_id) over (partition by h) first from p)
+    select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end record_type,
+        case when page_id <> first then first end refers_to from f
+    """
+)
+def op6_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    index = warc.write_archives(pages, "page_id", "url", "html", new_folder(spark, "warc"))
+    return warc.read_records(index).select(
+        F.col("key").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
