@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from tableflow.llm.batches import binaries, byte_hashes, extend, utf8
 
-REMEMBERED = 400_000  # distinct parts that a worker remembers
+REMEMBERED = 300_000  # distinct parts in each of the two generations that a worker remembers
 SLICE = 1 << 20
 BATCH = 2000  # parts that the tokenizer holds at once
 
@@ -85,6 +85,7 @@ class _Coder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.seen: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
 
     def encode(self, parts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -129,10 +130,13 @@ def _encode(coder: _Coder, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = _cuts(buffer, offsets)
     ends = np.append(starts[1:], len(buffer))
     known, first, which = np.unique(byte_hashes(buffer)(starts, ends), return_index=True, return_inverse=True)
-    if len(coder.seen) > REMEMBERED:
-        coder.seen = {}
+    if len(coder.seen) > REMEMBERED:  # parts in use move on to the new generation, the others go
+        coder.seen, coder.older = {}, coder.seen
     keys = known.tolist()
     missing = [i for i, key in enumerate(keys) if key not in coder.seen]
+    if coder.older:
+        coder.seen.update((keys[i], coder.older[keys[i]]) for i in missing if keys[i] in coder.older)
+        missing = [i for i in missing if keys[i] not in coder.seen]
     if missing:
         raw = buffer.tobytes()
         texts = [raw[starts[j] : ends[j]].decode("utf-8", "replace") for j in first[missing].tolist()]
