@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import bpe, licenses, sharding, warc
+from tableflow.llm import bpe, decontamination, licenses, sharding, warc
 from tableflow.workspace import new_folder
 
 QUERIES: dict = {}
@@ -74,3 +74,18 @@ def op6_warc_index(spark: SparkSession, folder: str) -> DataFrame:
         "record_type",
         F.col("refers_to").cast("bigint").alias("refers_to"),
     )
+
+
+@query()
+def op1_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    benchmark = table(spark, folder, "benchmark").select("item_id", "text")
+    hits = decontamination.benchmark_hits(documents, "text", benchmark, "item_id", "text", keep=["doc_id"])
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("hit_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontamination.contaminated().alias("contaminated"),
+    )
