@@ -1 +1,34 @@
 """Operators for training-data corpora: text statistics, near-duplicates, search, archives, tokens."""
+
+from __future__ import annotations
+
+import io
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import SparkSession
+
+_sent: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source files to the executors, once per application, so that tasks can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _sent:
+        return
+    _sent.add(context.applicationId)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as packed:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(root)))
+    # The driver hands the file out itself; executors never read this path.
+    with tempfile.TemporaryDirectory(delete=False) as folder:
+        path = os.path.join(folder, "tableflow.zip")
+        with open(path, "wb") as file:
+            file.write(data.getvalue())
+    context.addPyFile(path)

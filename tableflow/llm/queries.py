@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import bpe, decontamination, licenses, sharding, warc
+from tableflow.llm import ship, bpe, decontamination, licenses, quality, sharding, warc
 from tableflow.workspace import new_folder
 
 QUERIES: dict = {}
@@ -24,6 +24,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -89,3 +90,12 @@ def op1_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"),
         decontamination.contaminated().alias("contaminated"),
     )
+
+
+@query()
+def op4_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(documents, "doc_id", "text", table(spark, folder, "labels"), "quality")
+    return quality.score(documents, "text", model, keep=["doc_id"]).select(
+        "doc_id", (quality.remainder("doc_id") == 1).alias("held_out"), "score", "predicted"
+    )
