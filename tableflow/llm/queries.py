@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import ship, bpe, decontamination, licenses, quality, sharding, warc
+from tableflow.llm import bpe, decontamination, jaccard_join, licenses, quality, sharding, ship, warc
 from tableflow.workspace import new_folder
 
 QUERIES: dict = {}
@@ -99,3 +99,10 @@ def op4_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(documents, "text", model, keep=["doc_id"]).select(
         "doc_id", (quality.remainder("doc_id") == 1).alias("held_out"), "score", "predicted"
     )
+
+
+@query()
+def op10_jaccard_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = jaccard_join.set_components(documents, "doc_id", "text")
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
