@@ -28,6 +28,7 @@ SHINGLE = 4
 PERCENT = 85
 TABLE_BITS = 22
 BITS = 512
+FILTER_BITS = 1 << 24
 HOT = 1 << 17  # a shingle with this count may have a long list: it is dealt by shingle and node
 PART_BYTES = 4 << 20  # text for one part of the prefix lists
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -83,6 +84,8 @@ def _count(documents: DataFrame, key: str, text: str, size: int, bits: int) -> D
     key_type = documents.schema[key].dataType
     schema = StructType([StructField("key", key_type)]).add("mark", "long").add("slice", "integer").add("counts", "binary")
     schema = schema.add("node", "long").add("check", "long").add("n", "long")
+    for i in range(BITS // 64):
+        schema = schema.add(f"b{i}", "long")
     source = documents.select(F.col(text).alias("text"), F.xxhash64(text).alias("mark"), F.col(key).alias("key"))
     width = 1 << 16
 
@@ -97,7 +100,8 @@ def _count(documents: DataFrame, key: str, text: str, size: int, bits: int) -> D
                 table += np.bincount((sets.values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
                 none = pa.nulls(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(2), part.column(1), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(sets.nodes), pa.array(sets.checks), pa.array(sets.sizes, pa.int64())],
+                    [part.column(2), part.column(1), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(sets.nodes), pa.array(sets.checks), pa.array(sets.sizes, pa.int64())]
+                    + [pa.array(b) for b in sets.bitmaps().T.copy()],
                     names=schema.names,
                 )
         if key_kind is not None:
@@ -106,7 +110,7 @@ def _count(documents: DataFrame, key: str, text: str, size: int, bits: int) -> D
                     kind = "<u1" if part.max() < 256 else "<u2" if part.max() < 65536 else "<u4"
                     none = pa.nulls(1, pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(1, key_kind), none, pa.array([number], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary()), none, none, none], names=schema.names
+                        [pa.nulls(1, key_kind), none, pa.array([number], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())] + [none] * (3 + BITS // 64), names=schema.names
                     )
 
     return written(source.mapInArrow(run, schema), "sets")
@@ -184,8 +188,31 @@ def _lists(documents: DataFrame, text: str, table: np.ndarray, size: int, percen
     return packed.groupBy("part").applyInArrow(repeated, "token long, node long, n long")
 
 
+def _filter(nodes: DataFrame) -> np.ndarray:
+    """A fixed 2 MB of bits in which each node has one set."""
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            at = (mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "bits"])
+
+    def either(batches):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            for data in batch.column(1):
+                bits |= np.frombuffer(data.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "bits"])
+
+    schema = "part int, bits binary"
+    found = nodes.coalesce(16).mapInArrow(run, schema).coalesce(1).mapInArrow(either, schema).collect()
+    return np.frombuffer(found[0]["bits"], np.uint8) if found else np.zeros(FILTER_BITS // 8, np.uint8)
+
+
 def _texts(documents: DataFrame, text: str, nodes: DataFrame, size: int) -> DataFrame:
-    """``node``, ``n``, the bitmap as ``b0``, ``b1``, ..., and a text, for the given nodes. A task sends a set once per slice."""
+    """``node`` and a text for the given nodes. A task sends a set once per slice, and only if the nodes' filter has it."""
+    shared = documents.sparkSession.sparkContext.broadcast(_filter(nodes))
 
     def run(batches):
         for batch in batches:
@@ -193,17 +220,12 @@ def _texts(documents: DataFrame, text: str, nodes: DataFrame, size: int) -> Data
                 column = batch.column(0).slice(first, rows)
                 sets = Sets(column, size)
                 at = np.sort(sets.firsts())
+                bit = (mix(sets.nodes[at].view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+                at = at[(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(sets.nodes[at]), column.take(pa.array(at))], names=["node", "text"])
 
     rows = documents.select(F.col(text)).mapInArrow(run, "node long, text string").join(nodes, "node", "left_semi")
-    rows = rows.groupBy("node").agg(F.first("text").alias("text"))
-    fields = StructType([StructField("n", LongType())] + [StructField(f"b{i}", LongType()) for i in range(BITS // 64)])
-
-    def bitmaps(columns):
-        sets = Sets(columns[0], size)
-        return [pa.array(sets.sizes, pa.int64())] + [pa.array(b) for b in sets.bitmaps().T.copy()]
-
-    return extend(rows, [F.col("text")], fields, bitmaps)
+    return rows.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def _passes(left: str, right: str, percent: int) -> Column:
@@ -214,8 +236,11 @@ def _passes(left: str, right: str, percent: int) -> Column:
     return sizes & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, documents: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) that are similar, by intersecting their sorted sets."""
+    pairs = written(pairs, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = written(_texts(documents, text, nodes, size), "texts")
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("left_text"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("right_text"))
 
@@ -232,7 +257,8 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
                 good = pa.array(100 * overlap >= percent * (left.sizes + right.sizes - overlap))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "left_text", "right_text").mapInArrow(run, "a long, b long")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "left_text", "right_text")
+    return written(both.mapInArrow(run, "a long, b long"), "links")
 
 
 def _band(percent: int) -> Column:
@@ -253,8 +279,8 @@ def set_components(documents: DataFrame, key: str, text: str, size: int = SHINGL
     table = _table(counted, bits)
     total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
     lists = written(_lists(documents, text, table, size, percent, max(64, total // PART_BYTES), hot), "lists")
-    texts = written(_texts(documents, text, lists.select("node").distinct(), size), "texts")
-    bitmaps = texts.drop("text")
+    words = [f"b{i}" for i in range(BITS // 64)]
+    bitmaps = written(rows.where("n > 0").select("node", "n", *words).dropDuplicates(["node"]), "bitmaps")
     band = lists.withColumn("band", _band(percent))
 
     # First round: each node of a tile with one that the tile's hash chooses.
@@ -262,7 +288,7 @@ def set_components(documents: DataFrame, key: str, text: str, size: int = SHINGL
     stars = band.join(chosen, ["token", "band"]).where("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
     named = lambda name, column: bitmaps.withColumnRenamed("node", column).alias(name)
     near = stars.join(named("x", "a"), "a").join(named("y", "b"), "b").where(_passes("x", "y", percent)).select("a", "b")
-    first_links = written(_links(near, texts, size, percent), "links")
+    first_links = _links(near, documents, text, size, percent)
     labels = written(components(first_links), "labels")
 
     # Second round: nodes of one tile in different components.
@@ -278,7 +304,7 @@ def set_components(documents: DataFrame, key: str, text: str, size: int = SHINGL
     once = F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token")
     pairs = smaller.join(larger, tile & ordered & (F.col("x.label") != F.col("y.label")) & _passes("x", "y", percent) & once)
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    found = written(_links(pairs, texts, size, percent), "links")
+    found = _links(pairs, documents, text, size, percent)
     group = components(first_links.union(found))
 
     named_rows = rows.join(group, "node", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("label", "node")))
