@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import bpe, decontamination, jaccard_join, licenses, quality, sharding, ship, suffix_dedup, warc
+from tableflow.llm import bpe, decontamination, jaccard_join, licenses, quality, sharding, ship, substring_dedup, suffix_dedup, warc
 from tableflow.workspace import new_folder
 
 QUERIES: dict = {}
@@ -113,3 +113,10 @@ def op3_suffix_sort(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     cut = suffix_dedup.remove_repeats(documents, "doc_id", "text", ["doc_id"], with_text=False)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query()
+def op2_suffix_automata(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    cut = substring_dedup.remove_earlier(documents, "doc_id", "text", ["doc_id"], with_text=False)
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
