@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import bpe, decontamination, jaccard_join, licenses, quality, sharding, ship, substring_dedup, suffix_dedup, warc
+from tableflow.llm import bpe, decontamination, jaccard_join, licenses, quality, sharding, ship, substring_dedup, suffix_dedup, topk, warc
 from tableflow.workspace import new_folder
 
 QUERIES: dict = {}
@@ -120,3 +120,17 @@ def op2_suffix_automata(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     cut = substring_dedup.remove_earlier(documents, "doc_id", "text", ["doc_id"], with_text=False)
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query(
+    """
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings
+               where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint score
+          from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s)
+    select query_id, rank, vec_id, score from r where rank <= 5
+    """
+)
+def op5_no_random_access(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
