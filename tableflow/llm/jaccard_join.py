@@ -6,8 +6,8 @@ has a bitmap in which every shingle flips one bit: the bits in which two bitmaps
 and only pairs that pass this bound are compared element by element, as sorted arrays.
 
 Pairs are looked at in two rounds. First every node of a tile meets one other, chosen by hash. Then the nodes of a
-tile that are still in different components meet; a pair is looked at in one tile only. So a group of m copies
-costs about m comparisons per shared shingle and not m * m, and no link between components is lost.
+tile that are still in different components meet. So a large group of copies costs about one comparison per node and shared
+shingle, and no link between components is lost. Lists of up to ``SHORT`` nodes give all their pairs in the first round.
 
 Rarity comes from a table of counts by hash (``TABLE_BITS``, a fixed 16 MB), summed over all documents. Any order gives
 the same links; a table that is too full for a corpus only makes more candidates.
@@ -27,7 +27,9 @@ from tableflow.llm.shared import components, written
 SHINGLE = 4
 PERCENT = 85
 TABLE_BITS = 22
-BITS = 512
+BITS = 2048
+FIRST_BITS = 512  # of these, the bits that the first round compares
+SHORT = 64  # a list of so many nodes, or fewer, gives all its pairs at once
 FILTER_BITS = 1 << 24
 HOT = 1 << 17  # a shingle with this count may have a long list: it is dealt by shingle and node
 PART_BYTES = 4 << 20  # text for one part of the prefix lists
@@ -138,8 +140,9 @@ def _table(counted: DataFrame, bits: int) -> np.ndarray:
     return table
 
 
-def _lists(documents: DataFrame, text: str, table: np.ndarray, size: int, percent: int, parts: int, hot: int) -> DataFrame:
-    """``token``, ``node``, ``n`` of prefix shingles that two nodes have (or may have, if hot)."""
+def _lists(documents: DataFrame, text: str, table: np.ndarray, size: int, percent: int, parts: int, hot: int, short: int) -> DataFrame:
+    """Of prefix shingles that two nodes have (or may have, if hot): pairs ``node``, ``other`` of short lists, where the sizes allow
+    the similarity, and ``token``, ``node``, ``n`` of the entries of long ones."""
     shared = documents.sparkSession.sparkContext.broadcast(table)
     shift = np.uint64(64 - int(np.log2(len(table))))
 
@@ -178,14 +181,34 @@ def _lists(documents: DataFrame, text: str, table: np.ndarray, size: int, percen
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
         token, node, n = token[new], node[new], n[new]
+        left = right = np.zeros(0, np.int64)
         if group.column(0)[0].as_py() >= 0:
             _, which, count = np.unique(token, return_inverse=True, return_counts=True)
-            many = count[which] > 1
+            few = (count[which] > 1) & (count[which] <= short)
+            many = count[which] > short
+            t, v, m = token[few], node[few], n[few]
+            found = []
+            for step in range(1, short):
+                at = np.flatnonzero(t[step:] == t[:-step])
+                if not len(at):
+                    break
+                near = at[100 * np.minimum(m[at], m[at + step]) >= percent * np.maximum(m[at], m[at + step])]
+                found.append(np.stack([v[near], v[near + step]]))
+            if found:
+                left, right = np.unique(np.concatenate(found, axis=1), axis=1)
             token, node, n = token[many], node[many], n[many]
-        return pa.table({"token": token, "node": node, "n": n})
+        none = lambda k, kind=pa.int64(): pa.nulls(k, kind)
+        return pa.table(
+            {
+                "token": pa.concat_arrays([none(len(left)), pa.array(token)]),
+                "node": np.concatenate([left, node]),
+                "n": pa.concat_arrays([none(len(left)), pa.array(n)]),
+                "other": pa.concat_arrays([pa.array(right), none(len(token))]),
+            }
+        )
 
     packed = documents.select(F.col(text)).mapInArrow(prefixes, "part long, tokens binary, nodes binary, sizes binary")
-    return packed.groupBy("part").applyInArrow(repeated, "token long, node long, n long")
+    return packed.groupBy("part").applyInArrow(repeated, "token long, node long, n long, other long")
 
 
 def _filter(nodes: DataFrame) -> np.ndarray:
@@ -228,10 +251,10 @@ def _texts(documents: DataFrame, text: str, nodes: DataFrame, size: int) -> Data
     return rows.groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _passes(left: str, right: str, percent: int) -> Column:
-    """The sizes, and the bound from the bitmaps, allow the similarity."""
+def _passes(left: str, right: str, percent: int, bits: int) -> Column:
+    """The sizes, and the bound from the first bits of the bitmaps, allow the similarity."""
     n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
-    differ = sum((F.bit_count(F.col(f"{left}.b{i}").bitwiseXOR(F.col(f"{right}.b{i}"))) for i in range(BITS // 64)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{left}.b{i}").bitwiseXOR(F.col(f"{right}.b{i}"))) for i in range(bits // 64)), F.lit(0))
     sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
     return sizes & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
 
@@ -265,7 +288,7 @@ def _band(percent: int) -> Column:
     return F.floor(F.ln("n") / F.lit(float(np.log(100 / percent)))).cast("int")
 
 
-def set_components(documents: DataFrame, key: str, text: str, size: int = SHINGLE, percent: int = PERCENT, bits: int = TABLE_BITS, hot: int = HOT) -> DataFrame:
+def set_components(documents: DataFrame, key: str, text: str, size: int = SHINGLE, percent: int = PERCENT, bits: int = TABLE_BITS, hot: int = HOT, short: int = SHORT) -> DataFrame:
     """One row per document: ``key``, ``mark`` (xxhash64 of the text), ``n_shingles``, ``component`` and ``first_mark``.
 
     A set are the distinct shingles of ``size`` lower-case words; fewer words are one shingle, none the empty set. Sets are
@@ -278,32 +301,33 @@ def set_components(documents: DataFrame, key: str, text: str, size: int = SHINGL
     rows = counted.where("slice is null")
     table = _table(counted, bits)
     total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    lists = written(_lists(documents, text, table, size, percent, max(64, total // PART_BYTES), hot), "lists")
+    found = written(_lists(documents, text, table, size, percent, max(64, total // PART_BYTES), hot, short), "lists")
     words = [f"b{i}" for i in range(BITS // 64)]
     bitmaps = written(rows.where("n > 0").select("node", "n", *words).dropDuplicates(["node"]), "bitmaps")
-    band = lists.withColumn("band", _band(percent))
-
-    # First round: each node of a tile with one that the tile's hash chooses.
-    chosen = band.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("token", "node").alias("h"), "node"))["node"].alias("center"))
-    stars = band.join(chosen, ["token", "band"]).where("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    named = lambda name, column: bitmaps.withColumnRenamed("node", column).alias(name)
-    near = stars.join(named("x", "a"), "a").join(named("y", "b"), "b").where(_passes("x", "y", percent)).select("a", "b")
+    lists = found.where("other is null").select("token", "node", "n").withColumn("band", _band(percent))
+
+    # First round: the pairs of short lists, and each node of a tile of a long one with one that the tile's hash chooses.
+    chosen = lists.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("token", "node").alias("h"), "node"))["node"].alias("center"))
+    stars = lists.join(chosen, ["token", "band"]).where("node <> center").select("node", F.col("center").alias("other"))
+    pairs = found.where("other is not null").select("node", "other").union(stars)
+    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    slim = bitmaps.select("node", "n", *words[: FIRST_BITS // 64])
+    named = lambda name, column: slim.withColumnRenamed("node", column).alias(name)
+    near = pairs.join(named("x", "a"), "a").join(named("y", "b"), "b").where(_passes("x", "y", percent, FIRST_BITS)).select("a", "b")
     first_links = _links(near, documents, text, size, percent)
     labels = written(components(first_links), "labels")
 
     # Second round: nodes of one tile in different components.
     labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    open_lists = labelled.join(mixed, "token").select("token", "node", "label")
-    tokens = open_lists.groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-    entries = written(open_lists.join(tokens, "node").join(bitmaps, "node").withColumn("band", _band(percent)), "tiles")
+    entries = written(labelled.join(mixed, "token").join(bitmaps.drop("n"), "node"), "tiles")
     smaller = entries.alias("x")
     larger = entries.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).alias("y")
     tile = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    once = F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token")
-    pairs = smaller.join(larger, tile & ordered & (F.col("x.label") != F.col("y.label")) & _passes("x", "y", percent) & once)
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    bound = _passes("x", "y", percent, FIRST_BITS) & _passes("x", "y", percent, BITS)
+    pairs = smaller.join(larger, tile & ordered & (F.col("x.label") != F.col("y.label")) & bound)
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     found = _links(pairs, documents, text, size, percent)
     group = components(first_links.union(found))
 
