@@ -140,14 +140,21 @@ def _pack(part: np.ndarray, columns: list[np.ndarray], contents: tuple[bytes, np
     """Rows of equal part as one row of packed columns; contents (bytes, lengths) must be in order of part."""
     names, begin = np.unique(part, return_index=True)
     edges = np.append(begin, len(part))
-    out = [pa.array(names, pa.int64())] + [binaries(np.ascontiguousarray(c).tobytes(), edges * c.itemsize) for c in columns]
+    codec = pa.Codec("zstd")
+    out = [pa.array(names, pa.int64())]
+    for i, column in enumerate(columns):
+        data = np.ascontiguousarray(column).tobytes()
+        if contents is None or i < 2:
+            out.append(binaries(data, edges * column.itemsize))
+        else:  # small numbers
+            at = (edges * column.itemsize).tolist()
+            out.append(pa.array([codec.compress(data[a:b], asbytes=True) for a, b in zip(at, at[1:])], pa.binary()))
     while len(out) < len(_NAMES) - 1:
         out.append(pa.nulls(len(names), pa.binary()))
     if contents is None:
         out.append(pa.nulls(len(names), pa.binary()))
     else:
         ends = np.append(0, np.cumsum(contents[1]))[edges]
-        codec = pa.Codec("zstd")
         parts = [codec.compress(contents[0][a:b], asbytes=True) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         out.append(pa.array(parts, pa.binary()))
     return pa.RecordBatch.from_arrays(out, names=_NAMES)
@@ -233,7 +240,7 @@ def repeated_ranges(
                     data, lengths = own.content(begin[cold], end[cold] + length)
                     offset = begin[cold] - own.first[local[cold]]
                     lead = place[cold] - begin[cold]
-                    yield _pack(deal, [token[cold], row[cold], owner[cold], offset, lead, lengths.astype(np.int64)], (data, lengths))
+                    yield _pack(deal, [token[cold], row[cold], owner[cold], offset.astype(np.int32), lead.astype(np.int32), lengths.astype(np.int32)], (data, lengths))
                 if often.any():
                     yield from _hot(own, row[often], owner[often], local[often], begin[often], end[often])
 
@@ -277,9 +284,13 @@ def repeated_ranges(
             chosen = decide(owner, least[which], total[which])
             row, start, end = row[chosen], offset[chosen], offset[chosen] + length
         else:
-            columns = [_column(group, c, k) for c, k in zip("abcdef", [np.uint64] + [np.int64] * 5)]
             codec = pa.Codec("zstd")
             sizes = [len(x) // 8 for x in group["a"].to_pylist()]
+            columns = [_column(group, "a", np.uint64), _column(group, "b", np.int64)]
+            for name, kind in zip("cdef", [np.dtype(np.int64)] + [np.dtype(np.int32)] * 3):
+                cells = zip(group[name].to_pylist(), sizes)
+                data = b"".join(codec.decompress(x, n * kind.itemsize, asbytes=True) for x, n in cells)
+                columns.append(np.frombuffer(data, kind).astype(np.int64))
             ends = np.cumsum(sizes)
             totals = [int(columns[5][e - s : e].sum()) for s, e in zip(sizes, ends)]
             content = b"".join(codec.decompress(x, n, asbytes=True) for x, n in zip(group["content"].to_pylist(), totals))
