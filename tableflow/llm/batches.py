@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 # Byte classes of the two word definitions in use: everything but ASCII white space, and letters,
 # digits and all non-ASCII characters.
@@ -39,7 +39,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``BASE**i`` and ``BASE**-i`` modulo 2**64 for i in 0..n."""
     if len(_powers["up"]) <= n:
-        size = max(n + 1, 2 * len(_powers["up"]))
+        size = n + 1 + n // 8
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             values = np.full(size, base, np.uint64)
             values[0] = 1

@@ -99,7 +99,8 @@ def _count(documents: DataFrame, key: str, text: str, size: int, bits: int) -> D
             for first, rows in slices(batch.column(0)):
                 part = batch.slice(first, rows)
                 sets = Sets(part.column(0), size)
-                table += np.bincount((sets.values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                at, times = np.unique(sets.values >> np.uint64(64 - bits), return_counts=True)
+                table[at.astype(np.int64)] += times.astype(np.uint32)
                 none = pa.nulls(rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(2), part.column(1), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(sets.nodes), pa.array(sets.checks), pa.array(sets.sizes, pa.int64())]
@@ -320,14 +321,18 @@ def set_components(documents: DataFrame, key: str, text: str, size: int = SHINGL
     # Second round: nodes of one tile in different components.
     labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    entries = written(labelled.join(mixed, "token").join(bitmaps.drop("n"), "node"), "tiles")
+    open_lists = labelled.join(mixed, "token")
+    tokens = open_lists.groupBy("node").agg(F.collect_set("token").alias("tokens"))
+    entries = written(open_lists.join(bitmaps.drop("n"), "node").join(tokens, "node"), "tiles")
     smaller = entries.alias("x")
     larger = entries.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).alias("y")
     tile = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
     bound = _passes("x", "y", percent, FIRST_BITS) & _passes("x", "y", percent, BITS)
-    pairs = smaller.join(larger, tile & ordered & (F.col("x.label") != F.col("y.label")) & bound)
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    # A pair that passes counts in the tile of the smallest of its common shingles only.
+    once = F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token")
+    pairs = smaller.join(larger, tile & ordered & (F.col("x.label") != F.col("y.label")) & bound & once)
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     found = _links(pairs, documents, text, size, percent)
     group = components(first_links.union(found))
 

@@ -113,7 +113,8 @@ def _table(rows: DataFrame, items: Callable[[pa.Array], Items], length: int, gra
         for batch in batches:
             for first, n in slices(batch.column(0)):
                 found = anchors_of(items(batch.column(0).slice(first, n)), length, gram)
-                table += np.bincount((found.hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                at, times = np.unique(found.hashes >> np.uint64(64 - bits), return_counts=True)
+                table[at.astype(np.int64)] += times.astype(np.uint32)
         numbers = [i for i, part in enumerate(table.reshape(-1, width)) if part.any()]
         kinds = [next(k for k, top in (("<u1", 256), ("<u2", 65536), ("<u4", 1 << 33)) if table.reshape(-1, width)[i].max() < top) for i in numbers]
         data = [table.reshape(-1, width)[i].astype(k).tobytes() for i, k in zip(numbers, kinds)]
