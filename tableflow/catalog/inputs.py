@@ -8,6 +8,7 @@ from tableflow import workspace
 from tableflow.catalog import derby
 from tableflow.catalog.registry import Registry, table
 from tableflow.operators import rollups
+from tableflow.plans.run import read_source
 from tableflow.sinks.files import write_csv
 from tableflow.sinks.tables import VersionedTable
 from tableflow.sources import files, incremental, jdbc, kafka, sql
@@ -147,6 +148,48 @@ def src_incremental(spark, folder):
     return target.read()
 
 
+@query("select event_id, ts, value from events")
+def src_incremental_zones(spark, folder):
+    """The first run happens in one time zone, the second in another; no row is lost between them."""
+    events = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    target = VersionedTable(spark, workspace.new_folder(spark, "zones"))
+    marks = incremental.MarkStore(spark, workspace.new_folder(spark, "marks"))
+    middle = "timestamp '2024-01-15 12:00:00+00:00'"
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone, arrived in (("UTC", events.where(f"ts < {middle}")), ("America/Los_Angeles", events)):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            incremental.run_incremental(arrived, "ts", marks, "events", lambda b: target.upsert(b, ["event_id"], unique_keys=True))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    return target.read().withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("select o_orderkey, case when o_orderkey % 100 = 4 then 'nan'::double else o_totalprice end as o_totalprice from orders")
+def src_incremental_nan(spark, folder):
+    """A NaN is a row like any other, and no mark: the second run still reads what is above the first one's."""
+    price = F.when(F.col("o_orderkey") % 100 == 4, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    orders = table(spark, folder, "orders").select("o_orderkey", price.alias("o_totalprice"))
+    target = VersionedTable(spark, workspace.new_folder(spark, "nan"))
+    marks = incremental.MarkStore(spark, workspace.new_folder(spark, "marks"))
+    early = orders.where("o_totalprice < 200000 or isnan(o_totalprice)")
+    for arrived in (early, orders):
+        incremental.run_incremental(arrived, "o_totalprice", marks, "orders", lambda b: target.upsert(b, ["o_orderkey"], unique_keys=True))
+    return target.read()
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders")
+def src_jdbc_described(spark, folder):
+    """A description with page size and number of ranges."""
+    target = derby.connection(spark)
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    options = jdbc.jdbc_options(target)
+    orders.toDF(*[c.upper() for c in orders.columns]).write.format("jdbc").options(**options).option("dbtable", "orders").save()
+    cursor = {"column": "o_orderkey", "pageSize": 100, "maxPartitions": 6}
+    source = {"type": "jdbc", "connection": target, "query": "select o_orderkey, o_custkey, o_totalprice from orders", "cursor": cursor}
+    return read_source(spark, {"datasource": source})
+
+
 @query("select cast(json_extract(props, '$.k') as bigint) as k, event_id from events")
 def src_kafka_decode(spark, folder):
     """Messages as a topic delivers them: a binary value beside the key."""

@@ -10,6 +10,8 @@ from tableflow.catalog.registry import Registry, table
 from tableflow.operators import delivery, runlog
 from tableflow.operators.aggregates import aggregate
 from tableflow.operators.upsert import upsert as upsert_rows
+from tableflow.plans.run import Environment, read_source, run as run_plan, run_stream
+from tableflow.plans.steps import apply_steps
 from tableflow.sinks import jdbc as jdbc_sink
 from tableflow.sinks import tables
 from tableflow.sinks.files import write_csv
@@ -67,6 +69,19 @@ def sink_jdbc_upsert(spark, folder):
     return jdbc.read_query(spark, target, 'select "s_suppkey", "s_acctbal" from supplier')
 
 
+@query("select s_suppkey, s_name from supplier where s_acctbal < 5000")
+def sink_jdbc_overwrite(spark, folder):
+    """A described sink in mode overwrite replaces the rows of its table, over two connections."""
+    target = derby.connection(spark)
+    derby.executor(spark, target)('CREATE TABLE supplier ("s_suppkey" BIGINT, "s_name" VARCHAR(100))')
+    supplier = table(spark, folder, "supplier").select("s_suppkey", "s_name")
+    storage = {"type": "jdbc", "connection": target, "table": "supplier", "mode": "overwrite", "maxConnections": 2}
+    spec = {"pipeline": {"name": "suppliers"}, "datasource": {"type": "sql", "query": ""}, "output": {"storage": storage}}
+    for rows in (supplier, table(spark, folder, "supplier").where("s_acctbal < 5000").select("s_suppkey", "s_name")):
+        run_plan(spark, spec, source=rows)
+    return jdbc.read_query(spark, target, "select * from supplier")
+
+
 def _price_cut(spark, folder):
     """Every order with status P twice: first at its price, then, later, at price 0."""
     pending = table(spark, folder, "orders").where("o_orderstatus = 'P'")
@@ -78,12 +93,12 @@ def _price_cut(spark, folder):
 
 @query(
     """select o_orderkey, o_orderstatus, case when o_orderstatus = 'P' then 0.0::double else o_totalprice end
-    as o_totalprice from orders where o_orderstatus <> 'O'"""
+    as o_totalprice from orders"""
 )
 def upsert(spark, folder):
-    """Base: the F orders and half of the P orders; batch: all P orders, two rows per key."""
+    """Base: all but half of the P orders; batch: all P orders, two rows per key."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    base = orders.where("o_orderstatus = 'F' or (o_orderstatus = 'P' and o_totalprice > 250000)")
+    base = orders.where("o_orderstatus <> 'P' or o_totalprice > 250000")
     return upsert_rows(base, _price_cut(spark, folder), ["o_orderkey"], order_by=["step"])
 
 
@@ -92,12 +107,12 @@ _PARTIAL = """select o_orderkey, o_orderstatus, o_custkey, case when o_orderstat
     union all select o_orderkey, null, null, 1.0::double from orders where o_orderstatus = 'O'"""
 
 
-def _partial(spark, folder, **choice):
+def _partial(spark, folder, spelled=("o_orderkey", "o_totalprice"), **choice):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_totalprice")
     base = orders.where("o_orderstatus <> 'O'")
     batch = orders.where("o_orderstatus <> 'F'").select(
         "o_orderkey", F.when(F.col("o_orderstatus") == "O", 1.0).alias("o_totalprice")
-    )
+    ).toDF(*spelled)
     return upsert_rows(base, batch, ["o_orderkey"], unique_keys=True, **choice)
 
 
@@ -108,19 +123,25 @@ def upsert_partial(spark, folder):
 
 
 @query(_PARTIAL)
-def upsert_partial_large(spark, folder):
-    return _partial(spark, folder, large_batch=True)
+def upsert_partial_small(spark, folder):
+    """The plan for batches whose keys can be broadcast."""
+    return _partial(spark, folder, small_batch=True)
+
+
+@query(_PARTIAL)
+def upsert_mixed_case(spark, folder):
+    """The batch spells key and column its own way."""
+    return _partial(spark, folder, spelled=("O_ORDERKEY", "O_TotalPrice"))
 
 
 @query(
-    """select o_orderkey, o_totalprice from orders where o_orderstatus = 'F'
-    union all select o_orderkey, null from orders where o_orderstatus = 'P'"""
+    """select o_orderkey, case when o_orderstatus <> 'P' then o_totalprice end as o_totalprice from orders"""
 )
 def upsert_keys_only(spark, folder):
     """A batch of nothing but keys adds those that are missing."""
     orders = table(spark, folder, "orders")
-    base = orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
-    batch = orders.where("o_orderstatus <> 'O'").select("o_orderkey")
+    base = orders.where("o_orderstatus <> 'P'").select("o_orderkey", "o_totalprice")
+    batch = orders.select("o_orderkey")
     return upsert_rows(base, batch, ["o_orderkey"], unique_keys=True)
 
 
@@ -151,6 +172,151 @@ def upsert_partitioned(spark, folder):
     return spark.read.parquet(path)
 
 
+@query("select o_orderkey, o_totalprice from orders")
+def upsert_table_empty_batch(spark, folder):
+    """An empty batch leaves the version as it is; vacuum leaves the current one."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    target = tables.VersionedTable(spark, workspace.new_folder(spark, "upsert"))
+    target.replace(orders.limit(0))
+    current = target.replace(orders)
+    if target.upsert(orders.where("o_orderkey < 0"), ["o_orderkey"], unique_keys=True).version != current.version:
+        raise AssertionError("an empty batch made a version")
+    target.vacuum(keep=1)
+    return target.read()
+
+
+@query(
+    """select o_orderkey, case when o_orderstatus = 'P' then 0.0::double else o_totalprice end as o_totalprice,
+    o_orderstatus from orders"""
+)
+def upsert_described_partitioned(spark, folder):
+    """A description names the partitions; only those the batch touches are rewritten."""
+    path = workspace.new_folder(spark, "described-partitioned")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    storage = {"type": "parquet", "table": path, "primaryKeys": ["o_orderstatus", "o_orderkey"], "partitionBy": ["o_orderstatus"]}
+    for rows in (orders, orders.where("o_orderstatus = 'P'").withColumn("o_totalprice", F.lit(0.0))):
+        spec = {"pipeline": {"name": "orders"}, "datasource": {"type": "sql", "query": ""}, "output": {"storage": storage}}
+        run_plan(spark, spec, source=rows)
+    return spark.read.parquet(path)
+
+
+# --- described runs ------------------------------------------------------------------------------
+
+
+def _messy(spark, folder, header="key,name,total"):
+    """Customers as CSV text: some balances are words, some records have a field too many."""
+    customer = table(spark, folder, "customer")
+    total = F.when(F.col("c_custkey") % 10 == 3, "unknown").otherwise(F.col("c_acctbal").cast("string"))
+    extra = F.when(F.col("c_custkey") % 50 == 7, ",more").otherwise("")
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(","), "c_name", F.lit(","), total, extra)
+    path = workspace.new_folder(spark, "messy")
+    customer.select(line).write.text(path)
+    fields = [{"name": "key", "type": "LONG"}, {"name": "name", "type": "STRING"}, {"name": "total", "type": "DOUBLE"}]
+    return {
+        "pipeline": {"name": "messy"},
+        "datasource": {"type": "csv", "filePath": path, "hasHeader": False},
+        "inputSchema": {"fields": fields},
+    }
+
+
+@query(
+    """select 'total' as reject_field, 'unknown' as reject_value, 'DOUBLE' as reject_type, c_custkey as key from customer
+    where c_custkey % 10 = 3 and c_custkey % 50 <> 7
+    union all select '_record', c_custkey || ',' || c_name || ',' || case when c_custkey % 10 = 3 then 'unknown'
+    else cast(c_acctbal as varchar) end || ',more', 'RECORD', null from customer where c_custkey % 50 = 7"""
+)
+def run_rejects(spark, folder):
+    """Rows that break the schema, and records that do not parse, are written with field, value and type."""
+    path = workspace.new_folder(spark, "rejects")
+    spec = _messy(spark, folder) | {"output": {"rejects": {"path": path, "onReject": "drop"}}}
+    run_plan(spark, spec)
+    key = F.get_json_object("record", "$.key").cast("bigint")
+    found = spark.read.parquet(path)
+    return found.select("reject_field", "reject_value", "reject_type", F.when(F.col("reject_field") != "_record", key).alias("key"))
+
+
+@query(
+    """select count(*) filter (where c_custkey % 10 <> 3 and c_custkey % 50 <> 7) as kept,
+    count(*) filter (where c_custkey % 10 = 3 or c_custkey % 50 = 7) as rejected,
+    count(*) filter (where c_custkey % 10 = 3 or c_custkey % 50 = 7) || ' rejected' as told from customer"""
+)
+def run_rejects_counts(spark, folder):
+    """The result of a run and its log tell how many rows were left out."""
+    log = runlog.RunLog(spark, workspace.new_folder(spark, "runlog"))
+    spec = _messy(spark, folder) | {"output": {"rejects": {"onReject": "drop"}}}
+    done = run_plan(spark, spec, Environment(run_log=log))
+    counts = [F.lit(done.rows).cast("bigint").alias("kept"), F.lit(done.rejected).cast("bigint").alias("rejected")]
+    return log.read().select(*counts, F.col("error_message").alias("told"))
+
+
+@query("select c_custkey as key, 'two' || chr(10) || c_name as name, '' as note from customer where c_acctbal > 100")
+def src_csv_described(spark, folder):
+    """Quoted line breaks and empty cells, kept as text, through a description."""
+    path = workspace.new_folder(spark, "described-csv")
+    customer = table(spark, folder, "customer").where("c_acctbal > 100")
+    write_csv(customer.select(F.col("c_custkey").alias("key"), F.concat(F.lit("two\n"), "c_name").alias("name"), F.lit("").alias("note")), path, ";")
+    source = {"type": "csv", "filePath": path, "delimiter": ";", "multiLine": True, "text": True}
+    fields = [{"name": n, "type": "STRING"} for n in ("key", "name", "note")]
+    df = read_source(spark, {"datasource": source, "inputSchema": {"fields": fields}})
+    return df.withColumn("key", F.col("key").cast("bigint"))
+
+
+@query("select cast(o_orderkey as varchar) as id, cast(o_totalprice as varchar) as total from orders where o_totalprice > 100000")
+def filter_text_described(spark, folder):
+    """A number held as text, compared as a number by a described step; the rows keep their text."""
+    orders = table(spark, folder, "orders")
+    texts = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").cast("string").alias("total"))
+    return apply_steps(texts, [{"type": "filter", "numeric": ["total"], "expression": "total > 100000 && id != 'x'"}])
+
+
+@query(
+    """select event_type, count(*) as n, round(sum(value), 2) as total from events group by 1"""
+)
+def stream_run_per_file(spark, folder):
+    """One file per event type: a described stream aggregates each file as a run of its own."""
+    spec, inbox = _stream_spec(spark, folder)
+    run_stream(spark, spec, workspace.new_folder(spark, "checkpoint")).awaitTermination()
+    found = spark.read.parquet(spec["output"]["storage"]["table"])
+    return found.select("event_type", F.col("n").cast("bigint").alias("n"), F.round("total", 2).alias("total"))
+
+
+def _stream_spec(spark, folder):
+    inbox = workspace.new_folder(spark, "inbox")
+    events = table(spark, folder, "events").select("event_id", "value", "event_type", F.col("event_type").alias("kind"))
+    events.repartition(1, "kind").write.partitionBy("kind").option("header", True).csv(inbox)
+    fields = [{"name": "event_id", "type": "LONG"}, {"name": "value", "type": "DOUBLE"}, {"name": "event_type", "type": "STRING"}]
+    wanted = [{"field": "event_id", "function": "COUNT", "alias": "n"}, {"field": "value", "function": "SUM", "alias": "total"}]
+    spec = {
+        "pipeline": {"name": "per-file"},
+        "datasource": {"type": "csv", "filePath": f"{inbox}/*"},
+        "inputSchema": {"fields": fields},
+        "transforms": [{"type": "aggregate", "groupBy": ["event_type"], "aggregations": wanted}],
+        "output": {"storage": {"type": "parquet", "table": workspace.new_folder(spark, "per-file")}},
+    }
+    return spec, inbox
+
+
+@query(
+    """select 'sink' as place, event_type, count(*) as n from events group by 2
+    union all select 'delivery', event_type, count(*) from events group by 2"""
+)
+def stream_run_replayed(spark, folder):
+    """The last commit is removed and the stream runs again: sink and deliveries hold each batch once."""
+    spec, _ = _stream_spec(spark, folder)
+    out, checkpoint = workspace.new_folder(spark, "deliveries"), workspace.new_folder(spark, "checkpoint")
+    env = Environment(subscriptions=[delivery.Subscription("all", "per-file", ("event_type", "n"))], delivery_path=out)
+    run_stream(spark, spec, checkpoint, env).awaitTermination()
+    system, commits = workspace.file_system(spark, f"{checkpoint}/commits")
+    last = max(int(f.getPath().getName()) for f in system.listStatus(commits) if f.getPath().getName().isdigit())
+    workspace.remove(spark, f"{checkpoint}/commits/{last}")
+    workspace.remove(spark, f"{checkpoint}/commits/.{last}.crc")
+    run_stream(spark, spec, checkpoint, env).awaitTermination()
+    count = F.col("n").cast("bigint").alias("n")
+    sink = spark.read.parquet(spec["output"]["storage"]["table"]).select(F.lit("sink").alias("place"), "event_type", count)
+    delivered = spark.read.parquet(out).select(F.lit("delivery").alias("place"), "event_type", count)
+    return sink.union(delivered)
+
+
 # --- delivery ------------------------------------------------------------------------------------
 
 
@@ -229,6 +395,23 @@ def sub_fanout_counts(spark, folder):
     return delivery.fan_out_counts(table(spark, folder, "events"), _event_subscriptions())
 
 
+@query(
+    """select 'good' as consumer, event_id, false as failed from events where value > 100
+    union all select 'unknown column', null, true union all select 'text as number', null, true"""
+)
+def sub_fanout_isolated(spark, folder):
+    """Two subscriptions cannot be served and say so; the third gets its rows."""
+    wanted = [
+        delivery.Subscription("unknown column", "events", ("event_id",), "nothing > 1"),
+        delivery.Subscription("good", "events", ("event_id",), "value > 100"),
+        delivery.Subscription("text as number", "events", ("event_id",), "event_type > 1"),
+    ]
+    done = delivery.fan_out(table(spark, folder, "events"), wanted, workspace.new_folder(spark, "isolated"), run="1")
+    failed = [(d.subscription.consumer, None, True) for d in done if d.error]
+    rows = delivery.read_deliveries(spark, done).select("consumer", "event_id", F.lit(False).alias("failed"))
+    return rows.union(spark.createDataFrame(failed, "consumer string, event_id bigint, failed boolean"))
+
+
 @query("select event_id from events where ts >= timestamp '2024-01-29 23:00:00'")
 def snapshot_fresh(spark, folder):
     """Events by staging time, one hour before a fixed moment."""
@@ -265,7 +448,7 @@ def _events_as_runs(spark, folder):
 @query(
     """select cast(event_id as varchar) as id, event_type as pipeline_name,
     case when value > 20 then 'SUCCESS' else 'FAILED' end as status, user_id as row_count, ts as end_time
-    from events where event_type in ('click', 'view')"""
+    from events"""
 )
 def runlog_append(spark, folder):
     """Two appends and a line that is no entry."""
@@ -273,7 +456,7 @@ def runlog_append(spark, folder):
     log = runlog.RunLog(spark, path)
     runs = _events_as_runs(spark, folder)
     log.append(runs.where("pipeline_name = 'click'"))
-    log.append(runs.where("pipeline_name = 'view'"))
+    log.append(runs.where("pipeline_name <> 'click'"))
     spark.range(1).select(F.lit("{broken").alias("value")).write.mode("append").text(path)
     kept = log.read().select("id", "pipeline_name", "status", "row_count", "end_time")
     return kept.withColumn("end_time", F.col("end_time").cast("timestamp_ntz"))
@@ -296,12 +479,11 @@ def runlog_recent(spark, folder):
 
 
 @query(
-    """select user_id, ts, event_id from events where event_type = 'purchase'
+    """select user_id, ts, event_id from events
     qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1"""
 )
 def runlog_last(spark, folder):
-    bought = table(spark, folder, "events").where("event_type = 'purchase'")
-    return runlog.last_run(bought, "user_id", ["ts", "event_id"], ["event_id"])
+    return runlog.last_run(table(spark, folder, "events"), "user_id", ["ts", "event_id"], ["event_id"])
 
 
 @query(
@@ -327,13 +509,12 @@ def runlog_metrics(spark, folder):
 
 @query(
     """select c_name as pipeline, o_orderkey as consumer from customer left join
-    (select * from orders where o_totalprice > 400000) on o_custkey = c_custkey"""
+    orders on o_custkey = c_custkey"""
 )
 def lineage(spark, folder):
-    """Customers as pipelines, their dearest orders as consumers; some have none."""
+    """Customers as pipelines, their orders as consumers; some have none."""
     runs = table(spark, folder, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("pipeline"))
-    dear = table(spark, folder, "orders").where("o_totalprice > 400000")
-    consumers = dear.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("consumer"))
+    consumers = table(spark, folder, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("consumer"))
     return runlog.lineage_entries(runs, consumers, "key").select("pipeline", "consumer")
 
 

@@ -351,6 +351,31 @@ def agg_skip_nulls(spark, folder):
     return _rounded(aggregates.aggregate(orders, ["o_orderstatus"], wanted, nulls="skip"), 4, "a")
 
 
+@query(
+    """select l_returnflag, min(l_shipdate)::date as first_day, max(l_shipdate) as last_time, min(s_name) as first_name,
+    max(l_orderkey + 9007199254740992) as top_key, sum(l_orderkey * 1000000000000 + 1)::bigint as key_total,
+    sum(cast(l_quantity as decimal(10, 2))) as quantity from lineitem join supplier on l_suppkey = s_suppkey group by 1"""
+)
+def agg_skip_types(spark, folder):
+    """SQL's aggregates in the column's own type: dates, times, text, longs above 2^53, decimals."""
+    lineitem, supplier = table(spark, folder, "lineitem"), table(spark, folder, "supplier").select("s_suppkey", "s_name")
+    rows = joins.lookup_join(lineitem, supplier, {"l_suppkey": "s_suppkey"}).select(
+        "l_returnflag",
+        F.col("l_shipdate").cast("date").alias("day"),
+        F.col("l_shipdate").alias("time"),
+        "s_name",
+        (F.col("l_orderkey") + 9007199254740992).alias("large"),
+        (F.col("l_orderkey") * 1000000000000 + 1).alias("huge"),
+        F.col("l_quantity").cast("decimal(10,2)").alias("exact"),
+    )
+    wanted = [
+        ("day", "MIN", "first_day"), ("time", "MAX", "last_time"), ("s_name", "MIN", "first_name"), ("large", "MAX", "top_key"),
+        ("huge", "SUM", "key_total"), ("exact", "SUM", "quantity"),
+    ]
+    found = aggregates.aggregate(rows, ["l_returnflag"], wanted, nulls="skip")
+    return found.withColumn("quantity", F.col("quantity").cast("decimal(38,2)"))
+
+
 @query("select c_mktsegment, min(c_acctbal) as mn, max(c_acctbal) as mx from customer group by 1")
 def agg_min_max(spark, folder):
     wanted = [("c_acctbal", "Min", "mn"), ("c_acctbal", "Max", "mx")]

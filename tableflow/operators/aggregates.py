@@ -51,7 +51,9 @@ def _expression(df: DataFrame, agg: Agg, nulls: str) -> Column:
     value, dtype = names.col(found), df.schema[found].dataType
     if nulls == "zero":
         return _NUMERIC[function](casts.zero_filled(value, dtype))
-    return _NUMERIC[function](casts.as_double(value, dtype))
+    if function in ("SUM", "AVG") and not isinstance(dtype, T.NumericType):
+        value = casts.as_double(value, dtype)
+    return _NUMERIC[function](value)
 
 
 def aggregate(
@@ -60,10 +62,11 @@ def aggregate(
     aggregations: Iterable[Agg | Mapping[str, str] | tuple] | None,
     nulls: str = "zero",
 ) -> DataFrame:
-    """COUNT, SUM, AVG, MIN, MAX per group; numbers are doubles, COUNT counts rows.
+    """COUNT, SUM, AVG, MIN, MAX per group; COUNT counts rows.
 
-    ``nulls="zero"``: NULL and text that is no number count as 0, also in AVG's denominator and in
-    MIN and MAX. ``nulls="skip"``: as in SQL. Null and empty text keys are one group, shown as NULL
+    ``nulls="zero"``: numbers are doubles; NULL and text that is no number count as 0, also in AVG's denominator and in
+    MIN and MAX. ``nulls="skip"``: as in SQL, in the column's own type; only SUM and AVG of text
+    read it as numbers, leaving out what is none. Null and empty text keys are one group, shown as NULL
     only if no member held the empty text. No aggregation list: nothing changes; an empty one gives
     the distinct keys. Without keys there is one row, or none for empty input.
     """

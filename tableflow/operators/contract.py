@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableflow.functions import casts, names
 
@@ -54,6 +54,15 @@ def _checks(df: DataFrame, fields: Fields):
             yield name, target, names.col(found), df.schema[found].dataType
 
 
+def failures(df: DataFrame, fields: Fields) -> list[Column]:
+    """For each declared field that needs a cast: does its value break the contract."""
+    return [
+        casts.failed(value, dtype, target)
+        for _, target, value, dtype in _checks(df, fields)
+        if dtype != casts.declared_type(target) and not isinstance(casts.declared_type(target), T.StringType)
+    ]
+
+
 def rejects(df: DataFrame, fields: Fields) -> DataFrame:
     """Rows of ``df`` that break the contract, one row per broken field, found in one pass.
 

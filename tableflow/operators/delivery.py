@@ -7,12 +7,14 @@ import json
 import math
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
 from operator import or_
 from urllib.parse import quote
 
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tableflow.functions import names, predicates
@@ -22,6 +24,8 @@ from tableflow.sinks.tables import Commit, VersionedTable
 # Rows per page and seconds a snapshot stays current, where none are given.
 PAGE_SIZE = 500
 SNAPSHOT_TTL_SECONDS = 3600
+# Writes of one fan-out that run at the same time.
+SIDE_BY_SIDE = 4
 
 
 @dataclass(frozen=True)
@@ -38,7 +42,7 @@ class Subscription:
         """A folder name: stays the same as long as the subscription does."""
         told = json.dumps([self.consumer, self.pipeline, self.fields, self.filter])
         readable = re.sub(r"[^A-Za-z0-9]+", "-", self.consumer)
-        return f"{readable}-{hashlib.sha256(told.encode()).hexdigest()[:12]}"
+        return f"{readable}-{hashlib.sha256(told.encode()).hexdigest()}"
 
 
 def subscriptions(registration: Mapping) -> list[Subscription]:
@@ -109,9 +113,12 @@ def has_more(number: int, size: int, total_rows: int) -> bool:
 
 @dataclass(frozen=True)
 class Delivery:
+    """What a subscription got; with ``error`` it got nothing, and this is why."""
+
     subscription: Subscription
     folder: str
     rows: int
+    error: str | None = None
 
 
 def _match(df: DataFrame, subscription: Subscription) -> Column:
@@ -120,27 +127,53 @@ def _match(df: DataFrame, subscription: Subscription) -> Column:
     return F.lit(True) if wanted is None else wanted
 
 
+def _first_line(error: Exception) -> str:
+    return next(iter(str(error).splitlines()), type(error).__name__)
+
+
 def fan_out(result: DataFrame, wanted: Iterable[Subscription], path: str, run: str) -> list[Delivery]:
     """Write each subscription's view of ``result`` below ``path``, one ``run=`` partition per run.
 
     Subscriptions to the same fields share one scan: each row is written once per subscription that
-    it matches, without a shuffle. ``result`` should be a stored table (a snapshot), so that every
-    scan reads its own columns and nothing is held in executor memory. A repeated run replaces its
+    it matches, after a rebalance by subscription, so that a view has files of the size that adaptive
+    execution aims at and not one from every task. Field lists run side by side. ``result`` should be
+    a stored table (a snapshot), so that every scan reads its own columns. A repeated run replaces its
     own partitions. An empty view writes none and is not listed.
+
+    A subscription that cannot be served is reported with its ``error``, the others are served: a filter
+    or field list is checked against the schema first, and if a shared write fails, each of its
+    members is written alone.
     """
     if not re.fullmatch(r"[A-Za-z0-9_-]+", run):
         raise ValueError(f"run {run!r} must be letters, digits, - and _: it names a folder")
     sharing: dict[tuple[str, ...], list[Subscription]] = {}
+    failed = []
     for subscription in dict.fromkeys(wanted):
+        try:
+            reserved = {"subscription", "run"} & {c.lower() for c in subscription.fields or result.columns}
+            if reserved:
+                raise ValueError(f"field names {sorted(reserved)} are taken by the folder layout")
+            result.where(_match(result, subscription)).schema  # noqa: B018 (the analysis is the check)
+        except (ValueError, AnalysisException, ParseException) as error:
+            failed.append(Delivery(subscription, "", 0, _first_line(error)))
+            continue
         sharing.setdefault((subscription.pipeline, *subscription.fields), []).append(subscription)
-    return [d for members in sharing.values() for d in _fan_out_shared(result, members, path, run)]
+    with ThreadPoolExecutor(max_workers=SIDE_BY_SIDE) as pool:
+        done = pool.map(lambda members: _fan_out_group(result, members, path, run), sharing.values())
+        return [d for deliveries in done for d in deliveries] + failed
+
+
+def _fan_out_group(result: DataFrame, members: list[Subscription], path: str, run: str) -> list[Delivery]:
+    try:
+        return _fan_out_shared(result, members, path, run)
+    except PySparkException as error:
+        if len(members) == 1:
+            return [Delivery(members[0], "", 0, _first_line(error))]
+        return [d for member in members for d in _fan_out_group(result, [member], path, run)]
 
 
 def _fan_out_shared(result: DataFrame, members: list[Subscription], path: str, run: str) -> list[Delivery]:
     fields = members[0].fields or tuple(result.columns)
-    reserved = {"subscription", "run"} & set(fields)
-    if reserved:
-        raise ValueError(f"fan_out: field names {sorted(reserved)} are taken by the folder layout")
     matches = [_match(result, m) for m in members]
     labels = F.array_compact(F.array(*[F.when(c, F.lit(m.label)) for c, m in zip(matches, members)]))
     matched = result.where(reduce(or_, matches)).select("*", F.explode(labels).alias("subscription"))
@@ -148,7 +181,7 @@ def _fan_out_shared(result: DataFrame, members: list[Subscription], path: str, r
     counted = Observation()
     totals = [F.count_if(F.col("subscription") == m.label).alias(f"n{i}") for i, m in enumerate(members)]
     base = f"{path.rstrip('/')}/pipeline={quote(members[0].pipeline, safe='')}"
-    view.observe(counted, *totals).write.mode("overwrite").option(
+    view.hint("rebalance", F.col("subscription")).observe(counted, *totals).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("subscription", "run").parquet(base)
     rows = [counted.get[f"n{i}"] for i in range(len(members))]
@@ -166,7 +199,9 @@ def fan_out_counts(result: DataFrame, wanted: Iterable[Subscription]) -> DataFra
 def read_deliveries(spark: SparkSession, deliveries: Iterable[Delivery]) -> DataFrame:
     """The delivered rows, labelled by consumer; absent fields are NULL."""
     parts = [
-        spark.read.parquet(d.folder).withColumn("consumer", F.lit(d.subscription.consumer)) for d in deliveries
+        spark.read.parquet(d.folder).withColumn("consumer", F.lit(d.subscription.consumer))
+        for d in deliveries
+        if d.error is None
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
@@ -189,22 +224,16 @@ def fresh(
 class Snapshots:
     """The latest result of each pipeline, replaced as a whole."""
 
-    def __init__(self, spark: SparkSession, path: str, ttl_seconds: int = SNAPSHOT_TTL_SECONDS, max_rows: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, ttl_seconds: int = SNAPSHOT_TTL_SECONDS):
         self.spark, self.path = spark, path.rstrip("/")
-        self.ttl_seconds, self.max_rows = ttl_seconds, max_rows
+        self.ttl_seconds = ttl_seconds
 
     def _table(self, pipeline: str) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.path}/{quote(pipeline, safe='')}")
 
     def put(self, pipeline: str, df: DataFrame) -> Commit | None:
-        """Store a result; an empty one keeps the previous snapshot. Returns the current commit.
-
-        With ``max_rows`` a larger result leaves no snapshot at all; by default there is no limit.
-        """
-        commit = self._table(pipeline).replace(df, keep_if_empty=True)
-        if commit is not None and self.max_rows is not None and commit.rows > self.max_rows:
-            self.clear(pipeline)
-        return commit
+        """Store a result, however large; an empty one keeps the previous snapshot. Returns the current commit."""
+        return self._table(pipeline).replace(df, keep_if_empty=True)
 
     def content(self, pipeline: str, commit: Commit) -> DataFrame:
         """The rows of one commit, whether current or not."""

@@ -52,9 +52,10 @@ def lookup_join(
 
     ``how`` is ``inner`` or ``left``. ``one_match`` gives an order: then at most the first lookup
     row per key matches. A lookup key named like a left column is not repeated; any other name
-    clash is an error. With ``salt=n`` every key is spread over n reducers, by repeating the lookup
-    n times; worth it only if a hot key sits in a plan that adaptive skew handling cannot split,
-    for example right before an aggregate on the same key.
+    clash is an error, names compared as the session does. With ``salt=n`` the rows of every key are
+    dealt in turn to n reducers, by repeating the lookup n times; worth it only if a hot key sits in a
+    plan that adaptive skew handling cannot split, for example right before an aggregate on the same
+    key. A retried task deals alike if it reads its rows in the same order, as scans of files do.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
@@ -65,25 +66,19 @@ def lookup_join(
     renamed = lookup.toDF(*[f"__r{i}" for i in range(len(lookup.columns))])
     position = {c: f"__r{i}" for i, c in enumerate(lookup.columns)}
     right_keys = {r for _, r in pairs}
-    clash = [c for c in position if c in left.columns and c not in right_keys]
+    clash = [c for c in position if names.find(left, c) is not None and c not in right_keys]
     if clash:
         raise ValueError(f"join: columns on both sides {clash}; rename or project one side first")
     condition = [names.col(l) == F.col(position[r]) for l, r in pairs]
+    columns = left.columns
     if salt > 1:
-        left = left.withColumn("__salt", spread(left, [l for l, _ in pairs], salt))
+        left = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int"))
         renamed = renamed.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         condition.append(F.col("__salt") == F.col("__rsalt"))
     joined = left.join(renamed, condition, how)
-    out: dict[str, Column] = {c: names.col(c) for c in left.columns if c != "__salt"}
+    out: dict[str, Column] = {c: names.col(c) for c in columns}
     for name, internal in position.items():
-        if name in right_keys and (not keep_keys or name in out):
+        if name in right_keys and (not keep_keys or names.find(left, name) is not None):
             continue
         out[name] = F.col(internal)
     return joined.select(*[value.alias(name) for name, value in out.items()])
-
-
-def spread(df: DataFrame, keys: Iterable[str], salt: int) -> Column:
-    """A number below ``salt`` from the columns that are no key: the same after a task is retried."""
-    keys = set(keys)
-    rest = [names.col(c) for c in df.columns if c not in keys] or [F.lit(0)]
-    return F.pmod(F.xxhash64(*rest), F.lit(salt)).cast("int")

@@ -22,9 +22,14 @@ def positional_names(df: DataFrame) -> DataFrame:
 
 
 def array_columns(df: DataFrame, field: str, width: int) -> DataFrame:
-    """The first ``width`` elements of an array column as ``col0 .. colN``; NULL past its end."""
+    """The elements of an array column as ``col0 .. colN``; NULL past its end.
+
+    Nothing is cut: an array of more than ``width`` elements fails the job.
+    """
     value = names.col(field)
-    return df.select(*[F.get(value, F.lit(i)).alias(f"col{i}") for i in range(width)])
+    told = F.concat(F.lit(f"{field}: more than {width} elements, found "), F.size(value).cast("string"))
+    checked = F.when(F.size(value) > width, F.raise_error(told).cast(names.type_of(df, field))).otherwise(value)
+    return df.select(checked.alias("value")).select(*[F.get("value", F.lit(i)).alias(f"col{i}") for i in range(width)])
 
 
 def value_column(df: DataFrame, value: str | Column) -> DataFrame:

@@ -32,49 +32,66 @@ def upsert(
     keys: Iterable[str] | None,
     order_by: Iterable[str | Column] | None = None,
     unique_keys: bool = False,
-    large_batch: bool = False,
+    small_batch: bool = False,
 ) -> DataFrame:
     """``base`` after writing ``batch``: new keys are added, known keys take the batch's values.
 
     Without keys the batch is appended. The last row per key by ``order_by`` wins (Columns there
     must already be descending); a batch known to hold each key once says ``unique_keys=True``.
-    Columns of ``base`` that the batch does not have keep their value, or NULL in new rows; a NULL
-    in the batch does overwrite. A batch of keys only adds missing keys. Order columns that are not
-    in ``base`` are dropped. A null key never matches.
+    Batch columns are matched to the table's as the session compares names. One that the table does
+    not have is an error, unless it only orders the batch. Columns of ``base`` that the batch does
+    not have keep their value, or NULL in new rows; a NULL in the batch does overwrite. A batch of
+    keys only adds missing keys. A null key never matches.
 
-    The plan suits a batch much smaller than the table: the table is then not shuffled. With
-    ``large_batch`` a batch that lacks columns is merged in one full outer join, which moves both
-    sides once; that is less work if the batch is about as large as the table.
+    A batch that lacks columns is merged in one full outer join, which moves both sides once. With
+    ``small_batch``, for keys that Spark broadcasts, the table stays where it is instead.
     """
-    keys = list(keys or [])
+    keys, order_by = list(keys or []), None if order_by is None else list(order_by)
     if not keys:
-        return base.unionByName(batch.select(*_shared(base, batch)), allowMissingColumns=True)
+        batch = _spelled(base, batch, [])
+        return base.unionByName(batch, allowMissingColumns=True)
     names.require(base, keys, "upsert base")
     names.require(batch, keys, "upsert batch")
     if order_by is None and not unique_keys:
         raise ValueError("upsert needs order_by to choose the last row per key, or unique_keys=True")
-    shared = _shared(base, batch)
-    touched = batch.select(*keys).dropna()
-    touched = touched if unique_keys else touched.distinct()
+    keys = [names.find(base, k) for k in keys]
+    ordering = [o for o in order_by or () if isinstance(o, str)]
+    shared = [c for c in base.columns if names.find(batch, c) is not None]
     if set(shared) == set(keys):
+        batch = _spelled(base, batch, ordering, loose=any(isinstance(o, Column) for o in order_by or ()))
+        touched = batch.select(*keys).dropna()
+        touched = touched if unique_keys else touched.distinct()
         new = batch.select(*keys) if unique_keys else touched.unionByName(_null_keys(batch, keys))
         return base.unionByName(_absent(new, base, touched, keys), allowMissingColumns=True)
     if order_by is not None:
-        batch = written_rows(batch, keys, list(order_by))
+        batch = written_rows(batch, keys, order_by)
+    batch = _spelled(base, batch, ordering, loose=any(isinstance(o, Column) for o in order_by or ()))
+    touched = batch.select(*keys).dropna()
     if len(shared) == len(base.columns):
         # The batch brings whole rows: what it does not touch stays, the rest is the batch. The join
         # needs the batch's keys only, and the base is not shuffled if those are small.
         kept = base.join(touched, keys, "left_anti").select(*base.columns)
         return kept.unionByName(batch.select(*base.columns))
-    batch = batch.select(*shared)
-    if large_batch:
+    if not small_batch:
         return _overwrite(base, batch, keys, "full_outer")
     new = _absent(batch, base, touched, keys)
     return _overwrite(base, batch, keys).unionByName(new, allowMissingColumns=True)
 
 
-def _shared(base: DataFrame, batch: DataFrame) -> list[str]:
-    return [c for c in base.columns if c in batch.columns]
+def _spelled(base: DataFrame, batch: DataFrame, ordering: Iterable[str], loose: bool = False) -> DataFrame:
+    """The batch's columns that the table has, in the table's spelling.
+
+    Others must be order columns; ``loose`` lets them be anything, for an order given as expressions.
+    """
+    found = {c: names.find(base, c) for c in batch.columns}
+    used = {names.find(batch, o) for o in ordering}
+    unknown = [c for c, target in found.items() if target is None and c not in used]
+    if unknown and not loose:
+        raise ValueError(f"upsert: the table has no column {unknown}; have {base.columns}")
+    known = {c: target for c, target in found.items() if target is not None}
+    if len(set(known.values())) < len(known):
+        raise ValueError(f"upsert: two batch columns stand for one table column in {list(known)}")
+    return batch.select(*[names.col(c).alias(target) for c, target in known.items()])
 
 
 def _null_keys(batch: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from tableflow.functions import predicates
+from tableflow.functions import names, predicates
 from tableflow.operators import aggregates, joins, transforms
 
 Lookup = Callable[[str], DataFrame]
@@ -22,7 +22,16 @@ def _pairs(step: Mapping, source: str = "from", target: str = "to") -> list[tupl
 
 def _filter(df: DataFrame, step: Mapping, lookup: Lookup | None) -> DataFrame:
     expression = step.get("expression")
-    return transforms.filter_rows(df, predicates.from_expression(expression) if expression else step.get("where"))
+    predicate = predicates.from_expression(expression) if expression else step.get("where")
+    numeric = step.get("numeric") or ()
+    if not numeric:
+        return transforms.filter_rows(df, predicate)
+    # The predicate sees numbers, NULL where a text is none; the rows keep their text.
+    names.require(df, numeric, "filter numeric")
+    found = {names.find(df, n): f"__text{i}" for i, n in enumerate(numeric)}
+    numbers = [predicates.text_number(names.col(c)).alias(c) if c in found else names.col(c) for c in df.columns]
+    kept = transforms.filter_rows(df.select(*numbers, *[names.col(c).alias(t) for c, t in found.items()]), predicate)
+    return kept.select(*[F.col(found[c]).alias(c) if c in found else names.col(c) for c in df.columns])
 
 
 def _join(df: DataFrame, step: Mapping, lookup: Lookup | None) -> DataFrame:

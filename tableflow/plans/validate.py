@@ -45,21 +45,21 @@ def validate(spark: SparkSession, spec: Mapping, lookup: Lookup | None = None) -
     """
     issues = []
     if not str((spec.get("pipeline") or {}).get("name") or "").strip():
-        issues.append("pipeline.name is required")
+        issues.append("the pipeline has no name")
     source = spec.get("datasource")
     if not source:
-        issues.append("datasource is required")
+        issues.append("no source is described")
     fields = (spec.get("inputSchema") or {}).get("fields")
     if not fields:
-        return [*issues, "inputSchema.fields is required"]
+        return [*issues, "the input has no declared fields"]
     df = declared_rows(spark, fields)
     for what, part in (("cursor", (source or {}).get("cursor")), ("watermark", spec.get("watermark"))):
         if part and names.find(df, part["column"]) is None:
-            issues.append(f"{what} column '{part['column']}' not in inputSchema")
+            issues.append(f"{what}: the input declares no field {part['column']!r}")
     for number, step in enumerate(spec.get("transforms") or (), start=1):
         if isinstance(step, Mapping):
             gone = names.missing(df, [n for n in _named(step) if n])
-            issues += [f"step {number} ({step.get('type')}): '{n}' not in schema" for n in gone]
+            issues += [f"step {number} ({step.get('type')}): its input has no field {n!r}" for n in gone]
             if gone:
                 continue
             if step.get("type") == "join" and lookup is None:
@@ -70,5 +70,5 @@ def validate(spark: SparkSession, spec: Mapping, lookup: Lookup | None = None) -
         except (ValueError, KeyError, AnalysisException, ParseException) as error:
             issues.append(f"step {number}: {str(error).splitlines()[0]}")
     wanted = field_types((spec.get("outputSchema") or {}).get("fields") or [])
-    issues += [f"outputSchema: '{n}' not produced by transforms" for n in names.missing(df, wanted)]
+    issues += [f"output: no step yields a field {n!r}" for n in names.missing(df, wanted)]
     return issues

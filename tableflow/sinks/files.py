@@ -7,13 +7,9 @@ from pyspark.sql import DataFrame
 from tableflow.storage import LOCAL_TIME_FORMAT, TIME_FORMAT
 
 
-def write_csv(df: DataFrame, path: str, delimiter: str = ",", header: bool = True, single_file: bool = False) -> None:
-    """Replace the folder at ``path`` with the rows of ``df``, one file per task.
-
-    ``single_file`` writes through one task: for small results that a person opens.
-    """
-    out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").options(
+def write_csv(df: DataFrame, path: str, delimiter: str = ",", header: bool = True) -> None:
+    """Replace the folder at ``path`` with the rows of ``df``, one file per task."""
+    df.write.mode("overwrite").options(
         sep=delimiter,
         header=header,
         quote='"',

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 from datetime import datetime
 from typing import NamedTuple
 
@@ -25,10 +26,9 @@ class Commit(NamedTuple):
     committed_at: datetime
 
 
-# Above this many touched partitions the values are joined instead of listed in the scan's filter.
+# Up to this many touched partitions their values are listed in the scan's filter; above, it has only
+# their bounds.
 MAX_LISTED_PARTITIONS = 10_000
-# A batch with more than this share of the table's rows (one in four) is merged as a large one.
-LARGE_BATCH_SHARE = 4
 
 
 class VersionedTable:
@@ -36,7 +36,7 @@ class VersionedTable:
 
     Readers always see one whole version, and a version can be computed from the one before. The
     commit is a record appended after the data is complete; a failed write leaves no trace in it.
-    One writer at a time. Old versions stay until storage rules remove them.
+    One writer at a time. :meth:`vacuum` removes old versions.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -61,7 +61,7 @@ class VersionedTable:
 
     def _commit(self, df: DataFrame, current: Commit | None, keep_if_empty: bool = False) -> Commit | None:
         version = current.version + 1 if current else 1
-        folder = f"data/v{version}-{uuid.uuid4().hex[:8]}"
+        folder = f"data/v{version}-{uuid.uuid4().hex}"
         counted = Observation()
         df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.path}/{folder}")
         rows = counted.get["rows"]
@@ -72,17 +72,37 @@ class VersionedTable:
         record.coalesce(1).write.mode("append").json(f"{self.path}/commits")
         return done
 
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Delete the data of all but the ``keep`` newest versions, and what failed writes have left.
+
+        Not while a reader uses an old version or a write is on its way. Returns the deleted folders.
+        """
+        if keep < 1:
+            raise ValueError("keep at least the current version")
+        log = storage.if_exists(lambda: self.spark.read.schema(_COMMITS).json(f"{self.path}/commits"))
+        kept = set() if log is None else {r["folder"] for r in log.orderBy(F.desc("version")).limit(keep).collect()}
+        system, data = workspace.file_system(self.spark, f"{self.path}/data")
+        if not system.exists(data):
+            return []
+        found = [f"data/{status.getPath().getName()}" for status in system.listStatus(data)]
+        gone = [folder for folder in found if folder not in kept]
+        for folder in gone:
+            workspace.remove(self.spark, f"{self.path}/{folder}")
+        return gone
+
     def upsert(
         self,
         batch: DataFrame,
         keys: Iterable[str] | None,
         order_by: Iterable[str | Column] | None = None,
         unique_keys: bool = False,
+        staged: bool = False,
     ) -> Commit:
         """Write ``batch`` by key; see :func:`tableflow.operators.upsert.upsert`.
 
-        The batch is written once to the shared folder first: it is used twice below, and a source
-        query must neither run twice nor change between.
+        The batch is written once to the shared folder first, unless it is ``staged`` there already: it
+        is used twice below, and a source query must neither run twice nor change between. An
+        empty batch changes nothing. The first batch makes the table, order columns included.
         """
         keys, current = list(keys or []), self.latest()
         order_by = None if order_by is None else list(order_by)
@@ -91,21 +111,41 @@ class VersionedTable:
         if current is None:
             first = written_rows(batch, keys, order_by) if keys and order_by else batch
             return self._commit(first, None)
-        staged, rows = _stage_counted(self.spark, batch)
-        large = rows * LARGE_BATCH_SHARE > current.rows
-        merged = upsert(self.read(current), staged, keys, order_by, unique_keys, large)
-        return self._commit(merged, current)
+        with _staged(self.spark, batch, keys, staged) as (rows, count, key_bytes):
+            if count == 0:
+                return current
+            small = key_bytes <= _broadcast_limit(self.spark)
+            merged = upsert(self.read(current), rows, keys, order_by, unique_keys, small)
+            return self._commit(merged, current)
 
 
-def stage(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the shared folder."""
-    return _stage_counted(spark, df)[0]
+def _broadcast_limit(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes; negative if broadcasting is off."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text) if not text.startswith("-") else -1
 
 
-def _stage_counted(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
+def stage(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared folder."""
+    folder = workspace.new_folder(spark, "staged")
+    df.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@contextmanager
+def _staged(spark: SparkSession, df: DataFrame, keys: list[str], already: bool):
+    """The batch as a written table, its rows, and the bytes of its keys; removed afterwards, if written here."""
+    size = F.sum(sum((F.octet_length(names.col(k).cast("string")) + 16 for k in keys), F.lit(0)))
+    totals = [F.count(F.lit(1)).alias("rows"), F.coalesce(size, F.lit(0)).alias("bytes")]
+    if already:
+        yield (df, *df.agg(*totals).first())
+        return
     folder, counted = workspace.new_folder(spark, "staged"), Observation()
-    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(folder)
-    return spark.read.parquet(folder), counted.get["rows"]
+    try:
+        df.observe(counted, *totals).write.parquet(folder)
+        yield spark.read.parquet(folder), counted.get["rows"], counted.get["bytes"]
+    finally:
+        workspace.remove(spark, folder)
 
 
 def append_table(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
@@ -129,31 +169,48 @@ def upsert_partitions(
     partition_by: Iterable[str],
     order_by: Iterable[str | Column] | None = None,
     unique_keys: bool = False,
+    staged: bool = False,
 ) -> None:
     """Upsert into a partitioned Parquet table, rewriting only the partitions the batch touches.
 
-    The partition columns must be part of the key, so that a row never changes its partition.
+    The partition columns must be part of the key, so that a row never changes its partition. The
+    merged partitions are complete in the shared folder before the first of the table's is replaced: an
+    interrupted commit is repeated by the same call, from the batch or from that folder, which stays
+    in that case.
     """
     keys, parts = list(keys), list(partition_by)
     if not set(parts) <= set(keys):
         raise ValueError(f"partition columns {parts} must be part of the key {keys}")
-    staged = stage(spark, batch)
-    table = storage.if_exists(lambda: spark.read.parquet(path))
-    if table is None:
-        base = staged.limit(0)
-    else:
-        base = _touched(table, staged, parts)
-    merged = upsert(base, staged, keys, order_by, unique_keys)
-    replace_partitions(merged, path, parts)
+    with _staged(spark, batch, keys, staged) as (rows, count, key_bytes):
+        if count == 0:
+            return
+        table = storage.if_exists(lambda: spark.read.parquet(path))
+        if table is None:
+            order = list(order_by or ()) or None
+            merged = written_rows(rows, keys, order) if order else rows
+        else:
+            small = key_bytes <= _broadcast_limit(spark)
+            merged = upsert(_touched(table, rows, parts), rows, keys, order_by, unique_keys, small)
+        folder = workspace.new_folder(spark, "merged")
+        merged.write.parquet(folder)
+        replace_partitions(spark.read.parquet(folder), path, parts)
+        workspace.remove(spark, folder)
 
 
 def _touched(table: DataFrame, staged: DataFrame, parts: list[str]) -> DataFrame:
+    """The table's rows in partitions that the batch has: bounds and values prune the scan."""
     touched = staged.select(*parts).distinct()
+    bounds = [f(names.col(p)).alias(f"{n}{i}") for i, p in enumerate(parts) for n, f in (("lo", F.min), ("hi", F.max))]
+    nulls = [F.count_if(names.col(p).isNull()).alias(f"null{i}") for i, p in enumerate(parts)]
+    found = staged.agg(*bounds, *nulls).first()
     listed = touched.limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if len(listed) <= MAX_LISTED_PARTITIONS:
-        for part in parts:
-            values = {row[part] for row in listed}
-            condition = names.col(part).isin([v for v in values if v is not None])
-            table = table.where(condition | names.col(part).isNull() if None in values else condition)
+    for i, part in enumerate(parts):
+        value, dtype = names.col(part), names.type_of(table, part)
+        wanted = F.lit(False)
+        if found[f"lo{i}"] is not None:
+            wanted = value.between(F.lit(found[f"lo{i}"]).cast(dtype), F.lit(found[f"hi{i}"]).cast(dtype))
+        if len(listed) <= MAX_LISTED_PARTITIONS:
+            wanted = wanted & value.isin([v for v in {row[part] for row in listed} if v is not None])
+        table = table.where(wanted | value.isNull() if found[f"null{i}"] else wanted)
     condition = [table[p].eqNullSafe(touched[p]) for p in parts]
     return table.join(touched, condition, "left_semi")

@@ -42,6 +42,7 @@ def read_csv(
     glob: str | None = None,
     recursive: bool = False,
     encoding: str = "UTF-8",
+    broken: str | None = None,
 ) -> DataFrame:
     """Read delimited text; the header row names the columns.
 
@@ -49,7 +50,8 @@ def read_csv(
     where a value does not convert. ``text=True`` keeps all values as text and an empty cell as "".
     Without a header the names come from ``fields`` by position, or are ``col0 .. colN``. Types are
     never inferred, so planning reads one line at most. ``multiline`` allows line breaks within
-    quotes, at the price of one task per file.
+    quotes, at the price of one task per file. ``broken`` names a column for the text of records that do
+    not parse (NULL for the others); the other columns are then text as read.
     """
     reader = spark.read.options(**_options(delimiter, header, multiline, encoding))
     if glob:
@@ -59,6 +61,10 @@ def read_csv(
     if not header and fields is not None:
         reader = reader.schema(_text_schema(fields))
     raw = reader.csv(path)
+    if broken is not None:
+        found = positional_names(raw) if not header and fields is None else raw
+        wanted = T.StructType([*(T.StructField(c, T.StringType()) for c in found.columns), T.StructField(broken, T.StringType())])
+        return reader.schema(wanted).option("columnNameOfCorruptRecord", broken).csv(path)
     if not header and fields is None:
         raw = positional_names(raw)
     if text:
@@ -83,13 +89,16 @@ def stream_csv(
     max_files_per_batch: int | None = None,
     file_column: str | None = None,
     encoding: str = "UTF-8",
+    multiline: bool = False,
 ) -> DataFrame:
     """A stream of the files arriving in a folder; files stay, the checkpoint takes each once.
 
     The declared fields must be in header order: a stream's schema is fixed before its first file.
     ``file_column`` adds the path of each row's file.
     """
-    reader = spark.readStream.options(**_options(delimiter, header, False, encoding))
+    if not fields:
+        raise ValueError("a stream of files needs inputSchema.fields: its columns are fixed before the first file arrives")
+    reader = spark.readStream.options(**_options(delimiter, header, multiline, encoding))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_batch:

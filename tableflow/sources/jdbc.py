@@ -42,13 +42,17 @@ def read_partitioned(
 
     One aggregate query fetches the bounds and the row count; there is a range per page, at most
     ``max_partitions`` of them (each is a connection to the database), and every row is in exactly
-    one, null keys included. Ranges have equal width, which suits a key whose values are spread
+    one, null keys included. Above ``max_partitions`` pages a range holds several pages. Ranges have equal width, which suits a key whose values are spread
     evenly, such as a sequence; for others see :func:`read_balanced`. Rows that share one key value
     cannot be split.
     """
     bounds = _bounds(spark, connection, query, column)
     if bounds is None:
         return read_query(spark, connection, query)
+    return _ranged(spark, connection, query, column, bounds, page_size, max_partitions)
+
+
+def _ranged(spark, connection, query, column, bounds, page_size, max_partitions) -> DataFrame:
     low, high, rows = bounds
     reader = _table_reader(spark, connection, query)
     found, dtype = _key(reader.load(), column)
@@ -86,7 +90,9 @@ def read_balanced(
     if not isinstance(dtype, T.NumericType):
         raise ValueError(f"cursor column {column} must be a number, not {dtype}")
     parts = page_count(bounds[2], page_size, max_partitions)
-    keys = read_partitioned(spark, connection, query, column, page_size, max_partitions)
+    # The key scan selects the key only, within the bounds that are known by now.
+    only_key = f"SELECT {column} FROM ({query}) k"
+    keys = _ranged(spark, connection, only_key, column, bounds, page_size, max_partitions)
     shares = [i / parts for i in range(1, parts)]
     value = names.col(column.lower())
     # The accuracy keeps each range within a tenth of its share.

@@ -5,11 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from tableflow import catalog
 from compare import differences, open_tables
 
 FOLDER = os.environ.get("TABLEFLOW_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = catalog.queries()
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -85,16 +85,16 @@ def test_all_issues_are_listed(spark):
     )
     text = "\n".join(issues)
     for part in (
-        "pipeline.name is required",
-        "cursor column 'seq'",
-        "watermark column 'ts'",
-        "step 2 (rename): 'id'",
-        "step 3 (typeCast): 'amount'",
-        "step 4 (aggregate): 'zz'",
-        "step 4 (aggregate): 'yy'",
+        "the pipeline has no name",
+        "cursor: the input declares no field 'seq'",
+        "watermark: the input declares no field 'ts'",
+        "step 2 (rename): its input has no field 'id'",
+        "step 3 (typeCast): its input has no field 'amount'",
+        "step 4 (aggregate): its input has no field 'zz'",
+        "step 4 (aggregate): its input has no field 'yy'",
         "step 5: ",
         "step 6: unknown step type 'explode'",
-        "outputSchema: 'total'",
+        "output: no step yields a field 'total'",
     ):
         assert part in text
     assert len(issues) == 10
@@ -102,5 +102,5 @@ def test_all_issues_are_listed(spark):
 
 def test_missing_parts(spark):
     assert validate(spark, {}) == [
-        "pipeline.name is required", "datasource is required", "inputSchema.fields is required"
+        "the pipeline has no name", "no source is described", "the input has no declared fields"
     ]

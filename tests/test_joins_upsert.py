@@ -127,7 +127,7 @@ def test_upsert_matches_row_by_row_writing(rows, whole):
     if not whole:
         batch_df = batch_df.drop("y")
     for large in (False, True):
-        out = upsert(base_df, batch_df, ["a", "b"], order_by=["seq"], large_batch=large)
+        out = upsert(base_df, batch_df, ["a", "b"], order_by=["seq"], small_batch=large)
         assert {(r.a, r.b): (r.x, r.y) for r in out.collect()} == expected
         assert out.count() == len(expected)
 
@@ -136,7 +136,7 @@ def test_upsert_matches_row_by_row_writing(rows, whole):
 def test_null_keys_never_match(rows, large):
     base = rows([(None, "a", 1), (1, "b", 2)], "k int, x string, y int")
     batch = rows([(None, "c"), (1, "d")], "k int, x string")
-    out = upsert(base, batch, ["k"], unique_keys=True, large_batch=large)
+    out = upsert(base, batch, ["k"], unique_keys=True, small_batch=large)
     assert table(out) == [(1, "d", 2), (None, "a", 1), (None, "c", None)]
 
 
@@ -145,7 +145,7 @@ def test_null_keys_never_match(rows, large):
 def test_all_rows_with_null_keys_stay(rows, columns, large):
     base = rows([(None, "a", 1), (1, "b", 2)], "k int, x string, y int")
     batch = rows([(None, "c", 3, 1), (None, "d", 4, 2), (1, "e", 5, 1), (1, "f", 6, 2)], "k int, x string, y int, seq int")
-    out = upsert(base, batch.select(*columns), ["k"], order_by=["seq"], large_batch=large)
+    out = upsert(base, batch.select(*columns), ["k"], order_by=["seq"], small_batch=large)
     assert out.where("k is null").count() == 3 and out.where("k = 1").count() == 1
     expected = {("k", "x", "y", "seq"): ("f", 6), ("k", "x", "seq"): ("f", 2), ("k", "seq"): ("b", 2)}[tuple(columns)]
     assert tuple(out.where("k = 1").select("x", "y").first()) == expected

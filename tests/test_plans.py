@@ -208,18 +208,6 @@ def test_whole_run_with_everything(spark, folder, staff):
     assert table(env.lineage.read().select("output_table", "consumer", "row_count")) == [(f"{folder}/stats", "board", 3)]
 
 
-def test_snapshot_limit_does_not_cut_the_sink(spark, folder, rows):
-    env = plans.Environment(snapshots=delivery.Snapshots(spark, f"{folder}/snapshots", max_rows=2))
-    spec = {
-        "pipeline": {"name": "p"},
-        "datasource": {"type": "sql", "query": "-"},
-        "output": {"storage": {"type": "parquet", "table": f"{folder}/t"}},
-    }
-    assert plans.run(spark, spec, env, source=rows([(i,) for i in range(5)], "a int")).rows == 5
-    assert spark.read.parquet(f"{folder}/t").count() == 5
-    assert env.snapshots.get("p").count() == 0
-
-
 def test_failed_run_is_recorded_and_keeps_the_mark(spark, folder, staff):
     env = environment(spark, folder)
     spec = {
