@@ -23,15 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tableflow.llm.batches import binaries, mix, slices
+from tableflow.llm.batches import SLICE_BYTES, binaries, extend, mix, slices
 from tableflow.llm.shared import written
 
 TABLE_BITS = 22
 HOT = 512
 PART_BYTES = 4 << 20  # text for one shard
+PRESSED_SLICE = SLICE_BYTES // 3
 _DONE = 1 << 40  # parts from here on hold results
 _SECOND = np.uint64(0x2545F4914F6CDD1D)
 
@@ -84,19 +87,6 @@ def anchors_of(items: Items, length: int, gram: int) -> Anchors:
     return Anchors(items.grams[place[at]], items.rows[starts[at]], starts[at], starts[last], place[at])
 
 
-@dataclass
-class Unit:
-    """What a shard knows of a unit: the row, its key, the first window, the anchor's place after it, the bytes."""
-
-    row: int
-    key: int
-    begin: int
-    lead: int
-    content: bytes
-
-
-Shard = Callable[[list[np.ndarray], bytes, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-
 _PACKED = "part long, a binary, b binary, c binary, d binary, e binary, f binary, content binary"
 _NAMES = [f.split()[0] for f in _PACKED.split(", ")]
 
@@ -105,6 +95,22 @@ def _rows(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(F.col(text).alias("text"), F.col(key).cast("bigint").alias("key"), F.xxhash64(key, text).alias("row"))
 
 
+def _pressed(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the text column compressed: texts are what these joins move, and a row is its own block."""
+
+    def press(columns):
+        packer = zstandard.ZstdCompressor(level=3)
+        return [pa.array([None if t is None else packer.compress(t) for t in columns[0].cast(pa.binary()).to_pylist()], pa.binary())]
+
+    return extend(df, [F.col(text)], StructType([StructField(text, BinaryType())]), press)
+
+
+def unpressed(column: pa.Array) -> pa.Array:
+    """The texts, as binary."""
+    opener = zstandard.ZstdDecompressor()
+    return pa.array([None if t is None else opener.decompress(t) for t in column.to_pylist()], pa.large_binary())
+
+
 def _table(rows: DataFrame, items: Callable[[pa.Array], Items], length: int, gram: int, bits: int) -> np.ndarray:
     width = min(1 << 16, 1 << bits)
 
@@ -218,9 +224,9 @@ def repeated_ranges(
         table = shared.value
         shift = np.uint64(64 - int(np.log2(len(table))))
         for batch in batches:
-            for first, n in slices(batch.column(0)):
+            for first, n in slices(batch.column(0), PRESSED_SLICE):
                 part = batch.slice(first, n)
-                own = items(part.column(0))
+                own = items(unpressed(part.column(0)))
                 found = anchors_of(own, length, gram)
                 lists = part.column(3).to_pylist()
                 sizes = [sum(map(len, x)) // 8 for x in lists]
@@ -301,7 +307,7 @@ def repeated_ranges(
         data = np.stack([start, end], 1).astype(np.int64).tobytes() if len(start) else b""
         return pa.table({"row": names, "ranges": binaries(data, np.append(begin, len(start)) * 16)})
 
-    joined = source.join(kept, "row").select("text", "key", "row", "anchors")
+    joined = _pressed(source, "text").join(kept, "row").select("text", "key", "row", "anchors")
     found = joined.mapInArrow(units, _PACKED).groupBy("part").applyInArrow(compare, "row long, ranges binary")
     return written(found.groupBy("row").agg(F.collect_list("ranges").alias("ranges")), "ranges")
 
@@ -323,13 +329,13 @@ def _ranges(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def with_ranges(documents: DataFrame, key: str, text: str, ranges: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, ``text`` and each row's list of packed ranges (null without any)."""
+    """``keep``, the compressed text as ``__text`` and each row's list of packed ranges (null without any)."""
     marked = documents.select(*keep, F.col(text).alias("__text"), F.xxhash64(key, text).alias("row"))
     keys = documents.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("__key"))
     clash = keys.groupBy("row").agg(F.min("__key").alias("low"), F.max("__key").alias("high"), F.count("__key").alias("n"), F.count("*").alias("m"))
     clash = clash.where((F.col("low") != F.col("high")) | ((F.col("n") > 0) & (F.col("n") < F.col("m"))))
     clash = clash.where(F.raise_error(F.lit("two rows have one fingerprint")).cast("boolean")).select("row")
-    return marked.join(ranges.union(clash.select("row", F.lit(None).cast(ranges.schema["ranges"].dataType))), "row", "left")
+    return _pressed(marked, "__text").join(ranges.union(clash.select("row", F.lit(None).cast(ranges.schema["ranges"].dataType))), "row", "left")
 
 
 def unpack(lists: list[list[bytes] | None], first: np.ndarray, total: int) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tableflow.llm.batches import NOT_BLANK, PrefixHashes, Words, extend, mix, utf8
-from tableflow.llm.repeats import Items, repeated_ranges, unpack, with_ranges
+from tableflow.llm.repeats import PRESSED_SLICE, Items, repeated_ranges, unpack, unpressed, with_ranges
 
 LENGTH = 13
 GRAM = 5
@@ -171,7 +171,7 @@ def remove_earlier(documents: DataFrame, key: str, text: str, keep: list[str], w
     marked = with_ranges(documents, key, text, ranges, keep)
 
     def run(columns):
-        buffer, offsets = utf8(columns[0])
+        buffer, offsets = utf8(unpressed(columns[0]))
         words = Words(buffer, offsets, NOT_BLANK)
         gone = unpack(columns[1].to_pylist(), words.first, len(words))
         total = np.append(0, np.cumsum(gone))
@@ -193,4 +193,4 @@ def remove_earlier(documents: DataFrame, key: str, text: str, keep: list[str], w
             pa.array(digests, pa.string()),
         ]
 
-    return extend(marked, [F.col("__text"), F.col("ranges")], FIELDS, run, keep)
+    return extend(marked, [F.col("__text"), F.col("ranges")], FIELDS, run, keep, PRESSED_SLICE)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tableflow.llm.batches import byte_hashes, extend, mix, utf8
-from tableflow.llm.repeats import Items, repeated_ranges, unpack, with_ranges
+from tableflow.llm.repeats import PRESSED_SLICE, Items, repeated_ranges, unpack, unpressed, with_ranges
 
 LENGTH = 200
 GRAM = 64
@@ -183,7 +183,7 @@ FIELDS = StructType([StructField(c, LongType()) for c in ("n_bytes", "n_removed"
 
 def remove_repeats(documents: DataFrame, key: str, text: str, keep: list[str], length: int = LENGTH, gram: int = GRAM, with_text: bool = True, **options) -> DataFrame:
     """``keep`` of each row, with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes as text; what is left of a cut
-    character becomes U+FFFD; null without ``with_text``) and ``kept_sha256`` (of the remaining bytes).
+    character becomes U+FFFD; null for a null text, and without ``with_text``) and ``kept_sha256`` (of the remaining bytes).
 
     A byte goes if a ``length``-byte string that covers it also starts anywhere else, in the same row or another. Equal rows are
     each other's repeats. Null text: no bytes. The key is an integer; rows without key take part like others.
@@ -192,7 +192,8 @@ def remove_repeats(documents: DataFrame, key: str, text: str, keep: list[str], l
     marked = with_ranges(documents, key, text, ranges, keep)
 
     def run(columns):
-        buffer, offsets = utf8(columns[0])
+        column = unpressed(columns[0])
+        buffer, offsets = utf8(column)
         gone = unpack(columns[1].to_pylist(), offsets, len(buffer))
         total = np.append(0, np.cumsum(gone))
         head = gone.copy()
@@ -202,10 +203,11 @@ def remove_repeats(documents: DataFrame, key: str, text: str, keep: list[str], l
         spans = np.append(0, np.cumsum(head))
         data, texts, digests = buffer[~gone].tobytes(), [], []
         left = offsets - total[offsets]
-        for a, b in zip(left[:-1].tolist(), left[1:].tolist()):
+        absent = column.is_null().to_pylist()
+        for a, b, none in zip(left[:-1].tolist(), left[1:].tolist(), absent):
             digests.append(hashlib.sha256(data[a:b]).hexdigest())
             if with_text:
-                texts.append(data[a:b].decode("utf-8", "replace"))
+                texts.append(None if none else data[a:b].decode("utf-8", "replace"))
         per_row = lambda sums: pa.array(sums[offsets[1:]] - sums[offsets[:-1]], pa.int64())
         return [
             pa.array(np.diff(offsets), pa.int64()),
@@ -215,7 +217,7 @@ def remove_repeats(documents: DataFrame, key: str, text: str, keep: list[str], l
             pa.array(digests, pa.string()),
         ]
 
-    return extend(marked, [F.col("__text"), F.col("ranges")], FIELDS, run, keep)
+    return extend(marked, [F.col("__text"), F.col("ranges")], FIELDS, run, keep, PRESSED_SLICE)
 
 
 def without_repeats(documents: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFrame:
@@ -224,5 +226,5 @@ def without_repeats(documents: DataFrame, key: str, text: str, length: int = LEN
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
     place = {name.lower(): f"c{i}" for i, name in enumerate(names)}
     id_, text_ = place[key.lower()], place[text.lower()]
-    cut = remove_repeats(plain, id_, text_, plain.columns, length)
-    return cut.select(*[F.when(F.col(c).isNotNull(), F.col("kept")).alias(c) if c == text_ else F.col(c) for c in plain.columns]).toDF(*names)
+    cut = remove_repeats(plain, id_, text_, [c for c in plain.columns if c != text_], length)
+    return cut.select(*[F.col("kept" if c == text_ else c) for c in plain.columns]).toDF(*names)
