@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from tableflow.llm.batches import ALPHANUMERIC, LOWER, Words, binaries, extend, utf8
+from tableflow.llm.shared import written
 
 WINDOW = 13
 SHINGLE = 3
 BLOCK_BYTES = 8 << 20  # benchmark text in one broadcast block
+CHAIN = 16  # blocks that one plan holds, before documents are written with their marks
 PAIRS = 1 << 20  # proposed places that are looked at together
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -244,6 +246,8 @@ def benchmark_hits(
         carried = kept if last else list(dict.fromkeys([*kept, text]))
         marked = _mark(marked, text, spark.sparkContext.broadcast(block), carried, more)
         more = True
+        if number % CHAIN == CHAIN - 1 and not last:
+            marked = written(marked, "marked")
     return marked
 
 

@@ -1,0 +1,228 @@
+"""Benchmark passages, quality, tokens and license notices."""
+
+import base64
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import public_tokenizers
+import tiktoken
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from plain_python import ODD, PASSAGE, SENTENCE, alphanumeric, same, sha
+from tableflow.llm import bpe, decontamination, licenses, quality, queries
+
+ITEMS = [
+    (1, SENTENCE), (2, "ONE, two!"), (3, "é" * 150), (4, None), (5, "..."), (6, " ".join(PASSAGE.split()[20:50])),
+    (7, SENTENCE), (7, PASSAGE), (None, SENTENCE), (8, "tock tick tock"),
+]
+
+
+def hits(rows, items):
+    windows = {}
+    for name, text in items:
+        words = alphanumeric(text)
+        length = min(13, len(words))
+        for i in range(len(words) - length + 1 if words and name is not None else 0):
+            windows.setdefault(tuple(words[i : i + length]), set()).add(name)
+    out = []
+    for key, text in rows:
+        words, hit, found = alphanumeric(text), set(), set()
+        for length in {len(w) for w in windows}:
+            for i in range(len(words) - length + 1):
+                names = windows.get(tuple(words[i : i + length]))
+                if names:
+                    hit |= set(range(i, i + length))
+                    found |= names
+        told = ",".join(sorted(map(str, found)))
+        out.append((key, len(words), len(hit), len(found), sha(told.encode()), bool(hit) and 20 * len(hit) >= len(words)))
+    return out
+
+
+def told(found):
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("hit_items").cast("bigint"),
+        F.sha2(F.array_join("hit_items", ",").cast("binary"), 256), decontamination.contaminated(),
+    ).collect()
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 120])
+def test_benchmark_hits(spark, odd, block_bytes):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = decontamination.benchmark_hits(odd, "text", items, "item_id", "text", block_bytes=block_bytes)
+    same(told(found), hits(ODD, ITEMS))
+
+
+def test_benchmark_hits_of_empty_tables(spark, odd, empty):
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    same(told(decontamination.benchmark_hits(odd, "text", nothing, "item_id", "text")), hits(ODD, []))
+    assert decontamination.benchmark_hits(empty, "text", nothing, "item_id", "text").collect() == []
+
+
+def test_clean_documents_stay(spark, odd):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    left = decontamination.decontaminate(odd, "text", items)
+    assert left.columns == odd.columns
+    bad = [row for row, h in zip(range(len(ODD)), hits(ODD, ITEMS)) if h[-1]]
+    assert sorted(r["row"] for r in left.collect()) == [i for i in range(len(ODD)) if i not in bad]
+
+
+def test_prefix_join_query(spark, tables):
+    read = lambda name, *columns: [tuple(r) for r in spark.read.parquet(f"{tables}/{name}.parquet").select(*columns).collect()]
+    same(queries.QUERIES["op1_prefix_join"](spark, tables).collect(), hits(read("documents", "doc_id", "text"), read("benchmark", "item_id", "text")))
+
+
+# --- quality -------------------------------------------------------------------------------------
+
+
+def enumerate_chain(scores, steps):
+    """Marginals and expected transitions of one chain, over all labellings."""
+    n = len(scores)
+    total, good, pairs = 0.0, np.zeros(n), np.zeros((2, 2))
+    for code in range(2**n):
+        labels = [code >> i & 1 for i in range(n)]
+        weight = np.exp(sum(s for s, y in zip(scores, labels) if y) + sum(steps[a, b] for a, b in zip(labels, labels[1:])))
+        total += weight
+        good += weight * np.array(labels)
+        for a, b in zip(labels, labels[1:]):
+            pairs[a, b] += weight
+    return good / total, pairs / total
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.floats(-3, 3), max_size=6), min_size=1, max_size=5), st.lists(st.floats(-2, 2), min_size=4, max_size=4))
+def test_forward_backward(chains, steps):
+    steps = np.array(steps).reshape(2, 2)
+    scores = np.array([s for chain in chains for s in chain])
+    first = np.append(0, np.cumsum([len(c) for c in chains]))
+    good, pairs = quality.forward_backward(scores, first, steps)
+    expected = [enumerate_chain(c, steps) for c in chains]
+    assert np.allclose(good, np.concatenate([e[0] for e in expected]) if len(scores) else [])
+    assert np.allclose(pairs, sum(e[1] for e in expected))
+
+
+def test_neighbouring_lines_are_features():
+    lines = quality.lines_of(pa.array(["one\nTWO TWO!!\n\n| x |", None, "", "four"]))
+    assert lines.first.tolist() == [0, 3, 3, 3, 4] and lines.sizes.tolist() == [3, 9, 5, 4]
+    own = lines.features[:, : quality.OWN]
+    assert np.array_equal(lines.features[1, quality.OWN : 2 * quality.OWN], own[0])
+    assert np.array_equal(lines.features[0, 2 * quality.OWN : 3 * quality.OWN], own[1])
+    assert not lines.features[3, quality.OWN : 3 * quality.OWN].any()
+
+
+def test_held_out_accuracy(spark, tables):
+    found = queries.QUERIES["op4_line_crf"](spark, tables)
+    labels = spark.read.parquet(f"{tables}/labels.parquet")
+    rows = found.join(labels, "doc_id").where("held_out").collect()
+    assert found.count() == spark.read.parquet(f"{tables}/documents.parquet").count()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.97 * len(rows)
+    held = {r["doc_id"]: r["held_out"] for r in found.collect()}
+    assert all(held[i] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in held)
+
+
+def test_quality_of_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1, 9), (2, 0, 9), (2, 1, 9), (3, None, 9), (None, 1, 9), (11, 0, 9), (99, 1, 9)], "doc_id long, quality int, score int")
+    model = quality.fit(odd, "doc_id", "text", labels, "quality")
+    found = quality.score(odd, "text", model)
+    assert found.count() == len(ODD) and found.where("score between 0 and 1").count() == len(ODD)
+    assert quality.score(empty, "text", model).collect() == []
+    for few in (labels.where("false"), labels.where("doc_id = 1")):
+        constant = quality.fit(odd, "doc_id", "text", few, "quality")
+        assert quality.score(odd, "text", constant).where("score is null").count() == 0
+    assert quality.keep_good(odd, "doc_id", "text", labels, "quality").columns == odd.columns
+
+
+# --- tokens --------------------------------------------------------------------------------------
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+REFERENCE = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+
+
+def coded(rows):
+    out = []
+    for key, text in rows:
+        ids = REFERENCE.encode_ordinary(text or "")
+        out.append((key, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((text or "").encode())))
+    return out
+
+
+def test_tokens_of_odd_rows(spark, odd, empty):
+    packed = bpe.encode(odd, "text", PATH, public_tokenizers.PATTERN, packed=True)
+    back = bpe.decode(packed, "ids", PATH)
+    found = back.select("doc_id", (F.octet_length("ids") / 4).cast("bigint"), F.sha2("ids", 256), F.sha2("decoded", 256))
+    same(found.collect(), coded(ODD))
+    assert bpe.encode(empty, "text", PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_tokens_query(spark, tables):
+    rows = [tuple(r) for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()]
+    same(queries.QUERIES["op7_byte_bpe"](spark, tables).collect(), coded(rows))
+
+
+def test_offsets_of_split_characters(spark):
+    texts = ["a🙂b", "héé", "漢字", " x　 y", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for row in bpe.encode(df, "text", PATH, public_tokenizers.PATTERN, offsets=True).collect():
+        at, data = 0, row["text"].encode()
+        for i, a, b in zip(row["ids"], row["starts"], row["ends"]):
+            piece = REFERENCE.decode_single_token_bytes(i)
+            before, after = data[:at], data[: at + len(piece)]
+            assert a == len(before.decode(errors="ignore")) and b == len(after.decode(errors="replace"))
+            at += len(piece)
+        assert at == len(data)
+    assert bpe.text_of(REFERENCE.decode_single_token_bytes(REFERENCE.encode_ordinary("漢")[0])) == "�"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\t'sdtrevlm1a!é 　\u0085 漢🙂\x1c<|>"), max_size=25), max_size=5))
+def test_parts_never_cut_a_match(texts):
+    coder = bpe._coder(bpe.tokenizer_json(PATH, public_tokenizers.PATTERN))
+    ids, rows = bpe._encode(coder, pa.array(texts, pa.string()))
+    for text, a, b in zip(texts, rows[:-1], rows[1:]):
+        assert ids[a:b].tolist() == REFERENCE.encode_ordinary(text)
+
+
+# --- licenses ------------------------------------------------------------------------------------
+
+
+def base_phrases(text):
+    words = alphanumeric(text)
+    places, labels = [], set()
+    for phrase, label in licenses.BASE.items():
+        parts = phrase.decode().split()
+        at = [i for i in range(len(words)) if words[i : i + len(parts)] == parts]
+        places += at
+        labels |= {label} if at else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+BASE_COLUMNS = ["n_words", "n_base", "first_word", "last_word", "base_labels"]
+
+
+def test_license_base_of_odd_rows(odd, empty):
+    found = licenses.scan_licenses(odd, "text")
+    same(found.select("doc_id", *BASE_COLUMNS).collect(), [(k, *base_phrases(t)) for k, t in ODD])
+    assert licenses.scan_licenses(empty, "text").collect() == []
+
+
+def test_license_query(spark, tables):
+    rows = [tuple(r) for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()]
+    found = queries.QUERIES["op8_license_rules"](spark, tables)
+    same(found.select("doc_id", *BASE_COLUMNS).collect(), [(k, *base_phrases(t)) for k, t in rows])
+    for row in found.collect():
+        assert 0 <= row["score"] <= 1 and set(row["base_labels"].split(",")) <= set(row["labels"].split(",")) | {""}
+
+
+def test_rules_by_priority_and_containment():
+    scan = lambda text: licenses.scan(text.encode())[3:]
+    assert scan("SPDX-License-Identifier: BSD-3-Clause") == ({"bsd"}, 1.0)
+    assert scan("under the GNU Lesser General Public License") == ({"gpl", "lgpl"}, 0.6)  # the base phrase stays
+    assert licenses.detect(b" the gnu lesser general public license ")[0][2].label == "lgpl"
+    assert {r.label for _, _, r in licenses.detect(b" gnu lesser general public license ")} == {"lgpl"}
+    assert scan("Permission is hereby granted, free of charge, to any person obtaining a copy")[0] == {"mit"}
+    assert scan("no notice at all, only software") == (set(), 0.0)
+    assert len(licenses.rules()) > 250
