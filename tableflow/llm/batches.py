@@ -173,5 +173,6 @@ def extend(
                 yield pa.RecordBatch.from_arrays(
                     [a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, arrow)], schema=arrow
                 )
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from tableflow.llm.batches import binaries, byte_hashes, extend, utf8
 
-REMEMBERED = 300_000  # distinct parts in each of the two generations that a worker remembers
+REMEMBERED = 150_000  # distinct parts in each of the two generations that a worker remembers
 SLICE = 1 << 20
 BATCH = 2000  # parts that the tokenizer holds at once
 
@@ -166,12 +166,14 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def encode(
-    df: DataFrame, text: Column | str, path: str, pattern: str, packed: bool = False, offsets: bool = False, keep: list[str] | None = None
-) -> DataFrame:
+    df: DataFrame, text: Column | str, path: str, pattern: str, packed: bool = False, offsets: bool = False,
+    decoded: bool = False, keep: list[str] | None = None,
+) -> DataFrame:
     """``df`` with ``ids``: an array, or with ``packed`` little-endian unsigned 32-bit integers as binary.
 
     ``offsets`` adds ``starts`` and ``ends``: the characters of the text that each id stands for. A
-    character that two ids share is in both ranges. Null and empty texts: an empty value.
+    character that two ids share is in both ranges. ``decoded`` adds the bytes that the ids decode to, see ``decode``, in the
+    same pass. Null and empty texts: an empty value.
     """
     context = df.sparkSession.sparkContext
     shared = context.broadcast(tokenizer_json(path, pattern))
@@ -180,27 +182,35 @@ def encode(
     if offsets:
         fields += [StructField("starts", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType()))]
 
+    table = context.broadcast([*byte_table(path), b""]) if decoded else None
+    if decoded:
+        fields.append(StructField("decoded", BinaryType()))
+
     def run(columns):
         coder = _coder(shared.value)
         ids, rows = _encode(coder, columns[0])
         out = [binaries(ids.tobytes(), rows * 4) if packed else _lists(ids, rows)]
-        return out + ([_lists(v, rows) for v in _offsets(lengths, columns[0], ids, rows)] if offsets else [])
+        out += [_lists(v, rows) for v in _offsets(lengths, columns[0], ids, rows)] if offsets else []
+        return out + ([_decode(table.value, ids, rows)] if decoded else [])
 
     return extend(df, [F.col(text) if isinstance(text, str) else text], StructType(fields), run, keep, SLICE)
 
 
+def _decode(table: list[bytes], ids: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """The bytes of each row's ids; the table's last entry is for unknown ids."""
+    parts = [table[i] for i in np.minimum(ids, len(table) - 1).tolist()]
+    ends = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
+    return binaries(b"".join(parts), ends[rows])
+
+
 def decode(df: DataFrame, ids: str, path: str, keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``decoded``: the bytes of packed ids. Ids that end inside a character meet in the bytes, so
     nothing is replaced; ``text_of`` makes text of them. An id without entry has no bytes; null: empty."""
     shared = df.sparkSession.sparkContext.broadcast([*byte_table(path), b""])
 
     def run(columns):
-        table = shared.value
         buffer, offsets = utf8(columns[0])
-        known = np.minimum(np.frombuffer(buffer.tobytes(), "<u4"), len(table) - 1)
-        parts = [table[i] for i in known.tolist()]
-        ends = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
-        return [binaries(b"".join(parts), ends[offsets // 4])]
+        return [_decode(shared.value, np.frombuffer(buffer.tobytes(), "<u4"), offsets // 4)]
 
     return extend(df, [F.col(ids)], StructType([StructField("decoded", BinaryType())]), run, keep)
 

@@ -34,8 +34,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 @query()
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    ids = bpe.encode(documents, "text", VOCABULARY, public_tokenizers.PATTERN, packed=True, keep=["doc_id"])
-    return bpe.decode(ids, "ids", VOCABULARY).select(
+    ids = bpe.encode(documents, "text", VOCABULARY, public_tokenizers.PATTERN, packed=True, decoded=True, keep=["doc_id"])
+    return ids.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
