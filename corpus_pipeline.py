@@ -39,8 +39,8 @@ def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and what they decode to, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(docs.select("doc_id", "text"), "text", path, public_tokenizers.PATTERN, packed=True, keep=["doc_id"])
-    return bpe.decode(ids, "ids", path).select(
+    ids = bpe.encode(docs.select("doc_id", "text"), "text", path, public_tokenizers.PATTERN, packed=True, decoded=True, keep=["doc_id"])
+    return ids.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
