@@ -76,21 +76,17 @@ def test_unknown_function_and_columns(rows):
 
 def test_trade_rollups(rows):
     day = datetime.date
-    history = rows(
-        [(day(2024, 1, 1), 1000.0), (day(2024, 1, 2), 1500.0), (day(2024, 1, 3), 800.0)],
+    past = rows(
+        [(day(2030, 12, 30), 12.0), (day(2030, 12, 31), 7.5), (day(2030, 12, 31), 0.5), (day(2031, 1, 6), 40.0)],
         "trade_date date, amount double",
     )
-    current = rows([(None, 500.0), (None, 300.0)], "trade_date date, amount double")
-    trades = rollups.with_today(history, current, F.lit("2024-02-01").cast("date"))
-    daily = rollups.daily_stats(trades, "trade_date", "amount")
+    current = rows([(None, 2.0)], "trade_date date, amount double")
+    daily = rollups.daily_stats(rollups.with_today(past, current, F.lit("2031-01-07").cast("date")), "trade_date", "amount")
     assert table(daily) == [
-        (day(2024, 1, 1), 1000.0, 1),
-        (day(2024, 1, 2), 1500.0, 1),
-        (day(2024, 1, 3), 800.0, 1),
-        (day(2024, 2, 1), 800.0, 2),
+        (day(2030, 12, 30), 12.0, 1), (day(2030, 12, 31), 8.0, 2), (day(2031, 1, 6), 40.0, 1), (day(2031, 1, 7), 2.0, 1)
     ]
-    assert table(rollups.weekly_stats(daily)) == [(day(2024, 1, 1), 3300.0, 3, 3), (day(2024, 1, 29), 800.0, 2, 1)]
-    assert table(rollups.monthly_stats(daily)) == [(day(2024, 1, 1), 3300.0, 3, 3), (day(2024, 2, 1), 800.0, 2, 1)]
+    assert table(rollups.weekly_stats(daily)) == [(day(2030, 12, 30), 20.0, 3, 2), (day(2031, 1, 6), 42.0, 2, 2)]
+    assert table(rollups.monthly_stats(daily)) == [(day(2030, 12, 1), 20.0, 3, 2), (day(2031, 1, 1), 42.0, 2, 2)]
 
 
 def test_aggregate_matches_brute_force(spark, rows):
