@@ -77,7 +77,27 @@ def op6_warc_index(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PLAIN_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    f"""
+    with d as (select doc_id, {_ITEM_WORDS} w from documents),
+    b as (select item_id, {_ITEM_WORDS} w from benchmark where item_id is not null),
+    bw as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') k from
+           (select item_id, w, least(13, len(w)) n, unnest(range(1, len(w) - least(13, len(w)) + 2)) i from b where len(w) > 0)),
+    dw as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') k from
+           (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from d, (select distinct n from bw))),
+    h as (select doc_id, i, dw.n, item_id from dw join bw on dw.k = bw.k and dw.n = bw.n),
+    c as (select doc_id, count(*) n_hit from (select distinct doc_id, unnest(range(i, i + n)) p from (select distinct doc_id, i, n from h)) group by 1),
+    t as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) s from h group by 1)
+    select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+        sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+    from d left join c using (doc_id) left join t using (doc_id)
+    """
+)
 def op1_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     benchmark = table(spark, folder, "benchmark").select("item_id", "text")
@@ -101,7 +121,23 @@ def op4_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+_LOWER_WORDS = _PLAIN_WORDS.replace("coalesce(text, '')", _LOWERED)
+
+
+@query(
+    f"""
+    with recursive d as (select doc_id, {_LOWER_WORDS} w from documents),
+    s as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') k from
+          (select doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) i from d where len(w) > 0)),
+    n as (select doc_id, count(*) n from s group by 1),
+    o as (select a.doc_id a, b.doc_id b, count(*) shared from s a join s b on a.k = b.k and a.doc_id < b.doc_id group by 1, 2),
+    e as (select a, b from o join n x on a = x.doc_id join n y on b = y.doc_id where 100 * shared >= 85 * (x.n + y.n - shared)),
+    l as (select a, b from e union all select b, a from e),
+    r as (select doc_id, doc_id as other from d union select r.doc_id, l.b from r join l on r.other = l.a)
+    select d.doc_id, coalesce(n, 0)::bigint n_shingles, min(other) component_id from d left join n using (doc_id) join r using (doc_id)
+    group by d.doc_id, n
+    """
+)
 def op10_jaccard_tiles(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     found = jaccard_join.set_components(documents, "doc_id", "text")
@@ -115,7 +151,19 @@ def op3_suffix_sort(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@query()
+@query(
+    f"""
+    with d as (select doc_id, {_PLAIN_WORDS} w from documents),
+    dw as (select doc_id, i, array_to_string(w[i:i + 12], ' ') k from (select doc_id, w, unnest(range(1, len(w) - 11)) i from d)),
+    m as (select doc_id, i, min(doc_id) over (partition by k) first from dw),
+    g as (select distinct doc_id, unnest(range(i, i + 13)) p from m where first < doc_id),
+    u as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) p from d),
+    k as (select u.doc_id, count(g.p) n_removed, string_agg(word, ' ' order by u.p) filter (where g.p is null) kept
+          from u left join g on u.doc_id = g.doc_id and u.p = g.p group by 1)
+    select d.doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256
+    from d left join k using (doc_id)
+    """
+)
 def op2_suffix_automata(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     cut = substring_dedup.remove_earlier(documents, "doc_id", "text", ["doc_id"], with_text=False)
