@@ -149,3 +149,26 @@ def test_all_rows_with_null_keys_stay(rows, columns, large):
     assert out.where("k is null").count() == 3 and out.where("k = 1").count() == 1
     expected = {("k", "x", "y", "seq"): ("f", 6), ("k", "x", "seq"): ("f", 2), ("k", "seq"): ("b", 2)}[tuple(columns)]
     assert tuple(out.where("k = 1").select("x", "y").first()) == expected
+
+
+def test_upsert_names(rows):
+    base = rows([(1, 10)], "id int, amount int")
+    assert table(upsert(base, rows([(1, 99)], "ID int, AMOUNT int"), ["Id"], unique_keys=True)) == [(1, 99)]
+    assert table(upsert(base, rows([(1, 5, 7)], "id int, amount int, seq int"), ["id"], order_by=["seq"])) == [(1, 5)]
+    for extra in (rows([(1, 5, 7)], "id int, amount int, new int"), rows([(1, 7)], "id int, new int")):
+        with pytest.raises(ValueError, match="new"):
+            upsert(base, extra, ["id"], unique_keys=True)
+        with pytest.raises(ValueError, match="new"):
+            upsert(base, extra, None)
+
+
+def test_join_names_in_another_case(rows):
+    left, lookup = rows([(1, "a")], "id int, name string"), rows([(1, "b")], "key int, NAME string")
+    with pytest.raises(ValueError, match="both sides"):
+        lookup_join(left, lookup, {"id": "key"})
+
+
+def test_salt_deals_rows_that_are_all_key(spark):
+    left = spark.range(1000).select(F.lit(1).alias("k"))
+    lookup = spark.range(2).select(F.col("id").alias("key"), F.lit("x").alias("v"))
+    assert lookup_join(left, lookup, {"k": "key"}, salt=8).count() == 1000

@@ -198,3 +198,21 @@ def test_lineage(spark, folder):
     found = log.read().select("pipeline", "output_table", "consumer", "row_count")
     assert table(found) == [("p", "table", "a", 5), ("p", "table", "b", 5), ("q", "other", None, 0)]
     assert runlog.of_pipeline(log.read(), "q", "pipeline").count() == 1
+
+
+def test_a_subscription_gets_few_files(spark, folder):
+    df = spark.range(0, 4000, 1, 40).withColumn("g", F.col("id") % 8)
+    wanted = [delivery.Subscription(f"c{i}", "p", ("id",), f"g == {i}") for i in range(8)]
+    done = delivery.fan_out(df, wanted, folder, "r")
+    assert [d.rows for d in done] == [500] * 8
+    assert all(len(list(pathlib.Path(d.folder).glob("*.parquet"))) <= 2 for d in done)
+
+
+def test_vacuum_keeps_the_newest(spark, rows, folder):
+    target = tables.VersionedTable(spark, folder)
+    for i in range(4):
+        target.replace(rows([(i,)], "a int"))
+    assert len(target.vacuum(keep=2)) == 2 and target.vacuum(keep=2) == []
+    assert table(target.read()) == [(3,)] and len(list(pathlib.Path(folder, "data").iterdir())) == 2
+    with pytest.raises(ValueError):
+        target.vacuum(keep=0)

@@ -84,7 +84,7 @@ def test_keys_are_cut_to_one_row_before_the_shuffle(large):
 
 def test_shuffle_counts(large):
     """Exchanges per plan: more would mean a partitioning that is not reused."""
-    expected = {"agg_many_keys": 1, "join_inner": 2, "join_one": 2, "flagship": 3, "runlog_last": 1}
+    expected = {"agg_many_keys": 1, "join_inner": 2, "join_one": 2, "flagship": 3, "runlog_last": 1, "upsert_partial": 2, "upsert_mixed_case": 2}
     found = {name: plan(QUERIES[name](large, FOLDER)).count("Exchange hashpartitioning") for name in expected}
     assert found == expected
 
@@ -109,3 +109,21 @@ def test_narrow_operators_do_not_shuffle(large):
     for name in QUERIES:
         if name.startswith(("filter_", "project", "rename", "cast_", "split_", "shape_", "contract_rejects", "src_kafka")):
             assert "Exchange" not in plan(QUERIES[name](large, FOLDER)), name
+
+
+def test_a_stored_upsert_moves_each_side_once(large, folder, monkeypatch):
+    """With broadcasting off, a partial batch into a stored table: one full outer join, two exchanges."""
+    from pyspark.sql import functions as F
+
+    from tableflow.sinks import tables
+
+    large.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans = []
+    commit = tables.VersionedTable._commit
+    monkeypatch.setattr(tables.VersionedTable, "_commit", lambda self, df, *more: (plans.append(plan(df)), commit(self, df, *more))[1])
+    target = tables.VersionedTable(large, f"{folder}/t")
+    orders = large.read.parquet(f"{FOLDER}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    target.replace(orders)
+    target.upsert(orders.select("o_orderkey", F.lit(0.0).alias("O_TOTALPRICE")).limit(20), ["o_orderkey"], unique_keys=True)
+    assert plans[-1].count("Exchange hashpartitioning") == 2 and "FullOuter" in plans[-1]
+    assert target.read().where("o_totalprice = 0").count() == 20

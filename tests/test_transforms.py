@@ -203,3 +203,5 @@ def test_positional_value_and_struct(rows):
     assert shape.unpack(packed, "s").columns == ["x", "y"]
     arrays = rows([([1, 2],), ([3],)], "v array<int>")
     assert values(shape.array_columns(arrays, "v", 2)) == [(1, 2), (3, None)]
+    with pytest.raises(Exception, match="more than 1 elements"):
+        shape.array_columns(arrays, "v", 1).collect()
