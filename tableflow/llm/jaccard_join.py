@@ -26,12 +26,13 @@ from tableflow.llm.shared import components, written
 
 SHINGLE = 4
 PERCENT = 85
-TABLE_BITS = 22
+TABLE_BITS = 23
+MOST = 2**16 - 1  # counts end here
 BITS = 2048
 FIRST_BITS = 512  # of these, the bits that the first round compares
 SHORT = 64  # a list of so many nodes, or fewer, gives all its pairs at once
 FILTER_BITS = 1 << 24
-HOT = 1 << 17  # a shingle with this count may have a long list: it is dealt by shingle and node
+HOT = 1 << 15  # a shingle with this count may have a long list: it is dealt by shingle and node
 PART_BYTES = 4 << 20  # text for one part of the prefix lists
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _OTHER = np.uint64(0x5851F42D4C957F2D)
@@ -131,13 +132,13 @@ def _table(counted: DataFrame, bits: int) -> np.ndarray:
                 part = np.frombuffer(data, {width: "<u1", 2 * width: "<u2", 4 * width: "<u4"}[len(data)])
                 sums[number] = sums.get(number, 0) + part.astype(np.int64)
         if sums:
-            data = [np.minimum(v, 2**32 - 1).astype("<u4").tobytes() for v in sums.values()]
+            data = [np.minimum(v, MOST).astype("<u2").tobytes() for v in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(data, pa.binary())], names=["slice", "counts"])
 
     rows = counted.where("slice is not null").select("slice", "counts").repartition(16, "slice").mapInArrow(run, "slice int, counts binary").collect()
-    table = np.zeros(1 << bits, np.uint32)
+    table = np.zeros(1 << bits, np.uint16)
     for number, data in rows:
-        table[number * width : (number + 1) * width] = np.frombuffer(data, "<u4")
+        table[number * width : (number + 1) * width] = np.frombuffer(data, "<u2")
     return table
 
 
