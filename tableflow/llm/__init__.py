@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
+from tableflow import workspace
+
 _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source files to the executors, once per application, so that tasks can import it."""
+    """Send the package's source files to the executors, once per application, so that tasks can import it.
+
+    They go by way of the shared folder.
+    """
     context = spark.sparkContext
     if context.applicationId in _sent:
         return
@@ -26,9 +30,9 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     packed.write(path, os.path.relpath(path, os.path.dirname(root)))
-    # The driver hands the file out itself; executors never read this path.
-    with tempfile.TemporaryDirectory(delete=False) as folder:
-        path = os.path.join(folder, "tableflow.zip")
-        with open(path, "wb") as file:
-            file.write(data.getvalue())
+    path = f"{workspace.new_folder(spark, 'code')}/tableflow.zip"
+    system, target = workspace.file_system(spark, path)
+    stream = system.create(target)
+    stream.write(bytearray(data.getvalue()))
+    stream.close()
     context.addPyFile(path)
