@@ -24,7 +24,7 @@ from tableflow.llm.shared import written
 
 WINDOW = 13
 SHINGLE = 3
-BLOCK_BYTES = 8 << 20  # benchmark text in one broadcast block
+BLOCK_BYTES = 2 << 20  # benchmark text in one broadcast block
 CHAIN = 16  # blocks that one plan holds, before documents are written with their marks
 PAIRS = 1 << 20  # proposed places that are looked at together
 _LOWER = np.frombuffer(LOWER, np.uint8)
