@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from tableflow import workspace
@@ -472,6 +474,18 @@ def runlog_page(spark, folder):
     return found.select("event_id", "event_type")
 
 
+@query(
+    """select event_id, event_type from events where event_type = 'error' and (ts, event_id) > (timestamp '2024-01-05', 100)
+    order by ts, event_id limit 50"""
+)
+def runlog_page_after(spark, folder):
+    """The page that follows a known entry."""
+    events = table(spark, folder, "events").select("event_id", "event_type", "ts")
+    last = (datetime.datetime(2024, 1, 5), 100)
+    found = runlog.history(events, "error", key="event_type", order_by=["ts", "event_id"], last=last)
+    return found.select("event_id", "event_type")
+
+
 @query("select event_id from events order by ts desc, event_id desc limit 20")
 def runlog_recent(spark, folder):
     events = table(spark, folder, "events").select("event_id", "ts")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tableflow import storage
 from tableflow.functions import names
-from tableflow.operators.delivery import page
+from tableflow.operators.delivery import page, page_after
 from tableflow.operators.upsert import last_per_key
 from tableflow.storage import TIME_FORMAT
 
@@ -116,9 +116,14 @@ def history(
     size: int = HISTORY_PAGE,
     key: str = "pipeline_name",
     order_by: Sequence[str] = ("end_time", "id"),
+    last: Sequence | None = None,
 ) -> DataFrame:
-    """One page of a pipeline's entries, oldest first."""
-    return page(of_pipeline(log, pipeline, key), order_by, number, size)
+    """One page of a pipeline's entries, oldest first: by number, or the one that follows the order values ``last``.
+
+    The second form does not count from the start, so its cost does not grow with the page.
+    """
+    own = of_pipeline(log, pipeline, key)
+    return page(own, order_by, number, size) if last is None else page_after(own, order_by, last, size)
 
 
 def recent(log: DataFrame, count: int = RECENT_ENTRIES, order_by: Sequence[str] = ("end_time", "id")) -> DataFrame:
