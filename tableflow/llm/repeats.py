@@ -8,9 +8,10 @@ the text that they span, is a unit. The steps:
 2. Deal (anchor, row) pairs by anchor and keep anchors that occur more than once.
 3. Bring each row's kept anchors to its text, and deal the units of these anchors by anchor to shards. A
    shard compares the units of each anchor (this is the operator's own part).
-4. Anchors whose table count reaches ``HOT`` may be those of very common passages. Their windows travel one by one, as
-   two 64-bit hashes, dealt by hash; a slice of a task sends equal windows once. So no shard holds all
-   occurrences of a common passage.
+4. Anchors with ``HOT`` occurrences, counted one by one where the table reaches ``HOT``, may be those of very common passages.
+   Their windows travel one by one with their bytes, dealt by hash; a slice of a task sends equal windows once. So no
+   shard holds all occurrences of a common passage. Windows are equal if their bytes are; a second table of counts keeps those
+   back that occur once.
 
 Rows are known by a 64-bit hash of key and text; two rows with one hash but different keys fail the job. Equal rows
 count as often as they occur.
@@ -36,7 +37,8 @@ HOT = 512
 PART_BYTES = 4 << 20  # text for one shard
 PRESSED_SLICE = SLICE_BYTES // 3
 _DONE = 1 << 40  # parts from here on hold results
-_SECOND = np.uint64(0x2545F4914F6CDD1D)
+COMMON_BITS = 22  # at most so many anchors are common (32 MB); beyond that HOT grows with the corpus
+CHUNK = 1 << 14  # windows whose bytes are held at once
 
 
 @dataclass
@@ -49,6 +51,7 @@ class Items:
     grams: np.ndarray  # hash of the gram at each item; only those inside a window are looked at
     window: Callable[[np.ndarray], np.ndarray]  # hashes of the windows at these items
     content: Callable[[np.ndarray, np.ndarray], tuple[bytes, np.ndarray]]  # bytes of item ranges, and their lengths
+    plain: Callable[[], tuple[np.ndarray, np.ndarray]]  # bytes of all items, equal for equal items, and where each begins, items + 1 entries
 
 
 @dataclass
@@ -111,16 +114,16 @@ def unpressed(column: pa.Array) -> pa.Array:
     return pa.array([None if t is None else opener.decompress(t) for t in column.to_pylist()], pa.large_binary())
 
 
-def _table(rows: DataFrame, items: Callable[[pa.Array], Items], length: int, gram: int, bits: int) -> np.ndarray:
+def _table(rows: DataFrame, found: Callable[[pa.Array], np.ndarray], bits: int) -> np.ndarray:
+    """How many of the hashes that ``found`` has of each slice of texts fall into each slot."""
     width = min(1 << 16, 1 << bits)
 
     def count(batches):
         table = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for first, n in slices(batch.column(0)):
-                found = anchors_of(items(batch.column(0).slice(first, n)), length, gram)
-                at, times = np.unique(found.hashes >> np.uint64(64 - bits), return_counts=True)
-                table[at.astype(np.int64)] += times.astype(np.uint32)
+                at, times = np.unique(slot(found(batch.column(0).slice(first, n)), table), return_counts=True)
+                table[at] += times.astype(np.uint32)
         numbers = [i for i, part in enumerate(table.reshape(-1, width)) if part.any()]
         kinds = [next(k for k, top in (("<u1", 256), ("<u2", 65536), ("<u4", 1 << 33)) if table.reshape(-1, width)[i].max() < top) for i in numbers]
         data = [table.reshape(-1, width)[i].astype(k).tobytes() for i, k in zip(numbers, kinds)]
@@ -143,6 +146,89 @@ def _table(rows: DataFrame, items: Callable[[pa.Array], Items], length: int, gra
     return table
 
 
+def slot(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    # Mixed again: anchors are least hashes, so their own upper bits would leave most slots empty.
+    return (mix(hashes) >> np.uint64(64 - int(np.log2(len(table))))).astype(np.int64)
+
+
+def among(hashes: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of the hashes are in an ascending array."""
+    if not len(ordered):
+        return np.zeros(len(hashes), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)] == hashes
+
+
+def common_anchors(rows: DataFrame, items, length: int, gram: int, table: np.ndarray, parts: int, hot: int) -> np.ndarray:
+    """Ascending hashes of the anchors that occur ``hot`` times: counted each, as a slot of the table holds more of them the larger the corpus."""
+    if not (table >= hot).any():
+        return np.zeros(0, np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(table >= hot)
+
+    def count(batches):
+        def packed():
+            token, times = np.unique(np.concatenate(held), return_counts=True)
+            part = (mix(token) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            return _pack(part[order], [token[order], times[order].astype(np.int64)])
+
+        full, held, size = shared.value, [], 0
+        for batch in batches:
+            for first, n in slices(batch.column(0)):
+                hashes = anchors_of(items(batch.column(0).slice(first, n)), length, gram).hashes
+                held.append(hashes[full[slot(hashes, full)]])
+                size += len(held[-1])
+                if size > 1 << 20:
+                    yield packed()
+                    held, size = [], 0
+        if size:
+            yield packed()
+
+    def add(group: pa.Table) -> pa.Table:
+        token, which = np.unique(_column(group, "a", np.uint64), return_inverse=True)
+        times = np.zeros(len(token), np.int64)
+        np.add.at(times, which, _column(group, "b", np.int64))
+        return pa.table({"tokens": pa.array([token[times >= hot].tobytes()], pa.binary())})
+
+    found = rows.select("text").mapInArrow(count, _PACKED).groupBy("part").applyInArrow(add, "tokens binary").collect()
+    shared.unpersist()
+    return np.sort(np.frombuffer(b"".join(r["tokens"] for r in found), np.uint64))
+
+
+def _windows_of(found: Anchors) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all runs, and the run of each."""
+    count = found.end - found.begin + 1
+    edge = np.cumsum(count) - count
+    return np.repeat(found.begin - edge, count) + np.arange(int(count.sum())), np.repeat(np.arange(len(count)), count)
+
+
+def _only(found: Anchors, keep: np.ndarray) -> Anchors:
+    return Anchors(*(x[keep] for x in (found.hashes, found.rows, found.begin, found.end, found.place)))
+
+
+def gather(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ranges, one after the other, and their lengths."""
+    lengths = end - begin
+    edge = np.cumsum(lengths) - lengths
+    return buffer[np.repeat(begin - edge, lengths) + np.arange(int(lengths.sum()))], lengths
+
+
+def alike(hashes: np.ndarray, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each byte range, the same for equal bytes only (0 up to the largest, none left out); equal ranges have equal hashes."""
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    head = first[which]
+    same = end - begin == (end - begin)[head]
+    at = np.flatnonzero(same & (head != np.arange(len(head))))
+    for i in range(0, len(at), CHUNK):
+        part = at[i : i + CHUNK]
+        left, lengths = gather(buffer, begin[part], end[part])
+        differ = np.flatnonzero(left != gather(buffer, begin[head[part]], end[head[part]])[0])
+        same[part[np.searchsorted(np.cumsum(lengths), differ, "right")]] = False
+    names: dict[bytes, int] = {}
+    for i in np.flatnonzero(~same).tolist():  # one hash, other bytes than the first
+        which[i] = names.setdefault(buffer[begin[i] : end[i]].tobytes(), len(first) + len(names))
+    return which
+
+
 def _pack(part: np.ndarray, columns: list[np.ndarray], contents: tuple[bytes, np.ndarray] | None = None) -> pa.RecordBatch:
     """Rows of equal part as one row of packed columns; contents (bytes, lengths) must be in order of part."""
     names, begin = np.unique(part, return_index=True)
@@ -171,19 +257,32 @@ def _column(group: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(group[name].to_pylist()), kind)
 
 
-def _repeated(rows: DataFrame, items, length: int, gram: int, shared, parts: int, hot: int) -> DataFrame:
+def _opened(group: pa.Table, kinds: list) -> tuple[list[np.ndarray], bytes]:
+    """Columns and contents as ``_pack`` had them; the last column has the contents' lengths."""
+    codec = pa.Codec("zstd")
+    sizes = [len(x) // 8 for x in group["a"].to_pylist()]
+    columns = [_column(group, "a", kinds[0]), _column(group, "b", kinds[1])]
+    for name, kind in zip("cdef", map(np.dtype, kinds[2:])):
+        cells = zip(group[name].to_pylist(), sizes)
+        data = b"".join(codec.decompress(x, n * kind.itemsize, asbytes=True) for x, n in cells)
+        columns.append(np.frombuffer(data, kind).astype(np.int64))
+    ends = np.cumsum(sizes)
+    totals = [int(columns[-1][e - s : e].sum()) for s, e in zip(sizes, ends)]
+    return columns, b"".join(codec.decompress(x, n, asbytes=True) for x, n in zip(group["content"].to_pylist(), totals))
+
+
+def _repeated(rows: DataFrame, items, length: int, gram: int, shared, parts: int) -> DataFrame:
     """``row`` and the packed hashes of its anchors that occur more than once (or may do so, if hot)."""
 
     def pairs(batches):
-        table = shared.value
-        shift = np.uint64(64 - int(np.log2(len(table))))
+        several, common, _ = shared.value
         for batch in batches:
             for first, n in slices(batch.column(0)):
                 found = anchors_of(items(batch.column(0).slice(first, n)), length, gram)
                 row = batch.column(2).slice(first, n).to_numpy(zero_copy_only=False)[found.rows]
-                count = table[(found.hashes >> shift).astype(np.int64)]
-                keep = count > 1
-                token, row, often = found.hashes[keep], row[keep], count[keep] >= hot
+                keep = several[slot(found.hashes, several)]
+                token, row = found.hashes[keep], row[keep]
+                often = among(token, common)
                 part = (np.where(often, mix(token ^ mix(row.view(np.uint64))), mix(token)) % np.uint64(parts)).astype(np.int64)
                 part[often] = -1 - part[often]
                 order = np.argsort(part, kind="stable")
@@ -211,18 +310,27 @@ def repeated_ranges(
     """``row`` and ``ranges``: packed (start, end) item ranges to remove, for the rows that have any.
 
     ``shard(units, contents)`` gets one shard's units as columns sorted by anchor, and returns rows of (row, start, end).
-    ``decide(hashes, keys, copies)`` tells which of a group's windows, known by hash, are to be removed: ``copies`` is how
-    often the window occurs.
+    ``decide(keys, least, copies)`` tells which of the windows of common anchors are to be removed: ``least`` is the
+    least key of a row with the same window, ``copies`` how often it occurs.
     """
     source = _rows(documents, key, text)
-    shared = documents.sparkSession.sparkContext.broadcast(_table(source, items, length, gram, bits))
+    table = _table(source, lambda column: anchors_of(items(column), length, gram).hashes, bits)
     total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(64, total // part_bytes)
-    kept = written(_repeated(source, items, length, gram, shared, parts, hot), "anchors")
+    common = common_anchors(source, items, length, gram, table, parts, max(hot, 2, -(-int(table.sum(dtype=np.int64)) >> COMMON_BITS)))
+
+    def common_windows(column):
+        own = items(column)
+        found = anchors_of(own, length, gram)
+        return own.window(_windows_of(_only(found, among(found.hashes, listed.value)))[0])
+
+    listed = documents.sparkSession.sparkContext.broadcast(common)
+    again = _table(source, common_windows, bits) > 1 if len(common) else None
+    shared = documents.sparkSession.sparkContext.broadcast((table > 1, common, again))
+    kept = written(_repeated(source, items, length, gram, shared, parts), "anchors")
 
     def units(batches):
-        table = shared.value
-        shift = np.uint64(64 - int(np.log2(len(table))))
+        _, common, again = shared.value
         for batch in batches:
             for first, n in slices(batch.column(0), PRESSED_SLICE):
                 part = batch.slice(first, n)
@@ -235,10 +343,11 @@ def repeated_ranges(
                 mine = mix(found.hashes ^ mix(found.rows.astype(np.uint64)))
                 at = np.minimum(np.searchsorted(pairs, mine), max(0, len(pairs) - 1))
                 keep = pairs[at] == mine if len(pairs) else np.zeros(len(mine), bool)
-                token, local, begin, end, place = (x[keep] for x in (found.hashes, found.rows, found.begin, found.end, found.place))
+                found = _only(found, keep)
+                token, local, begin, end, place = found.hashes, found.rows, found.begin, found.end, found.place
                 row = part.column(2).to_numpy(zero_copy_only=False)[local]
                 owner = part.column(1).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)[local]
-                often = table[(token >> shift).astype(np.int64)] >= hot
+                often = among(token, common)
                 cold = np.flatnonzero(~often)
                 deal = (mix(token[cold]) % np.uint64(parts)).astype(np.int64)
                 cold = cold[np.lexsort((token[cold], deal))]
@@ -249,16 +358,19 @@ def repeated_ranges(
                     lead = place[cold] - begin[cold]
                     yield _pack(deal, [token[cold], row[cold], owner[cold], offset.astype(np.int32), lead.astype(np.int32), lengths.astype(np.int32)], (data, lengths))
                 if often.any():
-                    yield from _hot(own, row[often], owner[often], local[often], begin[often], end[often])
-
-    def _hot(own, row, owner, local, begin, end):
-        count = end - begin + 1
-        edge = np.cumsum(count) - count
-        start = np.repeat(begin - edge, count) + np.arange(int(count.sum()))
-        row, owner = np.repeat(row, count), np.repeat(owner, count)
-        offset = start - np.repeat(own.first[local], count)
+                    yield from _hot(own, row[often], owner[often], _only(found, often), again)
+
+    def _hot(own, row, owner, found, again):
+        start, run = _windows_of(found)
         one = own.window(start)
-        _, which, copies = np.unique(one, return_inverse=True, return_counts=True)
+        several = again[slot(one, again)]
+        start, run, one = start[several], run[several], one[several]
+        if not len(start):
+            return
+        row, owner, offset = row[run], owner[run], start - own.first[found.rows[run]]
+        buffer, edges = own.plain()
+        which = alike(one, buffer, edges[start], edges[start + length])
+        copies = np.bincount(which)
         least = np.full(len(copies), np.iinfo(np.int64).max)
         np.minimum.at(least, which, owner)
         sure = decide(owner, least[which], copies[which])
@@ -272,35 +384,30 @@ def repeated_ranges(
         head = np.ones(len(order), bool)
         head[1:] = which[order][1:] != which[order][:-1]
         send = order[head | ~sure[order]]
-        two = mix(one[send] ^ _SECOND)
-        deal = -1 - (two % np.uint64(parts)).astype(np.int64)
-        by = np.argsort(deal, kind="stable")
-        send, deal = send[by], deal[by]
-        yield _pack(deal, [one[send], row[send], owner[send], offset[send], copies[which[send]].astype(np.int64)])
+        for i in range(0, len(send), CHUNK):
+            part = send[i : i + CHUNK]
+            deal = -1 - (mix(one[part]) % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(deal, kind="stable")
+            part, deal = part[by], deal[by]
+            data, lengths = gather(buffer, edges[start[part]], edges[start[part] + length])
+            columns = [row[part], owner[part], offset[part].astype(np.int64), copies[which[part]].astype(np.int64), lengths.astype(np.int32)]
+            yield _pack(deal, [one[part], *columns], (data.tobytes(), lengths))
 
     def compare(group: pa.Table) -> pa.Table:
         part = group["part"][0].as_py()
         if part >= _DONE:
             row, start, end = (_column(group, c, np.int64) for c in "abc")
         elif part < 0:
-            one, row, owner, offset, copies = (_column(group, c, k) for c, k in zip("abcde", [np.uint64] + [np.int64] * 4))
-            _, which = np.unique(one, return_inverse=True)
+            (one, row, owner, offset, copies, lengths), content = _opened(group, [np.uint64, *[np.int64] * 4, np.int32])
+            end = np.cumsum(lengths)
+            which = alike(one, np.frombuffer(content, np.uint8), end - lengths, end)
             total = np.bincount(which, weights=copies).astype(np.int64)
             least = np.full(len(total), np.iinfo(np.int64).max)
             np.minimum.at(least, which, owner)
             chosen = decide(owner, least[which], total[which])
             row, start, end = row[chosen], offset[chosen], offset[chosen] + length
         else:
-            codec = pa.Codec("zstd")
-            sizes = [len(x) // 8 for x in group["a"].to_pylist()]
-            columns = [_column(group, "a", np.uint64), _column(group, "b", np.int64)]
-            for name, kind in zip("cdef", [np.dtype(np.int64)] + [np.dtype(np.int32)] * 3):
-                cells = zip(group[name].to_pylist(), sizes)
-                data = b"".join(codec.decompress(x, n * kind.itemsize, asbytes=True) for x, n in cells)
-                columns.append(np.frombuffer(data, kind).astype(np.int64))
-            ends = np.cumsum(sizes)
-            totals = [int(columns[5][e - s : e].sum()) for s, e in zip(sizes, ends)]
-            content = b"".join(codec.decompress(x, n, asbytes=True) for x, n in zip(group["content"].to_pylist(), totals))
+            columns, content = _opened(group, [np.uint64, *[np.int64] * 2, *[np.int32] * 3])
             row, start, end = shard(columns, content)
         names, start, end = _ranges(row, start, end)
         names, begin = np.unique(names, return_index=True)

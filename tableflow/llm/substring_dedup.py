@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tableflow.llm.batches import NOT_BLANK, PrefixHashes, Words, extend, mix, utf8
-from tableflow.llm.repeats import PRESSED_SLICE, Items, repeated_ranges, unpack, unpressed, with_ranges
+from tableflow.llm.repeats import PRESSED_SLICE, Items, gather, repeated_ranges, unpack, unpressed, with_ranges
 
 LENGTH = 13
 GRAM = 5
@@ -92,12 +92,18 @@ def items(column: pa.Array) -> Items:
     at = np.arange(n)
 
     def content(begin, end):
-        a, b = words.starts[begin], words.ends[end - 1]
-        lengths = b - a
-        edge = np.cumsum(lengths) - lengths
-        return buffer[np.repeat(a - edge, lengths) + np.arange(int(lengths.sum()))].tobytes(), lengths
-
-    return Items(len(words), words.rows, words.first, mix(hashes(at, at + GRAM)), lambda s: mix(hashes(s, s + LENGTH)), content)
+        data, lengths = gather(buffer, words.starts[begin], words.ends[end - 1])
+        return data.tobytes(), lengths
+
+    def plain():
+        edges = np.append(0, np.cumsum(words.ends - words.starts + 1))  # a blank after each word
+        data = np.full(edges[-1], 0x20, np.uint8)
+        inside = np.ones(len(data), bool)
+        inside[edges[1:] - 1] = False
+        data[inside] = gather(buffer, words.starts, words.ends)[0]
+        return data, edges
+
+    return Items(len(words), words.rows, words.first, mix(hashes(at, at + GRAM)), lambda s: mix(hashes(s, s + LENGTH)), content, plain)
 
 
 def spans(statistics: list[int], length: int) -> list[tuple[int, int]]:

@@ -17,18 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tableflow.llm.batches import byte_hashes, extend, mix, utf8
-from tableflow.llm.repeats import PRESSED_SLICE, Items, repeated_ranges, unpack, unpressed, with_ranges
+from tableflow.llm.repeats import PRESSED_SLICE, Items, gather, repeated_ranges, unpack, unpressed, with_ranges
 
 LENGTH = 200
 GRAM = 64
 
 
-def _gather(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:
-    lengths = end - begin
-    edge = np.cumsum(lengths) - lengths
-    return buffer[np.repeat(begin - edge, lengths) + np.arange(int(lengths.sum()))].tobytes(), lengths
-
-
 def items_of(gram: int):
     def items(column: pa.Array) -> Items:
         buffer, offsets = utf8(column)
@@ -37,7 +31,12 @@ def items_of(gram: int):
         at = np.arange(n)
         grams = mix(hashes(at, at + gram))
         rows = np.repeat(np.arange(len(column)), np.diff(offsets))
-        return Items(len(buffer), rows, offsets, grams, _windows(hashes), lambda a, b: _gather(buffer, a, b))
+
+        def content(begin, end):
+            data, lengths = gather(buffer, begin, end)
+            return data.tobytes(), lengths
+
+        return Items(len(buffer), rows, offsets, grams, _windows(hashes), content, lambda: (buffer, np.arange(len(buffer) + 1)))
 
     return items
 

@@ -1,11 +1,13 @@
 """Passages of earlier documents (words), and byte strings that occur twice, against plain Python."""
 
+import dataclasses
+
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from plain_python import ODD, blank_separated, same, sha
-from tableflow.llm import queries, substring_dedup, suffix_dedup
+from tableflow.llm import queries, repeats, substring_dedup, suffix_dedup
 
 
 def earlier(rows):
@@ -56,6 +58,35 @@ def test_bytes(odd, hot):
     same(found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), anywhere(ODD))
 
 
+def one_hash(items):
+    """All windows have one hash."""
+    return lambda column: dataclasses.replace(items(column), window=lambda at: np.zeros(len(at), np.uint64))
+
+
+def test_windows_of_common_anchors_are_compared_as_bytes(odd, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "items", one_hash(substring_dedup.items))
+    found = substring_dedup.remove_earlier(odd, "doc_id", "text", ["doc_id"], hot=1)
+    same(found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), earlier(ODD))
+    plain = suffix_dedup.items_of
+    monkeypatch.setattr(suffix_dedup, "items_of", lambda gram: one_hash(plain(gram)))
+    found = suffix_dedup.remove_repeats(odd, "doc_id", "text", ["doc_id"], hot=1)
+    same(found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), anywhere(ODD))
+
+
+def test_only_common_anchors_are_hot(spark):
+    """However full the slots of the table are: here all anchors share two."""
+    common = " ".join(f"again{i}" for i in range(13))
+    rows = [(i, " ".join(f"own{i}x{j}" for j in range(40)) + (f" {common}" if i < 12 else "")) for i in range(60)]
+    source = repeats._rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    items, hashes = substring_dedup.items, lambda column: repeats.anchors_of(substring_dedup.items(column), 13, 5).hashes
+    texts = source.select("text").toArrow()["text"].combine_chunks()
+    names, counts = np.unique(hashes(texts), return_counts=True)
+    table = repeats._table(source, hashes, 1)
+    assert len(table) == 2 and table.sum() == counts.sum() and table.min() >= 12
+    found = repeats.common_anchors(source, items, 13, 5, table, 64, 12)
+    assert found.tolist() == names[counts >= 12].tolist() and len(found) > 0
+
+
 def test_empty_tables(empty):
     assert substring_dedup.remove_earlier(empty, "doc_id", "text", ["doc_id"]).collect() == []
     assert suffix_dedup.remove_repeats(empty, "doc_id", "text", ["doc_id"]).collect() == []
