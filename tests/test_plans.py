@@ -78,6 +78,28 @@ def test_rejected_rows(spark, folder):
         plans.run(spark, spec, env)
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_short_and_long_records(spark, folder, stored):
+    """Kept with what they hold, left out, or an error; counted in any case."""
+    spec = tickets_spec(folder)
+    pathlib.Path(folder, "in.csv").write_text(TICKETS + "15,Ada\n16,Ben,200,West,more\n", encoding="utf-8")
+    spec["transforms"] = []
+    spec["output"]["storage"] = {"type": "parquet", "table": f"{folder}/out", "mode": "overwrite"}
+    env = plans.Environment(rejects_path=f"{folder}/rejects" if stored else None)
+    for action in (None, "null", "drop"):
+        spec["output"]["rejects"] = {"onReject": action}
+        result = plans.run(spark, spec, env)
+        assert (result.rows, result.rejected) == (4 if action == "drop" else 6, 2)
+        found = VersionedTable(spark, f"{folder}/out").read().where("ticket > 14")
+        assert table(found) == ([] if action == "drop" else [(15, "Ada", None, None), (16, "Ben", 200.0, "West")])
+        if stored:
+            lost = spark.read.parquet(f"{folder}/rejects").where(F.col("run") == result.run)
+            assert table(lost.select("reject_field", "reject_value")) == [("_record", "15,Ada"), ("_record", "16,Ben,200,West,more")]
+    spec["output"]["rejects"] = {"onReject": "fail"}
+    with pytest.raises(ValueError, match="2 rows break"):
+        plans.run(spark, spec, env)
+
+
 @pytest.fixture
 def crew(rows):
     day = datetime.date
