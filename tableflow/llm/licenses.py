@@ -85,7 +85,8 @@ SENTENCES = [
     ("wtfpl", "you just do what the f"),
 ]
 
-GATES = (b"licen", b"copyright", b"permission", b"redistribut", b"software", b"spdx", b"unlicense", b"creativecommons", b"creative commons")
+#: Gate words of the rules whose matches all hold one; other rules are gates by their own words.
+ROOTS = ("licen", "permission", "redistribut", "copyright", "software", "creativecommons")
 
 
 @dataclass(frozen=True)
@@ -93,6 +94,7 @@ class Rule:
     kind: str
     label: str
     word: bytes  # stands in every match
+    gate: bytes  # so does this
     pattern: re.Pattern
 
 
@@ -101,11 +103,15 @@ def rules() -> list[Rule]:
     """All rules, from the forms in which a family is named: about 300."""
     out = []
 
-    def add(kind, label, word, pattern):
-        out.append(Rule(kind, label, word.encode(), re.compile(rf"(?<= )(?:{pattern})(?= )".encode())))
+    def add(kind, label, word, pattern, own=""):
+        always, inner = pattern, None
+        while always != inner:  # without choices and optional parts
+            inner, always = always, re.sub(r"\(\?:[^()]*\)\??", "|", always)
+        gate = next((root for root in ROOTS if root in always), own or word)
+        out.append(Rule(kind, label, word.encode(), gate.encode(), re.compile(rf"(?<= )(?:{pattern})(?= )".encode())))
 
     for label, sentence in SENTENCES:
-        add("text", label, sentence.split()[-1], re.escape(sentence).replace(r"\ ", " ") + r"\w*")
+        add("text", label, sentence.split()[-1], re.escape(sentence).replace(r"\ ", " ") + r"\w*", sentence)
     for label, name, word, identifiers, address in FAMILIES:
         for identifier in identifiers:
             add("identifier", label, "spdx", rf"spdx licen[cs]e identifier {identifier}")
@@ -119,6 +125,12 @@ def rules() -> list[Rule]:
     return out
 
 
+@lru_cache(1)
+def gates() -> list[bytes]:
+    """Words and phrases of which every match of a rule or base phrase holds one."""
+    return sorted({rule.gate for rule in rules()} | {b"licen"})
+
+
 def detect(text: bytes) -> list[tuple[int, int, Rule]]:
     """Accepted detections in blank-framed words: start and end byte, rule."""
     found = []
@@ -146,11 +158,11 @@ def _places(text: bytes, phrase: bytes) -> list[int]:
 
 def scan(raw: bytes) -> tuple[int, list[int], set[str], set[str], float]:
     """Number of words, starts of base phrases, base labels, all labels, score."""
-    words = raw.translate(TO_WORDS)
-    count = len(words.split())
-    if not any(gate in words for gate in GATES):
+    words = raw.translate(TO_WORDS).split()
+    count = len(words)
+    text = b" " + b" ".join(words) + b" "
+    if not any(gate in text for gate in gates()):
         return count, [], set(), set(), 0.0
-    text = b" " + b" ".join(words.split()) + b" "
     starts, base = [], set()
     for phrase, label in BASE.items():
         if places := _places(text, phrase):

@@ -1,6 +1,7 @@
 """Benchmark passages, quality, tokens and license notices."""
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -217,6 +218,25 @@ def test_license_query(spark, tables):
         assert 0 <= row["score"] <= 1 and set(row["base_labels"].split(",")) <= set(row["labels"].split(",")) | {""}
 
 
+def test_every_rule_is_found_on_its_own():
+    """Every rule's match, alone in a text, passes the gate: here with one choice of each part of its pattern."""
+    for rule in licenses.rules():
+        pattern = rule.pattern.pattern.decode().removeprefix("(?<= )").removesuffix("(?= )").replace(r"\w*", "").replace(r"\w+", "x").replace(r"\d", "2")
+        for optional in (False, True):
+            text, inner = pattern, None
+            while text != inner:
+                inner, text = text, re.sub(r"\(\?:([^()|]*)[^()]*\)(\?)?", lambda m: m[1] if optional or not m[2] else "", text)
+            text = re.sub(r"(.)\?", r"\1" if optional else "", re.sub(r"\[(.)[^\]]*\]", r"\1", text))
+            assert rule.pattern.fullmatch(f" {text} ".encode(), 1, len(text) + 1) or rule.pattern.search(f" {text} ".encode()), (rule, text)
+            assert rule.word in text.encode() and rule.gate in text.encode(), (rule, text)
+            assert licenses.scan(text.encode())[4] > 0, (rule, text)
+    for text, label in [
+        ("https://www.mozilla.org/MPL/2.0/", "mpl"), ("eclipse.org/legal/epl", "epl"), ("EUPL.eu 1.2", "eupl"), ("wtfpl.net", "wtfpl"),
+        ("http://scripts.sil.org/OFL", "ofl"), ("You just do what the  fun is", "wtfpl"),
+    ]:
+        assert label in licenses.scan(f"see {text} .".encode())[3]
+
+
 def test_rules_by_priority_and_containment():
     scan = lambda text: licenses.scan(text.encode())[3:]
     assert scan("SPDX-License-Identifier: BSD-3-Clause") == ({"bsd"}, 1.0)
