@@ -294,8 +294,12 @@ def _repeated(rows: DataFrame, items, length: int, gram: int, shared, parts: int
         if group["part"][0].as_py() >= 0:
             _, which, count = np.unique(token, return_inverse=True, return_counts=True)
             token, row = token[count[which] > 1], row[count[which] > 1]
-        order = np.argsort(row, kind="stable")
+        # Each pair once: equal rows share a hash, and each of them gets this list.
+        order = np.lexsort((token, row))
         token, row = token[order], row[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
+        token, row = token[new], row[new]
         names, begin = np.unique(row, return_index=True)
         return pa.table({"row": names, "anchors": binaries(token.tobytes(), np.append(begin, len(row)) * 8)})
 

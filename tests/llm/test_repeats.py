@@ -87,6 +87,23 @@ def test_only_common_anchors_are_hot(spark):
     assert found.tolist() == names[counts >= 12].tolist() and len(found) > 0
 
 
+@pytest.mark.parametrize("hot", [2, 512])
+def test_equal_rows_have_each_anchor_once(spark, hot):
+    """Not once for each of them, as each of them gets the list."""
+    text = " ".join(f"same{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, text)] * 20, "doc_id long, text string")
+    source = repeats._rows(rows, "doc_id", "text")
+    items = substring_dedup.items
+    table = repeats._table(source, lambda column: repeats.anchors_of(items(column), 13, 5).hashes, 22)
+    common = repeats.common_anchors(source, items, 13, 5, table, 64, hot)
+    shared = spark.sparkContext.broadcast((table > 1, common, None))
+    (found,) = repeats._repeated(source, items, 13, 5, shared, 64).collect()
+    anchors = np.frombuffer(b"".join(found["anchors"]), np.uint64)
+    assert len(anchors) == len(set(anchors.tolist())) > 2
+    cut = suffix_dedup.remove_repeats(rows, "doc_id", "text", ["doc_id"], hot=hot)
+    assert [r["n_removed"] for r in cut.collect()] == [len(text)] * 20
+
+
 def test_empty_tables(empty):
     assert substring_dedup.remove_earlier(empty, "doc_id", "text", ["doc_id"]).collect() == []
     assert suffix_dedup.remove_repeats(empty, "doc_id", "text", ["doc_id"]).collect() == []
