@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import bpe, decontamination, jaccard_join, licenses, quality, sharding, ship, substring_dedup, suffix_dedup, topk, warc
+from tableflow.llm import (
+    bpe, decontamination, filter_audit, jaccard_join, licenses, main_text, quality, sharding, ship, substring_dedup, suffix_dedup, topk, warc, whitening
+)
 from tableflow.workspace import new_folder
 
 QUERIES: dict = {}
@@ -182,3 +184,41 @@ def op2_suffix_automata(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op5_no_random_access(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
+
+
+@query()
+def op11_block_crf(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages, "html", keep=["page_id", "url"])
+
+
+@query()
+def op12_lanczos(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
+@query(
+    r"""
+    with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t from documents),
+    w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, min(doc_id) over (partition by t) first from d),
+    f as (select doc_id, part, [(len(ws) < 200)::int, (100 * len(list_distinct(ws)) < 50 * len(ws))::int,
+        (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::int,
+        regexp_matches(t, '[#$%&*|]')::int, coalesce(first < doc_id, false)::int] m from w),
+    l as (select doc_id, max((quality = 1)::int) good, max((toxic = 1)::int) toxic from labels group by 1),
+    c as (select part, m, count(*) n, sum(coalesce(good, 0)) good, sum(coalesce(toxic, 0)) toxic from f left join l using (doc_id) group by 1, 2),
+    x as (select unnest(['A', 'B', 'C', 'D', 'E']) k),
+    o as (select a.k || b.k || c.k || d.k || e.k filter_order from x a join x b on b.k <> a.k join x c on c.k not in (a.k, b.k)
+        join x d on d.k not in (a.k, b.k, c.k) join x e on e.k not in (a.k, b.k, c.k, d.k)),
+    s as (select filter_order, unnest(range(1, 6))::int step from o),
+    r as (select part, filter_order, step, n, good, toxic, list_sum(m) failing, m[instr('ABCDE', filter_order[step])] here,
+        coalesce(list_sum(list_transform(range(1, step), lambda i: m[instr('ABCDE', filter_order[i])])), 0) earlier from c, s),
+    g as (select part, filter_order, step, sum(case when here + earlier = 0 then n else 0 end) kept, sum(case when here = 1 and earlier = 0 then n else 0 end) removed,
+        sum(case when here = 1 and earlier > 0 then n else 0 end) redundant, sum(case when here = 1 and failing = 1 then n else 0 end) unique_fails,
+        sum(case when here = 1 and earlier = 0 then good else 0 end) good_lost, sum(case when here = 1 and earlier = 0 then toxic else 0 end) toxic_lost from r group by 1, 2, 3)
+    select part, filter_order, step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant, unique_fails::bigint unique_fails,
+        good_lost::bigint good_lost, toxic_lost::bigint toxic_lost, (sum(removed) over (partition by part, filter_order[step]))::bigint shapley from g
+    """
+)
+def op13_radix_tries(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(documents, "doc_id", "text", "lang", table(spark, folder, "labels"))
