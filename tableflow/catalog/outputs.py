@@ -251,11 +251,11 @@ def run_rejects_counts(spark, folder):
     return log.read().select(*counts, F.col("error_message").alias("told"))
 
 
-@query("select c_custkey as key, 'two' || chr(10) || c_name as name, '' as note from customer where c_acctbal > 100")
+@query("select c_custkey as key, 'two' || chr(10) || c_name as name, '' as note from customer")
 def src_csv_described(spark, folder):
     """Quoted line breaks and empty cells, kept as text, through a description."""
     path = workspace.new_folder(spark, "described-csv")
-    customer = table(spark, folder, "customer").where("c_acctbal > 100")
+    customer = table(spark, folder, "customer")
     write_csv(customer.select(F.col("c_custkey").alias("key"), F.concat(F.lit("two\n"), "c_name").alias("name"), F.lit("").alias("note")), path, ";")
     source = {"type": "csv", "filePath": path, "delimiter": ";", "multiLine": True, "text": True}
     fields = [{"name": n, "type": "STRING"} for n in ("key", "name", "note")]

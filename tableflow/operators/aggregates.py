@@ -53,6 +53,9 @@ def _expression(df: DataFrame, agg: Agg, nulls: str) -> Column:
         return _NUMERIC[function](casts.zero_filled(value, dtype))
     if function in ("SUM", "AVG") and not isinstance(dtype, T.NumericType):
         value = casts.as_double(value, dtype)
+    if function == "SUM" and isinstance(dtype, T.IntegralType):
+        # A sum of longs leaves 64 bits; it would then fail or wrap, as the session's ANSI mode has it.
+        value = value.cast("decimal(38,0)")
     return _NUMERIC[function](value)
 
 
@@ -65,8 +68,8 @@ def aggregate(
     """COUNT, SUM, AVG, MIN, MAX per group; COUNT counts rows.
 
     ``nulls="zero"``: numbers are doubles; NULL and text that is no number count as 0, also in AVG's denominator and in
-    MIN and MAX. ``nulls="skip"``: as in SQL, in the column's own type; only SUM and AVG of text
-    read it as numbers, leaving out what is none. Null and empty text keys are one group, shown as NULL
+    MIN and MAX. ``nulls="skip"``: as in SQL, in the column's own type; a SUM of whole numbers is a ``decimal(38,0)``, so that it
+    never overflows, and only SUM and AVG of text read it as numbers, leaving out what is none. Null and empty text keys are one group, shown as NULL
     only if no member held the empty text. No aggregation list: nothing changes; an empty one gives
     the distinct keys. Without keys there is one row, or none for empty input.
     """

@@ -102,3 +102,17 @@ def test_aggregate_matches_brute_force(spark, rows):
         expected[key or ""] = (n + 1, s + number)
     out = aggregate(rows(data, "k string, v string").repartition(16), ["k"], [("v", "COUNT", "n"), ("v", "SUM", "s")])
     assert {r.k: (r.n, r.s) for r in out.collect()} == expected
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_sum_of_longs_does_not_overflow(spark, rows, ansi):
+    """With ANSI mode on a sum of longs would fail, with it off it would wrap."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = rows([("a", 2**63 - 1), ("a", 2**63 - 1), ("b", None), ("c", -(2**63)), ("c", -1)], "k string, v long")
+        found = aggregate(df, ["k"], [("v", "SUM", "s"), ("v", "MAX", "m")], nulls="skip")
+        assert found.schema["s"].dataType.simpleString() == "decimal(38,0)"
+        assert sorted((r.k, r.s and int(r.s), r.m) for r in found.collect()) == [("a", 2**64 - 2, 2**63 - 1), ("b", None, None), ("c", -(2**63) - 1, -1)]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
