@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -187,6 +188,42 @@ def upsert_table_empty_batch(spark, folder):
     return target.read()
 
 
+@query(
+    """select o_orderkey, o_orderstatus, case when o_orderstatus = 'P' then 0.0::double when o_orderstatus = 'F' then null
+    else o_totalprice end as o_totalprice from orders"""
+)
+def upsert_bucketed(spark, folder):
+    """A table stored in buckets of its key takes a batch of whole rows and one without all columns: only the batches move."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    target = tables.VersionedTable(spark, workspace.new_folder(spark, "bucketed"), ["o_orderkey"], 8)
+    target.replace(orders.where("o_orderstatus <> 'P' or o_totalprice > 250000"))
+    target.upsert(_price_cut(spark, folder), ["o_orderkey"], order_by=["step"])
+    part = orders.where("o_orderstatus = 'F'").select("o_orderkey", F.lit(None).cast("double").alias("o_totalprice"))
+    target.upsert(part, ["o_orderkey"], unique_keys=True)
+    return target.read()
+
+
+@query(
+    """select o_orderkey, case when o_orderstatus = 'P' then 0.0::double when o_orderstatus = 'F' then 1.0::double
+    else o_totalprice end as o_totalprice from orders"""
+)
+def upsert_two_writers(spark, folder):
+    """Two upserts start from the same version; the slower one merges again, and both batches are there."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    path = workspace.new_folder(spark, "two-writers")
+    tables.VersionedTable(spark, path).replace(orders.select("o_orderkey", "o_totalprice"))
+
+    def write(status: str, price: float):
+        batch = orders.where(F.col("o_orderstatus") == status).select("o_orderkey", F.lit(price).alias("o_totalprice"))
+        return tables.VersionedTable(spark, path).upsert(batch, ["o_orderkey"], unique_keys=True).version
+
+    with ThreadPoolExecutor(2) as pool:
+        versions = sorted(pool.map(write, ["P", "F"], [0.0, 1.0]))
+    if versions != [2, 3]:
+        raise AssertionError(f"two upserts made versions {versions}")
+    return tables.VersionedTable(spark, path).read()
+
+
 @query(
     """select o_orderkey, case when o_orderstatus = 'P' then 0.0::double else o_totalprice end as o_totalprice,
     o_orderstatus from orders"""

@@ -33,6 +33,7 @@ def upsert(
     order_by: Iterable[str | Column] | None = None,
     unique_keys: bool = False,
     small_batch: bool = False,
+    located: bool = False,
 ) -> DataFrame:
     """``base`` after writing ``batch``: new keys are added, known keys take the batch's values.
 
@@ -44,7 +45,8 @@ def upsert(
     keys only adds missing keys. A null key never matches.
 
     A batch that lacks columns is merged in one full outer join, which moves both sides once. With
-    ``small_batch``, for keys that Spark broadcasts, the table stays where it is instead.
+    ``small_batch``, for keys that Spark broadcasts, the table stays where it is instead. ``located`` says that the table is
+    stored in buckets of the keys: every batch is then merged in one full outer join, which moves the batch only.
     """
     keys, order_by = list(keys or []), None if order_by is None else list(order_by)
     if not keys:
@@ -57,6 +59,11 @@ def upsert(
     keys = [names.find(base, k) for k in keys]
     ordering = [o for o in order_by or () if isinstance(o, str)]
     shared = [c for c in base.columns if names.find(batch, c) is not None]
+    if located:
+        if order_by is not None:
+            batch = written_rows(batch, keys, order_by)
+        batch = _spelled(base, batch, ordering, loose=any(isinstance(o, Column) for o in order_by or ()))
+        return _overwrite(base, batch, keys, "full_outer")
     if set(shared) == set(keys):
         batch = _spelled(base, batch, ordering, loose=any(isinstance(o, Column) for o in order_by or ()))
         touched = batch.select(*keys).dropna()

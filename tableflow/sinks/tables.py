@@ -13,17 +13,20 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from tableflow import storage, workspace
 from tableflow.functions import names
 from tableflow.operators.upsert import upsert, written_rows
+from tableflow.records import ATTEMPTS, Conflict, Records
 
-_COMMITS = "version long, folder string, rows long, committed_at timestamp"
 
 
 class Commit(NamedTuple):
-    """A version of a table: where it is, how many rows it has, since when it is current."""
+    """A version of a table: where it is, how many rows it has, since when it is current, how it is bucketed, what its writer noted."""
 
     version: int
     folder: str
     rows: int
     committed_at: datetime
+    bucket_by: tuple[str, ...] = ()
+    buckets: int = 0
+    note: str | None = None
 
 
 # Up to this many touched partitions their values are listed in the scan's filter; above, it has only
@@ -35,41 +38,94 @@ class VersionedTable:
     """A table whose new content is written beside the old one and then made current.
 
     Readers always see one whole version, and a version can be computed from the one before. The
-    commit is a record appended after the data is complete; a failed write leaves no trace in it.
-    One writer at a time. :meth:`vacuum` removes old versions.
+    commit is a record made after the data is complete, under a version number that only one writer can take:
+    of two upserts at the same time the slower one merges again into what the other has written, of two
+    replacements the slower one stays. A failed write leaves no trace. :meth:`vacuum` removes old versions.
+
+    With ``bucket_by`` (the upsert keys) and ``buckets`` each version is stored in that many files, dealt by a hash of the keys and
+    sorted by them, so that an upsert moves the batch to the table and not the table: Spark then sees the table's
+    partitioning, and each task merges one bucket. A bucketed version is known to the session's catalog while it is read. About a
+    gigabyte a bucket is a good size; :meth:`replace` stores anew with the numbers given here.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, bucket_by: Iterable[str] = (), buckets: int = 0):
         self.spark, self.path = spark, path.rstrip("/")
+        self.bucket_by, self.buckets = tuple(bucket_by), buckets
+        if bool(self.bucket_by) != (buckets > 0):
+            raise ValueError("bucket_by and buckets go together")
+        self._records = Records(spark, f"{self.path}/commits")
+
+    def commits(self, count: int) -> list[Commit]:
+        """The last ``count`` commits, newest first."""
+        return [
+            Commit(
+                version, c["folder"], c["rows"], datetime.fromisoformat(c["committed_at"]), tuple(c["bucket_by"]), c["buckets"], c["note"]
+            )
+            for version, c in self._records.newest(count)
+        ]
 
     def latest(self) -> Commit | None:
         """The current commit, ``None`` before the first."""
-        log = storage.if_exists(lambda: self.spark.read.schema(_COMMITS).json(f"{self.path}/commits"))
-        found = None if log is None else log.orderBy(F.desc("version")).first()
-        return found and Commit(*found)
+        return next(iter(self.commits(1)), None)
 
     def read(self, commit: Commit | None = None) -> DataFrame:
         """The content of a commit, by default of the current one."""
         commit = commit or self.latest()
         if commit is None:
             raise ValueError(f"nothing committed at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{commit.folder}")
-
-    def replace(self, df: DataFrame, keep_if_empty: bool = False) -> Commit | None:
+        folder = f"{self.path}/{commit.folder}"
+        if not commit.buckets:
+            return self.spark.read.parquet(folder)
+        name = _catalog_name(commit.folder)
+        if not self.spark.catalog.tableExists(name):
+            keys = ", ".join(_quoted(k) for k in commit.bucket_by)
+            columns = self.spark.read.parquet(folder)._jdf.schema().toDDL()
+            clustered = f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {commit.buckets} BUCKETS"
+            place = folder.replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {clustered} LOCATION '{place}'")
+        return self.spark.table(name)
+
+    def replace(self, df: DataFrame, keep_if_empty: bool = False, note: str | None = None) -> Commit | None:
         """Make ``df`` the content; with ``keep_if_empty`` an empty ``df`` changes nothing."""
-        return self._commit(df, self.latest(), keep_if_empty)
-
-    def _commit(self, df: DataFrame, current: Commit | None, keep_if_empty: bool = False) -> Commit | None:
-        version = current.version + 1 if current else 1
-        folder = f"data/v{version}-{uuid.uuid4().hex}"
-        counted = Observation()
-        df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.path}/{folder}")
-        rows = counted.get["rows"]
+        spread = df.repartition(self.buckets, *[names.col(k) for k in self.bucket_by]) if self.buckets else df
+        folder, rows = self._write(spread, self.bucket_by, self.buckets)
         if rows == 0 and keep_if_empty:
-            return current
-        done = Commit(version, folder, rows, datetime.now())
-        record = self.spark.createDataFrame([done], _COMMITS)
-        record.coalesce(1).write.mode("append").json(f"{self.path}/commits")
+            self._forget(folder)
+            return self.latest()
+        for _ in range(ATTEMPTS):
+            done = self._record(self.latest(), folder, rows, self.bucket_by, self.buckets, note)
+            if done:
+                return done
+        self._forget(folder)
+        raise Conflict(f"{self.path}: other writers were faster {ATTEMPTS} times")
+
+    def _write(self, df: DataFrame, bucket_by: tuple[str, ...], buckets: int) -> tuple[str, int]:
+        folder = f"data/{uuid.uuid4().hex}"
+        counted = Observation()
+        writer = df.observe(counted, F.count(F.lit(1)).alias("rows")).write
+        if buckets:
+            writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by).option("path", f"{self.path}/{folder}").saveAsTable(_catalog_name(folder), format="parquet")
+        else:
+            writer.parquet(f"{self.path}/{folder}")
+        return folder, counted.get["rows"]
+
+    def _record(self, current: Commit | None, folder: str, rows: int, bucket_by, buckets: int, note: str | None = None) -> Commit | None:
+        """Make the data in ``folder`` the version after ``current``; ``None`` if there is one already."""
+        done = Commit(current.version + 1 if current else 1, folder, rows, datetime.now(), tuple(bucket_by), buckets, note)
+        content = done._asdict() | {"committed_at": done.committed_at.isoformat()}
+        return done if self._records.add(content.pop("version"), content) else None
+
+    def _forget(self, folder: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {_catalog_name(folder)}")
+        workspace.remove(self.spark, f"{self.path}/{folder}")
+
+    def _commit(self, df: DataFrame, current: Commit | None, note: str | None = None) -> Commit | None:
+        """Write ``df`` as the version after ``current``; ``None``, and no trace of it, if another writer made that version."""
+        bucket_by, buckets = (current.bucket_by, current.buckets) if current else (self.bucket_by, self.buckets)
+        folder, rows = self._write(df, bucket_by, buckets)
+        done = self._record(current, folder, rows, bucket_by, buckets, note)
+        if done is None:
+            self._forget(folder)
         return done
 
     def vacuum(self, keep: int = 2) -> list[str]:
@@ -79,15 +135,14 @@ class VersionedTable:
         """
         if keep < 1:
             raise ValueError("keep at least the current version")
-        log = storage.if_exists(lambda: self.spark.read.schema(_COMMITS).json(f"{self.path}/commits"))
-        kept = set() if log is None else {r["folder"] for r in log.orderBy(F.desc("version")).limit(keep).collect()}
+        kept = {commit.folder for commit in self.commits(keep)}
         system, data = workspace.file_system(self.spark, f"{self.path}/data")
         if not system.exists(data):
             return []
         found = [f"data/{status.getPath().getName()}" for status in system.listStatus(data)]
         gone = [folder for folder in found if folder not in kept]
         for folder in gone:
-            workspace.remove(self.spark, f"{self.path}/{folder}")
+            self._forget(folder)
         return gone
 
     def upsert(
@@ -97,26 +152,48 @@ class VersionedTable:
         order_by: Iterable[str | Column] | None = None,
         unique_keys: bool = False,
         staged: bool = False,
+        note: str | None = None,
     ) -> Commit:
         """Write ``batch`` by key; see :func:`tableflow.operators.upsert.upsert`.
 
         The batch is written once to the shared folder first, unless it is ``staged`` there already: it
         is used twice below, and a source query must neither run twice nor change between. An
-        empty batch changes nothing. The first batch makes the table, order columns included.
+        empty batch changes nothing. The first batch makes the table, order columns included. If another writer commits
+        in the meantime, the batch is merged again into the new version.
         """
-        keys, current = list(keys or []), self.latest()
+        keys = list(keys or [])
         order_by = None if order_by is None else list(order_by)
         if keys and order_by is None and not unique_keys:
             raise ValueError("upsert needs order_by to choose the last row per key, or unique_keys=True")
-        if current is None:
-            first = written_rows(batch, keys, order_by) if keys and order_by else batch
-            return self._commit(first, None)
         with _staged(self.spark, batch, keys, staged) as (rows, count, key_bytes):
-            if count == 0:
-                return current
-            small = key_bytes <= _broadcast_limit(self.spark)
-            merged = upsert(self.read(current), rows, keys, order_by, unique_keys, small)
-            return self._commit(merged, current)
+            for _ in range(ATTEMPTS):
+                current = self.latest()
+                if current is None:
+                    first = written_rows(rows, keys, order_by) if keys and order_by else rows
+                    if self.buckets:
+                        first = first.repartition(self.buckets, *[names.col(k) for k in self.bucket_by])
+                    done = self._commit(first, None, note)
+                elif count == 0:
+                    return current
+                else:
+                    base = self.read(current)
+                    located = bool(keys) and [names.find(base, k) for k in keys] == list(current.bucket_by)
+                    small = key_bytes <= _broadcast_limit(self.spark)
+                    merged = upsert(base, rows, keys, order_by, unique_keys, small, located)
+                    if current.buckets and not located:
+                        merged = merged.repartition(current.buckets, *[names.col(k) for k in current.bucket_by])
+                    done = self._commit(merged, current, note)
+                if done:
+                    return done
+        raise Conflict(f"{self.path}: other writers were faster {ATTEMPTS} times")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _catalog_name(folder: str) -> str:
+    return f"tableflow_{folder.rsplit('/', 1)[-1]}"
 
 
 def _broadcast_limit(spark: SparkSession) -> int:
