@@ -451,6 +451,45 @@ def sub_fanout_isolated(spark, folder):
     return rows.union(spark.createDataFrame(failed, "consumer string, event_id bigint, failed boolean"))
 
 
+def _many_subscriptions():
+    """A thousand filters: ranges of the value, event types, both, and one that is no simple comparison."""
+    kinds = ("click", "view", "purchase", "error", "signup")
+    for i in range(1000):
+        low, kind = i % 250, kinds[i // 250]
+        yield delivery.Subscription(f"s{i}", "events", ("event_id",), f"value >= {low} && value < {low + 1 + i % 7}" if i % 2 else f"event_type == '{kind}' && value > {low}.5")
+    yield delivery.Subscription("expression", "events", ("event_id",), "event_id % 100 == 7 || value < -5")
+    yield delivery.Subscription("unbounded", "events", ("event_id",), "value > 120 && event_type != 'view'")
+
+
+@query(
+    """with i as (select unnest(range(1000)) i), s as (select i, i % 250 low, ['click', 'view', 'purchase', 'error', 'signup'][1 + i // 250] kind from i)
+    select 's' || i as consumer, event_id from events, s
+    where case when i % 2 = 1 then value >= low and value < low + 1 + i % 7 else event_type = kind and value > low + 0.5 end
+    union all select 'expression', event_id from events where event_id % 100 = 7 or value < -5
+    union all select 'unbounded', event_id from events where value > 120 and event_type <> 'view'"""
+)
+def sub_fanout_indexed(spark, folder):
+    """A thousand subscriptions in one write: their filters are rows of an index that the events meet by key."""
+    out = workspace.new_folder(spark, "deliveries")
+    done = delivery.fan_out(table(spark, folder, "events"), _many_subscriptions(), out, run="1")
+    consumers = spark.createDataFrame([(d.subscription.label, d.subscription.consumer) for d in done], "subscription string, consumer string")
+    stored = spark.read.parquet(f"{out}/pipeline=events")
+    if sum(d.rows for d in done) != stored.count():
+        raise AssertionError("the deliveries' row counts do not add up to what is stored")
+    return stored.join(consumers, "subscription").select("consumer", "event_id")
+
+
+@query(
+    """select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem order by l_orderkey, l_linenumber, l_partkey, l_quantity
+    limit 500 offset (select (count(*) - 1) // 500 * 500 from lineitem)"""
+)
+def sub_page_deep(spark, folder):
+    """The last page of all line items, read from the place where it is stored."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    index = delivery.PageIndex(table(spark, folder, "lineitem").select(*order), order, workspace.new_folder(spark, "pages"))
+    return index.page((index.rows - 1) // delivery.PAGE_SIZE)
+
+
 @query("select event_id from events where ts >= timestamp '2024-01-29 23:00:00'")
 def snapshot_fresh(spark, folder):
     """Events by staging time, one hour before a fixed moment."""

@@ -6,24 +6,30 @@ import hashlib
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
+from itertools import accumulate
 from operator import or_
 from urllib.parse import quote
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tableflow.functions import names, predicates
+from tableflow.operators import subscription_index
 from tableflow.operators.transforms import condition, filter_rows, project
 from tableflow.sinks.tables import Commit, VersionedTable
 
 # Rows per page and seconds a snapshot stays current, where none are given.
 PAGE_SIZE = 500
 SNAPSHOT_TTL_SECONDS = 3600
+# The column and the layout of a stored row's place: range number, then this many bits for the place in it.
+_PLACE, _BITS = "__place", 33
 # Writes of one fan-out that run at the same time.
 SIDE_BY_SIDE = 4
 
@@ -72,12 +78,49 @@ def subscribed(df: DataFrame, subscription: Subscription) -> DataFrame:
 def page(df: DataFrame, order_by: Sequence[str], number: int = 0, size: int = PAGE_SIZE) -> DataFrame:
     """Page ``number`` (from 0) in the given order, which must be total for pages not to overlap.
 
-    Each task keeps its first ``(number + 1) * size`` rows. For deep pages use :func:`page_after`.
+    Each task keeps its first ``(number + 1) * size`` rows. For deep pages use :func:`page_after`, or :class:`PageIndex`.
     """
     ordered = df.orderBy(*[names.col(c) for c in order_by])
     return ordered.offset(number * size).limit(size)
 
 
+class PageIndex:
+    """A result stored in page order, so that any page is read from the one or two places where it is.
+
+    The rows are dealt to ranges of the page order, sorted and numbered within their range while they are written; one
+    count per range gives the number of rows before each. A page is then a range of row numbers, which prunes the scan to the
+    row groups that hold it: no task sees more rows than the page has, wherever it is. The order must be total, or rows
+    that tie may stand in either order (always in the same). Null comes first.
+    """
+
+    def __init__(self, df: DataFrame, order_by: Sequence[str], path: str, ranges: int = 0):
+        self.spark, self.path, self.columns = df.sparkSession, path, df.columns
+        order = [names.col(c) for c in order_by]
+        dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+        # The upper bits of the id are the range's number, the lower ones count within it.
+        numbered = dealt.sortWithinPartitions(*order).withColumn(_PLACE, F.monotonically_increasing_id())
+        numbered.write.parquet(path)
+        stored = self.spark.read.parquet(path)
+        counts = stored.groupBy(F.shiftright(_PLACE, _BITS).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+        self._parts = [r["part"] for r in counts]
+        self._before = [0, *accumulate(r["n"] for r in counts)]
+
+    @property
+    def rows(self) -> int:
+        return self._before[-1]
+
+    def page(self, number: int, size: int = PAGE_SIZE) -> DataFrame:
+        """Page ``number`` (from 0), in order."""
+        begin, end = number * size, min((number + 1) * size, self.rows)
+        wanted = F.lit(False)
+        for part, before, after in zip(self._parts, self._before, self._before[1:]):
+            if before < end and begin < after:
+                first, last = max(begin, before) - before, min(end, after) - before - 1
+                wanted = wanted | F.col(_PLACE).between((part << _BITS) + first, (part << _BITS) + last)
+        found = self.spark.read.parquet(self.path).where(wanted)
+        return found.orderBy(_PLACE).select(*[names.col(c) for c in self.columns])
+
+
 def page_after(
     df: DataFrame, order_by: Sequence[str], last: Sequence | None = None, size: int = PAGE_SIZE
 ) -> DataFrame:
@@ -134,15 +177,17 @@ def _first_line(error: Exception) -> str:
 def fan_out(result: DataFrame, wanted: Iterable[Subscription], path: str, run: str) -> list[Delivery]:
     """Write each subscription's view of ``result`` below ``path``, one ``run=`` partition per run.
 
-    Subscriptions to the same fields share one scan: each row is written once per subscription that
+    Subscriptions to the same fields share one write: each row is written once per subscription that
     it matches, after a rebalance by subscription, so that a view has files of the size that adaptive
-    execution aims at and not one from every task. Field lists run side by side. ``result`` should be
+    execution aims at and not one from every task. Filters that compare columns with literals are looked up in an index, see
+    :mod:`tableflow.operators.subscription_index`, so that the plan does not grow with the number of
+    subscriptions; only other filters are expressions. Field lists run side by side. ``result`` should be
     a stored table (a snapshot), so that every scan reads its own columns. A repeated run replaces its
     own partitions. An empty view writes none and is not listed.
 
     A subscription that cannot be served is reported with its ``error``, the others are served: a filter
-    or field list is checked against the schema first, and if a shared write fails, each of its
-    members is written alone.
+    or field list is checked against the schema first, and if a shared write fails, its halves
+    are written on their own, down to the failing subscription.
     """
     if not re.fullmatch(r"[A-Za-z0-9_-]+", run):
         raise ValueError(f"run {run!r} must be letters, digits, - and _: it names a folder")
@@ -153,7 +198,8 @@ def fan_out(result: DataFrame, wanted: Iterable[Subscription], path: str, run: s
             reserved = {"subscription", "run"} & {c.lower() for c in subscription.fields or result.columns}
             if reserved:
                 raise ValueError(f"field names {sorted(reserved)} are taken by the folder layout")
-            result.where(_match(result, subscription)).schema  # noqa: B018 (the analysis is the check)
+            if subscription_index.conditions(result, subscription.filter) is None:
+                result.where(_match(result, subscription)).schema  # noqa: B018 (the analysis is the check)
         except (ValueError, AnalysisException, ParseException) as error:
             failed.append(Delivery(subscription, "", 0, _first_line(error)))
             continue
@@ -169,31 +215,57 @@ def _fan_out_group(result: DataFrame, members: list[Subscription], path: str, ru
     except PySparkException as error:
         if len(members) == 1:
             return [Delivery(members[0], "", 0, _first_line(error))]
-        return [d for member in members for d in _fan_out_group(result, [member], path, run)]
+        half = len(members) // 2
+        return [d for part in (members[:half], members[half:]) for d in _fan_out_group(result, part, path, run)]
+
+
+def _matched(result: DataFrame, members: list[Subscription]) -> DataFrame:
+    """``result`` once per member that a row matches, with the member's place in the list as ``__member``."""
+    taken, rest = subscription_index.split(result, [m.filter for m in members])
+    index = subscription_index.build(result, taken)
+    parts = [subscription_index.matched(result, index, "__member")] if index else []
+    if rest or not parts:
+        matches = {i: _match(result, members[i]) for i in rest}
+        places = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in matches.items()])) if rest else F.array().cast("array<int>")
+        some = result.where(reduce(or_, matches.values(), F.lit(False)))
+        parts.append(some.select("*", F.explode(places).alias("__member")))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _fan_out_shared(result: DataFrame, members: list[Subscription], path: str, run: str) -> list[Delivery]:
+    spark = result.sparkSession
     fields = members[0].fields or tuple(result.columns)
-    matches = [_match(result, m) for m in members]
-    labels = F.array_compact(F.array(*[F.when(c, F.lit(m.label)) for c, m in zip(matches, members)]))
-    matched = result.where(reduce(or_, matches)).select("*", F.explode(labels).alias("subscription"))
-    view = project(matched, {f: f for f in (*fields, "subscription")}).withColumn("run", F.lit(run))
+    found = _matched(result, members)
+    view = project(found, {f: f for f in (*fields, "__member")})
+    labels = [(i, m.label) for i, m in enumerate(members)]
+    told = spark.createDataFrame(labels, "__member int, subscription string")
+    view = view.join(told, "__member").withColumn("run", F.lit(run))
     counted = Observation()
-    totals = [F.count_if(F.col("subscription") == m.label).alias(f"n{i}") for i, m in enumerate(members)]
+    # A histogram with a bin for each member is exact: no two members ever share a bin. Its size is all that grows with them.
+    per_member = F.histogram_numeric(F.col("__member").cast("double"), F.lit(len(members) + 1)).alias("counts")
     base = f"{path.rstrip('/')}/pipeline={quote(members[0].pipeline, safe='')}"
-    view.hint("rebalance", F.col("subscription")).observe(counted, *totals).write.mode("overwrite").option(
+    view.observe(counted, per_member).drop("__member").hint("rebalance", F.col("subscription")).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("subscription", "run").parquet(base)
-    rows = [counted.get[f"n{i}"] for i in range(len(members))]
-    return [Delivery(m, f"{base}/subscription={m.label}/run={run}", n) for m, n in zip(members, rows) if n]
+    rows = Counter()
+    for bin in _observed(counted, "counts") or ():
+        rows[round(bin["x"])] += round(bin["y"])
+    return [Delivery(m, f"{base}/subscription={m.label}/run={run}", rows[i]) for i, m in enumerate(members) if rows[i]]
+
+
+def _observed(counted: Observation, name: str):
+    try:
+        return counted.get[name]
+    except Py4JError:
+        return None  # adaptive execution drops the counting step when it finds that the result is empty
 
 
 def fan_out_counts(result: DataFrame, wanted: Iterable[Subscription]) -> DataFrame:
-    """``consumer, n``: rows each subscription would get, in one scan; empty ones are left out."""
+    """``consumer, n``: rows each subscription would get; empty ones are left out."""
     wanted = list(dict.fromkeys(wanted))
-    totals = [F.count_if(_match(result, s)).alias(f"n{i}") for i, s in enumerate(wanted)]
-    rows = [F.struct(F.lit(s.consumer).alias("consumer"), F.col(f"n{i}").alias("n")) for i, s in enumerate(wanted)]
-    return result.agg(*totals).select(F.inline(F.array(*rows))).where("n > 0")
+    told = result.sparkSession.createDataFrame([(i, s.consumer) for i, s in enumerate(wanted)], "__member int, consumer string")
+    counts = _matched(result, wanted).groupBy("__member").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(told, "__member").select("consumer", "n")
 
 
 def read_deliveries(spark: SparkSession, deliveries: Iterable[Delivery]) -> DataFrame:
