@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tableflow import workspace
@@ -13,6 +14,7 @@ from tableflow.catalog.registry import Registry, table
 from tableflow.operators import delivery, runlog
 from tableflow.operators.aggregates import aggregate
 from tableflow.operators.upsert import upsert as upsert_rows
+from tableflow.plans.many_files import run_file_stream
 from tableflow.plans.run import Environment, read_source, run as run_plan, run_stream
 from tableflow.plans.steps import apply_steps
 from tableflow.sinks import jdbc as jdbc_sink
@@ -40,6 +42,21 @@ def sink_csv(spark, folder):
     return files.read_csv(spark, path, fields=declared)
 
 
+@query("select c_custkey, c_name, c_acctbal from customer where c_acctbal > 0")
+def sink_csv_replaced(spark, folder):
+    """A replacement that fails half-way leaves the old rows; one that reads what it replaces works."""
+    path = workspace.new_folder(spark, "sink-csv")
+    customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
+    declared = {"c_custkey": "LONG", "c_name": "STRING", "c_acctbal": "DOUBLE"}
+    write_csv(customer, path)
+    failing = F.when(F.col("c_custkey") < 0, 1).otherwise(F.raise_error(F.lit("a broken row"))).alias("c_custkey")
+    try:
+        write_csv(customer.where("c_custkey % 10 = 3").select(failing, "c_name", "c_acctbal"), path)
+    except PySparkException:
+        write_csv(files.read_csv(spark, path, fields=declared).where("c_acctbal > 0"), path)
+    return files.read_csv(spark, path, fields=declared)
+
+
 @query("select s_suppkey, s_name from supplier")
 def sink_jdbc(spark, folder):
     """Two appends into one table: by each task on its own, and as one statement."""
@@ -319,6 +336,19 @@ def stream_run_per_file(spark, folder):
     return found.select("event_type", F.col("n").cast("bigint").alias("n"), F.round("total", 2).alias("total"))
 
 
+@query("select event_type, count(*) as n, round(sum(value), 2) as total from events group by 1")
+def stream_run_many_files(spark, folder):
+    """The same in one micro-batch for all files: one plan, and still a result and a record for each file."""
+    spec, inbox = _stream_spec(spark, folder)
+    log = runlog.RunLog(spark, workspace.new_folder(spark, "runlog"))
+    run_file_stream(spark, spec, workspace.new_folder(spark, "checkpoint"), Environment(run_log=log)).awaitTermination()
+    found = spark.read.parquet(spec["output"]["storage"]["table"])
+    files = spark.read.option("header", True).csv(f"{inbox}/*").select(F.col("_metadata.file_path")).distinct().count()
+    if log.read().where("status = 'SUCCESS' and row_count = 1").count() != files or found.select("batch_id").distinct().count() != 1:
+        raise AssertionError("a record for each file, and one batch")
+    return found.select("event_type", F.col("n").cast("bigint").alias("n"), F.round("total", 2).alias("total"))
+
+
 def _stream_spec(spark, folder):
     inbox = workspace.new_folder(spark, "inbox")
     events = table(spark, folder, "events").select("event_id", "value", "event_type", F.col("event_type").alias("kind"))

@@ -69,7 +69,8 @@ class _Log:
         return self.spark.createDataFrame([], self.schema) if log is None else log
 
     def _add(self, *rows: tuple) -> None:
-        self.append(self.spark.createDataFrame(list(rows), self.schema).coalesce(1))
+        if rows:
+            self.append(self.spark.createDataFrame(list(rows), self.schema).coalesce(1))
 
 
 class RunLog(_Log):
@@ -84,9 +85,15 @@ class RunLog(_Log):
     def record_run(
         self, pipeline: str, status: str, rows: int, started: datetime, error: str | None = None, who: str = "system"
     ) -> None:
+        self.record_runs(pipeline, status, [rows], started, error, who)
+
+    def record_runs(
+        self, pipeline: str, status: str, rows: Sequence[int], started: datetime, error: str | None = None, who: str = "system"
+    ) -> None:
+        """A record for each of several runs that were made together, with their numbers of rows."""
         now = datetime.now()
         taken = int((now - started).total_seconds() * 1000)
-        self._add((uuid.uuid4().hex, pipeline, "EXECUTION", who, status, rows, taken, error, started, now))
+        self._add(*[(uuid.uuid4().hex, pipeline, "EXECUTION", who, status, n, taken, error, started, now) for n in rows])
 
 
 class Lineage(_Log):
@@ -94,10 +101,10 @@ class Lineage(_Log):
 
     schema = LINEAGE
 
-    def record(self, pipeline: str, output: str, consumers: Sequence[str], rows: int, status: str) -> None:
-        """One entry per consumer, or one with a null consumer."""
-        now = datetime.now()
-        self._add(*[(pipeline, output, c, rows, status, now) for c in (list(consumers) or [None])])
+    def record(self, pipeline: str, output: str, consumers: Sequence[str], rows: int | Sequence[int], status: str) -> None:
+        """One entry per consumer, or one with a null consumer; for several runs, each of them, by their numbers of rows."""
+        now, counts = datetime.now(), [rows] if isinstance(rows, int) else rows
+        self._add(*[(pipeline, output, c, n, status, now) for n in counts for c in (list(consumers) or [None])])
 
 
 def lineage_entries(runs: DataFrame, consumers: DataFrame, on: str = "pipeline") -> DataFrame:

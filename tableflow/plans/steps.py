@@ -81,6 +81,26 @@ def apply_step(df: DataFrame, step: Mapping | Callable[[DataFrame], DataFrame],
     return STEPS[kind](df, step, lookup)
 
 
+def apply_steps_apart(df: DataFrame, steps: Iterable | None, apart: Iterable[str], lookup: Lookup | None = None) -> DataFrame:
+    """All steps on several inputs at once, told apart by columns that stay: the rows of each input give what they give alone.
+
+    These columns join every projection and every aggregate's key. A step that is a function must keep them.
+    """
+    apart = list(apart)
+    for step in steps or ():
+        kept = step
+        if not callable(step):
+            if step.get("type") == "project" and step.get("mappings"):
+                kept = {**step, "mappings": [*step["mappings"], *({"from": c, "to": c} for c in apart)]}
+            elif step.get("type") == "aggregate" and step.get("aggregations") is not None:
+                if not step.get("groupBy") and not step["aggregations"]:
+                    raise ValueError("aggregate needs a key or an aggregation")
+                kept = {**step, "groupBy": [*(step.get("groupBy") or ()), *apart]}
+        df = apply_step(df, kept, lookup)
+        names.require(df, apart, f"step {getattr(step, '__name__', None) or step.get('type')}")
+    return df
+
+
 def apply_steps(df: DataFrame, steps: Iterable | None, lookup: Lookup | None = None) -> DataFrame:
     """All steps in declared order. ``lookup`` turns a join step's query into a DataFrame."""
     for step in steps or ():

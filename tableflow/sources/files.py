@@ -90,11 +90,12 @@ def stream_csv(
     file_column: str | None = None,
     encoding: str = "UTF-8",
     multiline: bool = False,
+    file_time_column: str | None = None,
 ) -> DataFrame:
     """A stream of the files arriving in a folder; files stay, the checkpoint takes each once.
 
     The declared fields must be in header order: a stream's schema is fixed before its first file.
-    ``file_column`` adds the path of each row's file.
+    ``file_column`` adds the path of each row's file, and ``file_time_column`` when that was last changed, as text that sorts by time.
     """
     if not fields:
         raise ValueError("a stream of files needs inputSchema.fields: its columns are fixed before the first file arrives")
@@ -105,9 +106,12 @@ def stream_csv(
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
     raw = reader.schema(_text_schema(fields)).csv(directory)
     wanted = field_types(fields)
-    if file_column:
-        raw = raw.select("*", F.col("_metadata.file_path").alias(file_column))
-        wanted[file_column] = "STRING"
+    changed = F.format_string("%020d", F.unix_micros("_metadata.file_modification_time"))
+    told = {file_column: F.col("_metadata.file_path"), file_time_column: changed}
+    told = {name: value for name, value in told.items() if name}
+    if told:
+        raw = raw.select("*", *[value.alias(name) for name, value in told.items()])
+        wanted |= dict.fromkeys(told, "STRING")
     return as_text(raw) if text else apply_schema(raw, wanted)
 
 
