@@ -570,6 +570,21 @@ def runlog_append(spark, folder):
     return kept.withColumn("end_time", F.col("end_time").cast("timestamp_ntz"))
 
 
+@query(
+    """select cast(event_id as varchar) as id, event_type as pipeline_name, user_id as row_count, ts as end_time from events"""
+)
+def runlog_compacted(spark, folder):
+    """A log written in parts and compacted twice, with entries before, between and after."""
+    log = runlog.RunLog(spark, workspace.new_folder(spark, "runlog"))
+    runs = _events_as_runs(spark, folder)
+    for i in range(4):
+        log.append(runs.where(F.pmod(F.col("duration_ms"), F.lit(4)) == i))
+        if i in (1, 2):
+            log.compact()
+    kept = log.read().select("id", "pipeline_name", "row_count", "end_time")
+    return kept.withColumn("end_time", F.col("end_time").cast("timestamp_ntz"))
+
+
 @query(
     """select event_id, event_type from events where event_type = 'error' order by ts, event_id
     limit 50 offset 100"""

@@ -8,6 +8,7 @@ from tableflow.catalog.registry import Registry, table
 from tableflow.functions import predicates
 from tableflow.operators import aggregates, contract, joins, rollups, shape, transforms
 from tableflow.plans.steps import apply_steps
+from tableflow.workspace import new_folder
 
 _registry = Registry()
 QUERIES, SQL = _registry.queries, _registry.sql
@@ -300,6 +301,19 @@ def join_salted(spark, folder):
     )
 
 
+@query(
+    """select case when l_orderkey % 3 = 0 then 1 else l_suppkey end as supplier, s_nationkey, count(*) as n, cast(sum(l_quantity) as bigint) as quantity
+    from lineitem left join supplier on s_suppkey = case when l_orderkey % 3 = 0 then 1 else l_suppkey end group by 1, 2"""
+)
+def join_hot_keys(spark, folder):
+    """A third of the rows is on one key, right before an aggregate on it: a sketch finds the key, and only its lookup row is repeated."""
+    key = F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(F.col("l_suppkey")).cast("bigint")
+    lineitem = table(spark, folder, "lineitem").select(key.alias("supplier"), "l_quantity")
+    supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    joined = joins.lookup_join(lineitem, supplier, {"supplier": "s_suppkey"}, "left", salt=8)
+    return joined.groupBy("supplier", "s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("bigint").alias("quantity"))
+
+
 # --- aggregates ----------------------------------------------------------------------------------
 
 
@@ -528,6 +542,30 @@ def rollup_week(spark, folder):
     return _rounded(rollups.weekly_stats(_daily(spark, folder)), 2, "weekly_volume")
 
 
+_WEEKS = """select cast(date_trunc('week', o_orderdate) as date) as week_start, round(sum(v), 2) as weekly_volume,
+    cast(sum(n) as bigint) as weekly_trade_count, count(*) as days_with_data from (select cast(o_orderdate
+    as date) as o_orderdate, sum(o_totalprice) as v, count(*) as n from orders group by 1) group by 1"""
+
+
+@query(_WEEKS)
+def rollup_week_incremental(spark, folder):
+    """Three increments, one with late rows of old days, then days that were wrong and are corrected; one is repeated."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    wrong = F.col("o_orderkey") % 20 == 0
+    day = F.col("o_orderdate").cast("date")
+    dates = orders.where("o_orderkey % 200 = 0").select(day.alias("d")).distinct()
+    faulty = orders.withColumn("o_totalprice", F.when(wrong, -1.0).otherwise(F.col("o_totalprice"))).join(dates, day == F.col("d"), "left_semi")
+    right = orders.join(dates, day == F.col("d"), "left_anti")
+    stored = rollups.StoredRollup(spark, new_folder(spark, "rollup"), "o_orderdate", "o_totalprice")
+    stored.add(right.where("o_orderdate < '1995-06-15' and o_orderkey % 10 > 0").unionByName(faulty), 1)
+    late = right.where("o_orderdate >= '1995-06-15' or o_orderkey % 10 = 0")
+    stored.add(late.where("o_orderkey % 10 < 5"), 2)
+    stored.add(late.where("o_orderkey % 10 < 5"), 2)
+    stored.add(late.where("o_orderkey % 10 >= 5"), 3)
+    stored.correct(orders, dates, 4)
+    return _rounded(stored.weekly(), 2, "weekly_volume")
+
+
 @query(
     """select cast(date_trunc('month', o_orderdate) as date) as month_start, round(sum(v), 2) as monthly_volume,
     cast(sum(n) as bigint) as monthly_trade_count, count(*) as days_with_data from (select cast(o_orderdate

@@ -6,12 +6,16 @@ No broadcast hint anywhere: Spark broadcasts a side only if its measured size is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tableflow.functions import names
 
+# Share of all rows from which a key is hot, where none is given.
+HOT_SHARE = 0.01
+
 
 def first_per_key(df: DataFrame, keys: Iterable[str], order_by: Iterable[str | Column]) -> DataFrame:
     """The first row of each key in the given order, which must be total for a repeatable choice.
@@ -39,6 +43,33 @@ def lookup_key(lookup: DataFrame, key: str) -> str:
     raise ValueError(f"lookup has no column {key!r}; have {lookup.columns}")
 
 
+def hot_keys(df: DataFrame, key: Column, share: float = HOT_SHARE) -> list:
+    """The values of ``key`` that hold more than ``share`` of the rows, by a frequent-items sketch: one pass, bounded memory.
+
+    At most ``1 / share`` values, whatever the data. The sketch errs by less than a tenth of the share, so a value just at it may be in or out.
+    """
+    most = math.ceil(1 / share)
+    counted = df.select(key.alias("k"))
+    top = F.expr(f"approx_top_k(k, {most}, {min(100_000, 20 * most)})")
+    found = counted.agg(top.alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return [item["item"] for item in found["top"] or () if item["count"] > share * found["n"]]
+
+
+def _one_hash(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> tuple[Column, Column]:
+    """A hash of the key columns on either side, equal wherever the keys are; a hash that two keys share only makes both hot."""
+    sides: tuple[list, list] = ([], [])
+    for mine, other in pairs:
+        types = [left.schema[mine].dataType, right.schema[other].dataType]
+        if types[0] != types[1]:
+            if not all(isinstance(t, T.NumericType) for t in types):
+                raise ValueError(f"salt: the keys {mine} must be of one type, not {types}")
+            common = left.limit(0).select(F.coalesce(names.col(mine), F.lit(None).cast(types[1])).alias("c")).schema["c"].dataType
+            types = [common]
+        sides[0].append(names.col(mine).cast(types[0]))
+        sides[1].append(F.col(other).cast(types[0]))
+    return F.xxhash64(*sides[0]), F.xxhash64(*sides[1])
+
+
 def lookup_join(
     left: DataFrame,
     lookup: DataFrame,
@@ -52,10 +83,10 @@ def lookup_join(
 
     ``how`` is ``inner`` or ``left``. ``one_match`` gives an order: then at most the first lookup
     row per key matches. A lookup key named like a left column is not repeated; any other name
-    clash is an error, names compared as the session does. With ``salt=n`` the rows of every key are
-    dealt in turn to n reducers, by repeating the lookup n times; worth it only if a hot key sits in a
-    plan that adaptive skew handling cannot split, for example right before an aggregate on the same
-    key. A retried task deals alike if it reads its rows in the same order, as scans of files do.
+    clash is an error, names compared as the session does. With ``salt=n`` the rows of hot keys (see
+    :func:`hot_keys`) are dealt in turn to n reducers, and only those keys' lookup rows are repeated n times; worth it only if a hot
+    key sits in a plan that adaptive skew handling cannot split, for example right before an aggregate on the same
+    key. It reads the keys of ``left`` once beforehand. A retried task deals alike if it reads its rows in the same order, as scans of files do.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
@@ -72,8 +103,12 @@ def lookup_join(
     condition = [names.col(l) == F.col(position[r]) for l, r in pairs]
     columns = left.columns
     if salt > 1:
-        left = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int"))
-        renamed = renamed.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        hashed, other = _one_hash(left, renamed, [(l, position[r]) for l, r in pairs])
+        hot = hot_keys(left, hashed)
+        turn = F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int")
+        left = left.withColumn("__salt", F.when(hashed.isin(hot), turn).otherwise(0))
+        copies = F.when(other.isin(hot), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))
+        renamed = renamed.withColumn("__rsalt", F.explode(copies))
         condition.append(F.col("__salt") == F.col("__rsalt"))
     joined = left.join(renamed, condition, how)
     out: dict[str, Column] = {c: names.col(c) for c in columns}

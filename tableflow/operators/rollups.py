@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tableflow import workspace
 from tableflow.functions import names
+from tableflow.sinks.tables import VersionedTable
 
 
 def daily_stats(df: DataFrame, date: str, amount: str) -> DataFrame:
@@ -42,6 +44,83 @@ def monthly_stats(daily: DataFrame) -> DataFrame:
     return _period(daily, "month", "month_start", "monthly")
 
 
+class StoredRollup:
+    """Daily, weekly and monthly statistics that follow their source: each increment is added, nothing is summed anew.
+
+    The stored days hold sums and counts, which add up, so late days and further rows of old days are increments like any other; a corrected
+    day is replaced. Only the weeks and months that have a touched day are made again, from their days. A step reads its own
+    rows, the days (one row each) and no earlier source rows.
+
+    Increments are numbered upwards (a stream's batch number). A number that is not above the last one is there already and is not added
+    again, so a failed step is simply run again; the increments of one table come one after the other.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, date: str, amount: str):
+        self.spark, self.date, self.amount = spark, date, amount
+        self._days, self._weeks, self._months = (VersionedTable(spark, f"{path.rstrip('/')}/{kind}") for kind in ("days", "weeks", "months"))
+
+    def add(self, rows: DataFrame, number: int) -> None:
+        """Add an increment's rows."""
+        self._step(rows, number, None)
+
+    def correct(self, rows: DataFrame, dates: DataFrame, number: int) -> None:
+        """Replace the days in ``dates`` (one date column) by those rows; a day that no row has is gone."""
+        self._step(rows, number, dates.toDF("trade_date").select(F.col("trade_date").cast("date")).distinct())
+
+    def _step(self, rows: DataFrame, number: int, replaced: DataFrame | None) -> None:
+        folder = workspace.new_folder(self.spark, "rollup")
+        try:
+            daily_stats(rows, self.date, self.amount).write.parquet(f"{folder}/days")
+            delta = touched = self.spark.read.parquet(f"{folder}/days")
+            if replaced is not None:
+                replaced.write.parquet(f"{folder}/dates")
+                replaced = self.spark.read.parquet(f"{folder}/dates")
+                delta = _among(delta, replaced)
+                touched = replaced
+            self._days.update(lambda days, commit: _merged(days, commit, delta, replaced, number), note=str(number))
+            for table, unit, start, statistics in ((self._weeks, "week", "week_start", weekly_stats), (self._months, "month", "month_start", monthly_stats)):
+                period = F.date_trunc(unit, F.col("trade_date")).cast("date").alias(start)
+                periods = touched.select(period).distinct()
+                fresh = statistics(_among(self._days.read().withColumn(start, period), periods).drop(start))
+                table.update(lambda old, _, fresh=fresh, periods=periods: fresh if old is None else _without(old, periods).unionByName(fresh))
+        finally:
+            workspace.remove(self.spark, folder)
+
+    def daily(self) -> DataFrame:
+        return self._days.read()
+
+    def weekly(self) -> DataFrame:
+        return self._weeks.read()
+
+    def monthly(self) -> DataFrame:
+        return self._months.read()
+
+
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    (key,) = right.columns
+    return left[key].eqNullSafe(right[key])
+
+
+def _among(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key is in the one column of ``keys``; null is a key."""
+    return df.join(keys, _same(df, keys), "left_semi")
+
+
+def _without(df: DataFrame, keys: DataFrame) -> DataFrame:
+    return df.join(keys, _same(df, keys), "left_anti")
+
+
+def _merged(days, commit, delta: DataFrame, replaced: DataFrame | None, number: int) -> DataFrame | None:
+    if days is None:
+        return delta
+    if number <= int(commit.note):
+        return None
+    if replaced is not None:
+        days = _without(days, replaced)
+    both = days.unionByName(delta).groupBy("trade_date")
+    return both.agg(F.sum("daily_volume").cast(days.schema["daily_volume"].dataType).alias("daily_volume"), F.sum("trade_count").alias("trade_count"))
+
+
 def sales_by_region_product(
     lineitem: DataFrame,
     orders: DataFrame,

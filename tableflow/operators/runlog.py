@@ -6,16 +6,18 @@ take any DataFrame with the named columns, so a log may as well be a large table
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tableflow import storage
+from tableflow import workspace
 from tableflow.functions import names
 from tableflow.operators.delivery import page, page_after
 from tableflow.operators.upsert import last_per_key
+from tableflow.records import Records
 from tableflow.storage import TIME_FORMAT
 
 # Entries per history page and in the recent-activity list.
@@ -61,12 +63,53 @@ class _Log:
         writer.options(ignoreNullFields=False, timestampFormat=TIME_FORMAT).json(self.path)
 
     def read(self) -> DataFrame:
-        log = storage.if_exists(
-            lambda: self.spark.read.schema(self.schema)
-            .options(mode="DROPMALFORMED", timestampFormat=TIME_FORMAT)
-            .json(self.path)
-        )
-        return self.spark.createDataFrame([], self.schema) if log is None else log
+        """All entries: of the compacted files, and of the single ones that came since."""
+        entries, compacted, _ = self._parts()
+        return entries if compacted is None else compacted.unionByName(entries)
+
+    def _parts(self) -> tuple[DataFrame, DataFrame | None, list[str]]:
+        """The single entries, the compacted ones, and the names of the single ones' files."""
+        latest = self._records.latest()
+        covered = set(latest[1]["covered"]) if latest else set()
+        system, folder = workspace.file_system(self.spark, self.path)
+        found = [s.getPath().getName() for s in system.listStatus(folder) if s.isFile()] if system.exists(folder) else []
+        fresh = [name for name in found if not name.startswith(("_", ".")) and name not in covered]
+        compacted = self.spark.read.schema(self.schema).parquet(f"{self.path}/{latest[1]['folder']}") if latest else None
+        if not fresh:
+            return self.spark.createDataFrame([], self.schema), compacted, []
+        reader = self.spark.read.schema(self.schema).options(mode="DROPMALFORMED", timestampFormat=TIME_FORMAT)
+        return reader.json([f"{self.path}/{name}" for name in fresh]), compacted, fresh
+
+    @property
+    def _records(self) -> Records:
+        return Records(self.spark, f"{self.path.rstrip('/')}/_compactions")
+
+    def compact(self, entries_per_file: int = 1_000_000) -> bool:
+        """Rewrite all entries as a few files, which readers open instead of one file per entry.
+
+        The single files and the files of the compaction before are deleted by the next one, so that readers that have begun can end; appends go on
+        meanwhile. ``False`` if
+        another writer compacts at the same time. Lines that cannot be parsed are left behind.
+        """
+        latest = self._records.latest()
+        entries, compacted, fresh = self._parts()
+        if not fresh:
+            return True
+        content = entries if compacted is None else compacted.unionByName(entries)
+        # Hidden from readers of the entries by its underscore.
+        folder = f"_compacted/{uuid.uuid4().hex}"
+        files = max(1, math.ceil(content.count() / entries_per_file))
+        content.coalesce(files).write.parquet(f"{self.path}/{folder}")
+        record = {"folder": folder, "covered": fresh, "previous": latest and latest[1]["folder"]}
+        if latest:
+            # Nobody reads these since the last compaction. Gone before the new record, which no longer names them.
+            for name in [*latest[1]["covered"], latest[1]["previous"]]:
+                if name:
+                    workspace.remove(self.spark, f"{self.path}/{name}")
+        if not self._records.add(latest[0] + 1 if latest else 1, record):
+            workspace.remove(self.spark, f"{self.path}/{folder}")
+            return False
+        return True
 
     def _add(self, *rows: tuple) -> None:
         if rows:

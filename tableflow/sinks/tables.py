@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from datetime import datetime
 from typing import NamedTuple
@@ -128,6 +128,21 @@ class VersionedTable:
             self._forget(folder)
         return done
 
+    def update(self, function: Callable[[DataFrame | None, Commit | None], DataFrame | None], note: str | None = None) -> Commit | None:
+        """Make ``function(content, commit)`` the content; both are ``None`` before the first commit.
+
+        If another writer commits in the meantime, the function is called again with what is current then. It changes nothing by returning ``None``.
+        """
+        for _ in range(ATTEMPTS):
+            current = self.latest()
+            made = function(current and self.read(current), current)
+            if made is None:
+                return current
+            done = self._commit(made, current, note)
+            if done:
+                return done
+        raise Conflict(f"{self.path}: other writers were faster {ATTEMPTS} times")
+
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete the data of all but the ``keep`` newest versions, and what failed writes have left.
 
