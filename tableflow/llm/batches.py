@@ -6,6 +6,7 @@ bytes (or one row, if that row alone is longer), whatever the number of rows in
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 20
+LONG_WORD = 64
 
 # Byte classes of the two word definitions in use: everything but ASCII white space, and letters,
 # digits and all non-ASCII characters.
@@ -31,20 +33,23 @@ TO_WORDS = bytes(LOWER[i] if ALPHANUMERIC[i] else 0x20 for i in range(256))
 
 _generator = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_VALUES = _generator.integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
+_OTHER_VALUES = _generator.integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_OTHER_BASE = np.uint64(0xD1342543DE82EF95)
+_OTHER_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
+_powers = {base: np.ones(1, np.uint64) for base in (_BASE, _INVERSE, _OTHER_BASE, _OTHER_INVERSE)}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """``BASE**i`` and ``BASE**-i`` modulo 2**64 for i in 0..n."""
-    if len(_powers["up"]) <= n:
-        size = n + 1 + n // 8
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            values = np.full(size, base, np.uint64)
+    bases = (_OTHER_BASE, _OTHER_INVERSE) if other else (_BASE, _INVERSE)
+    for base in bases:
+        if len(_powers[base]) <= n:
+            values = np.full(n + 1 + n // 8, base, np.uint64)
             values[0] = 1
-            _powers[key] = np.cumprod(values, dtype=np.uint64)
-    return _powers["up"][: n + 1], _powers["down"][: n + 1]
+            _powers[base] = np.cumprod(values, dtype=np.uint64)
+    return tuple(_powers[base][: n + 1] for base in bases)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -55,10 +60,13 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 class PrefixHashes:
-    """Polynomial hashes of every range of a sequence of 64-bit values, after one cumulative sum."""
+    """Polynomial hashes of every range of a sequence of 64-bit values, after one cumulative sum.
 
-    def __init__(self, values: np.ndarray):
-        self._up, down = powers(len(values))
+    ``other`` takes another base. Modulo 2**64 some long regular sequences (of 1,024 values) have one hash for any base.
+    """
+
+    def __init__(self, values: np.ndarray, other: bool = False):
+        self._up, down = powers(len(values), other)
         self._sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * down[: len(values)], dtype=np.uint64, out=self._sums[1:])
 
@@ -66,8 +74,8 @@ class PrefixHashes:
         return (self._sums[ends] - self._sums[starts]) * self._up[ends]
 
 
-def byte_hashes(buffer: np.ndarray) -> PrefixHashes:
-    return PrefixHashes(_BYTE_VALUES[buffer])
+def byte_hashes(buffer: np.ndarray, other: bool = False) -> PrefixHashes:
+    return PrefixHashes(_OTHER_VALUES[buffer] if other else _BYTE_VALUES[buffer], other)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +126,12 @@ class Words:
         return len(self.starts)
 
     def hashes(self, buffer: np.ndarray) -> np.ndarray:
-        return mix(byte_hashes(buffer)(self.starts, self.ends))
+        """A hash of each word. Polynomials modulo 2**64 collide on long regular strings, so long words have a digest instead."""
+        found = mix(byte_hashes(buffer)(self.starts, self.ends))
+        for i in np.flatnonzero(self.ends - self.starts > LONG_WORD).tolist():
+            digest = hashlib.blake2b(buffer[self.starts[i] : self.ends[i]], digest_size=8).digest()
+            found[i] = int.from_bytes(digest, "little")
+        return found
 
     def windows(self, size: int) -> np.ndarray:
         """The first words of all windows of ``size`` words that lie in one row."""

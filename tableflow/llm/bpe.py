@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from tableflow.llm.batches import binaries, byte_hashes, extend, utf8
+from tableflow.llm.repeats import alike
 
 REMEMBERED = 150_000  # distinct parts in each of the two generations that a worker remembers
+REMEMBERED_BYTES = 256  # of a part; longer ones are encoded whenever they come
 SLICE = 1 << 20
 BATCH = 2000  # parts that the tokenizer holds at once
 
@@ -84,8 +86,8 @@ class _Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.seen: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        self.seen: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, parts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -129,19 +131,21 @@ def _encode(coder: _Coder, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, "<u4"), np.zeros(len(column) + 1, np.int64)
     starts = _cuts(buffer, offsets)
     ends = np.append(starts[1:], len(buffer))
-    known, first, which = np.unique(byte_hashes(buffer)(starts, ends), return_index=True, return_inverse=True)
+    # Hashes find equal parts, and their bytes are compared.
+    which = alike(byte_hashes(buffer)(starts, ends), buffer, starts, ends)
+    first = np.zeros(int(which.max()) + 1, np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
     if len(coder.seen) > REMEMBERED:  # parts in use move on to the new generation, the others go
         coder.seen, coder.older = {}, coder.seen
-    keys = known.tolist()
-    missing = [i for i, key in enumerate(keys) if key not in coder.seen]
+    raw = buffer.tobytes()
+    keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+    missing = [key for key in keys if key not in coder.seen]
     if coder.older:
-        coder.seen.update((keys[i], coder.older[keys[i]]) for i in missing if keys[i] in coder.older)
-        missing = [i for i in missing if keys[i] not in coder.seen]
-    if missing:
-        raw = buffer.tobytes()
-        texts = [raw[starts[j] : ends[j]].decode("utf-8", "replace") for j in first[missing].tolist()]
-        coder.seen.update(zip([keys[i] for i in missing], coder.encode(texts)))
-    ids = [coder.seen[key] for key in keys]
+        coder.seen.update((key, coder.older[key]) for key in missing if key in coder.older)
+        missing = [key for key in missing if key not in coder.seen]
+    found = dict(zip(missing, coder.encode([key.decode("utf-8", "replace") for key in missing])))
+    coder.seen.update((key, ids) for key, ids in found.items() if len(key) <= REMEMBERED_BYTES)
+    ids = [coder.seen.get(key) or found.get(key, b"") for key in keys]
     sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     pool, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
     lengths = sizes[which]

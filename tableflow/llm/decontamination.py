@@ -31,11 +31,17 @@ _LOWER = np.frombuffer(LOWER, np.uint8)
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def _words(column: pa.Array) -> tuple[Words, np.ndarray]:
+def _words(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of a slice, their hashes, and the lower-case bytes."""
     buffer, offsets = utf8(column)
     buffer = _LOWER[buffer]
     words = Words(buffer, offsets, ALPHANUMERIC)
-    return words, words.hashes(buffer)
+    return words, words.hashes(buffer), buffer
+
+
+def _spelled(words: Words, buffer: np.ndarray) -> list[bytes]:
+    raw = buffer.tobytes()
+    return [raw[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())]
 
 
 def _shingles(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -51,21 +57,38 @@ class Block:
     """Windows of a block of items; ``grams``: by shingle size, sorted keys and the windows' places in them."""
 
     vocabulary: np.ndarray  # word hashes, sorted; word number i + 1 is entry i
+    spelling: list[bytes]  # the word of each entry
+    exact: dict[bytes, int] | None  # word numbers, if two words share a hash
     ids: np.ndarray  # words of all items
     starts: np.ndarray  # of windows, in ids
     lengths: np.ndarray
     items: np.ndarray  # item of each window
-    names: list[str]
+    names: list[str | None]
     grams: dict[int, np.ndarray]
     postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # first posting of each key, window, place in it
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers of the block; 0 for a word that no item has."""
+    def numbers(self, words: Words, hashes: np.ndarray, buffer: np.ndarray) -> np.ndarray:
+        """Word numbers of the block; 0 for a word whose hash no item's word has."""
         if not len(self.vocabulary):
             return np.zeros(len(hashes), np.int64)
+        if self.exact is not None:
+            return np.array([self.exact.get(w, 0) for w in _spelled(words, buffer)], np.int64)
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
+    def confirmed(self, ids: np.ndarray, words: Words, buffer: np.ndarray, window: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which of the windows' places hold the items' words, byte by byte, and not others of the same hash."""
+        length = self.lengths[window]
+        change = np.zeros(len(words) + 1, np.int64)
+        np.add.at(change, start, 1)
+        np.add.at(change, start + length, -1)
+        at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        wrong = np.zeros(len(words) + 1, np.int64)
+        for i, a, b, number in zip(at.tolist(), words.starts[at].tolist(), words.ends[at].tolist(), ids[at].tolist()):
+            wrong[i + 1] = buffer[a:b].tobytes() != self.spelling[number - 1]
+        wrong = np.cumsum(wrong)
+        return wrong[start + length] == wrong[start]
+
     def found(self, ids: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in a slice, and the number there of a shingle of this size."""
         keys = self.grams[size]
@@ -84,9 +107,15 @@ class Block:
 
 def make_block(rows: list, window: int, shingle: int) -> Block:
     """Index of (name, text) rows, without postings yet."""
-    words, hashes = _words(pa.array([r[1] for r in rows], pa.string()))
-    vocabulary = np.unique(hashes)
-    ids = np.searchsorted(vocabulary, hashes) + 1
+    words, hashes, buffer = _words(pa.array([r[1] for r in rows], pa.string()))
+    spelled = _spelled(words, buffer)
+    numbers: dict[bytes, int] = {}
+    hash_of: dict[bytes, int] = dict(zip(spelled, hashes.tolist()))
+    for word in sorted(hash_of, key=hash_of.__getitem__):
+        numbers[word] = len(numbers) + 1
+    vocabulary = np.array([hash_of[word] for word in numbers], np.uint64)
+    ids = np.array([numbers[word] for word in spelled], np.int64)
+    exact = numbers if len(np.unique(vocabulary)) < len(vocabulary) else None
     starts, lengths, items = [], [], []
     for item, (first, count) in enumerate(zip(words.first[:-1].tolist(), words.counts.tolist())):
         length = min(window, count)
@@ -94,7 +123,7 @@ def make_block(rows: list, window: int, shingle: int) -> Block:
             starts.append(start)
             lengths.append(length)
             items.append(item)
-    block = Block(vocabulary, ids, np.array(starts, np.int64), np.array(lengths, np.int64), np.array(items, np.int64), [r[0] for r in rows], {}, {})
+    block = Block(vocabulary, list(numbers), exact, ids, np.array(starts, np.int64), np.array(lengths, np.int64), np.array(items, np.int64), [r[0] for r in rows], {}, {})
     for size in range(1, shingle + 1):
         own = block.starts[np.minimum(block.lengths, shingle) == size]
         span = block.lengths[np.minimum(block.lengths, shingle) == size]
@@ -157,8 +186,8 @@ def _mark(df: DataFrame, text: str, shared, keep: list[str] | None, more: bool)
 
     def run(columns):
         block = shared.value
-        words, hashes = _words(columns[0])
-        ids = block.numbers(hashes)
+        words, hashes, buffer = _words(columns[0])
+        ids = block.numbers(words, hashes, buffer)
         hit = np.zeros(len(words) + 1, np.int64)
         items = [set(x or ()) for x in columns[2].to_pylist()] if more else [set() for _ in range(len(columns[0]))]
         if more:
@@ -167,11 +196,14 @@ def _mark(df: DataFrame, text: str, shared, keep: list[str] | None, more: bool)
                 np.add.at(hit, words.first[row] + pairs[0::2], 1)
                 np.add.at(hit, words.first[row] + pairs[1::2], -1)
         for window, start in _matches(block, ids, words):
+            sure = block.confirmed(ids, words, buffer, window, start)
+            window, start = window[sure], start[sure]
             np.add.at(hit, start, 1)
             np.add.at(hit, start + block.lengths[window], -1)
             pairs = np.unique(words.rows[start] * len(block.names) + block.items[window])
             for pair in pairs.tolist():
-                items[pair // len(block.names)].add(block.names[pair % len(block.names)])
+                if (name := block.names[pair % len(block.names)]) is not None:
+                    items[pair // len(block.names)].add(name)
         inside = np.cumsum(hit[:-1]) > 0
         total = np.append(0, np.cumsum(inside))
         n_hit = total[words.first[1:]] - total[words.first[:-1]]
@@ -202,8 +234,8 @@ def _frequencies(documents: DataFrame, text: str, shared, grams: dict[int, np.nd
         counts = {size: np.zeros(len(keys), np.int64) for size, keys in block.grams.items()}
         for batch in batches:
             for first, rows in slices(batch.column(0)):
-                words, hashes = _words(batch.column(0).slice(first, rows))
-                ids = block.numbers(hashes)
+                words, hashes, buffer = _words(batch.column(0).slice(first, rows))
+                ids = block.numbers(words, hashes, buffer)
                 for size, keys in block.grams.items():
                     at, number = block.found(ids, words.rows, size)
                     pairs = np.unique(words.rows[at] * max(1, len(keys)) + number)
@@ -228,12 +260,13 @@ def benchmark_hits(
     """``documents`` with ``n_words``, ``n_hit`` (words in an occurrence of a window), ``hit_items`` (names of the items
     with one, distinct and sorted as text) and ``hit_ranges`` (packed word ranges).
 
-    Words are lower-case runs of ASCII letters, digits and non-ASCII characters. Null or empty texts have no words. Items
-    without a name or without words take no part; rows of one name count as one item. The driver holds one block
-    of items and its shingle counts at a time.
+    Words are lower-case runs of ASCII letters, digits and non-ASCII characters. Null or empty texts have no words, and
+    items without words take no part; rows of one name count as one item, and an item without a name hits words but is not
+    listed. Words that match are compared byte by byte. The driver holds one block of items and its shingle counts at a time.
     """
     spark = documents.sparkSession
-    items = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("string").alias("name"), F.col(item_text).alias("text"))
+    # Each item once: repeated rows would all fall into one block.
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).cast("string").alias("name"), F.col(item_text).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     marked, more = documents, False

@@ -221,18 +221,23 @@ def _filter(nodes: DataFrame) -> np.ndarray:
         for batch in batches:
             at = (mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
             np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "bits"])
+        parts = [(i, part.tobytes()) for i, part in enumerate(bits.reshape(-1, width)) if part.any()]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())], names=["part", "bits"])
 
     def either(batches):
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
-            for data in batch.column(1):
-                bits |= np.frombuffer(data.as_py(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "bits"])
-
-    schema = "part int, bits binary"
-    found = nodes.coalesce(16).mapInArrow(run, schema).coalesce(1).mapInArrow(either, schema).collect()
-    return np.frombuffer(found[0]["bits"], np.uint8) if found else np.zeros(FILTER_BITS // 8, np.uint8)
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found[number] = found.get(number, np.uint8(0)) | np.frombuffer(data.as_py(), np.uint8)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["part", "bits"])
+
+    schema, width = "part int, bits binary", 1 << 16
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for number, data in nodes.mapInArrow(run, schema).repartition(16, "part").mapInArrow(either, schema).collect():
+        bits[number * width : (number + 1) * width] = np.frombuffer(data, np.uint8)
+    return bits
 
 
 def _texts(documents: DataFrame, text: str, nodes: DataFrame, size: int) -> DataFrame:

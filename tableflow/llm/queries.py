@@ -87,7 +87,7 @@ _PLAIN_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 @query(
     f"""
     with d as (select doc_id, {_ITEM_WORDS} w from documents),
-    b as (select item_id, {_ITEM_WORDS} w from benchmark where item_id is not null),
+    b as (select item_id, {_ITEM_WORDS} w from benchmark),
     bw as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') k from
            (select item_id, w, least(13, len(w)) n, unnest(range(1, len(w) - least(13, len(w)) + 2)) i from b where len(w) > 0)),
     dw as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') k from

@@ -7,7 +7,8 @@ the text that they span, is a unit. The steps:
 1. Count anchors in a table of fixed size (16 MB), over all documents.
 2. Deal (anchor, row) pairs by anchor and keep anchors that occur more than once.
 3. Bring each row's kept anchors to its text, and deal the units of these anchors by anchor to shards. A
-   shard compares the units of each anchor (this is the operator's own part).
+   shard compares the units of each anchor (this is the operator's own part). A task sends the bytes of equal units once, told
+   by a cryptographic digest (64 bits of BLAKE2, looked up within one anchor and length); their other places are a few numbers.
 4. Anchors with ``HOT`` occurrences, counted one by one where the table reaches ``HOT``, may be those of very common passages.
    Their windows travel one by one with their bytes, dealt by hash; a slice of a task sends equal windows once. So no
    shard holds all occurrences of a common passage. Windows are equal if their bytes are; a second table of counts keeps those
@@ -19,6 +20,7 @@ count as often as they occur.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -39,6 +41,7 @@ PRESSED_SLICE = SLICE_BYTES // 3
 _DONE = 1 << 40  # parts from here on hold results
 COMMON_BITS = 22  # at most so many anchors are common (32 MB); beyond that HOT grows with the corpus
 CHUNK = 1 << 14  # windows whose bytes are held at once
+SENT = 1 << 19  # digests of sent units that a task remembers
 
 
 @dataclass
@@ -90,7 +93,7 @@ def anchors_of(items: Items, length: int, gram: int) -> Anchors:
     return Anchors(items.grams[place[at]], items.rows[starts[at]], starts[at], starts[last], place[at])
 
 
-_PACKED = "part long, a binary, b binary, c binary, d binary, e binary, f binary, content binary"
+_PACKED = "part long, a binary, b binary, c binary, d binary, e binary, f binary, g binary, content binary"
 _NAMES = [f.split()[0] for f in _PACKED.split(", ")]
 
 
@@ -258,19 +261,49 @@ def _column(group: pa.Table, name: str, kind) -> np.ndarray:
 
 
 def _opened(group: pa.Table, kinds: list) -> tuple[list[np.ndarray], bytes]:
-    """Columns and contents as ``_pack`` had them; the last column has the contents' lengths."""
+    """Columns and contents as ``_pack`` had them; the last column has the contents' lengths, negative where none was sent."""
     codec = pa.Codec("zstd")
     sizes = [len(x) // 8 for x in group["a"].to_pylist()]
     columns = [_column(group, "a", kinds[0]), _column(group, "b", kinds[1])]
-    for name, kind in zip("cdef", map(np.dtype, kinds[2:])):
+    for name, kind in zip("cdefg", map(np.dtype, kinds[2:])):
         cells = zip(group[name].to_pylist(), sizes)
         data = b"".join(codec.decompress(x, n * kind.itemsize, asbytes=True) for x, n in cells)
         columns.append(np.frombuffer(data, kind).astype(np.int64))
     ends = np.cumsum(sizes)
-    totals = [int(columns[-1][e - s : e].sum()) for s, e in zip(sizes, ends)]
+    totals = [int(np.maximum(columns[-1][e - s : e], 0).sum()) for s, e in zip(sizes, ends)]
     return columns, b"".join(codec.decompress(x, n, asbytes=True) for x, n in zip(group["content"].to_pylist(), totals))
 
 
+def _digests(data: bytes, lengths: np.ndarray, token: np.ndarray, sent: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A digest of each unit's bytes, and which units' bytes this task has not sent yet; ``sent`` gets those."""
+    ends = np.cumsum(lengths).tolist()
+    digest, fresh, at = [], [], 0
+    for end, anchor in zip(ends, token.tolist()):
+        own = int.from_bytes(hashlib.blake2b(data[at:end], digest_size=8).digest(), "little", signed=True)
+        name = own ^ anchor
+        digest.append(own)
+        fresh.append(name not in sent)
+        sent.add(name)
+        at = end
+    return np.array(digest, np.int64), np.array(fresh, bool)
+
+
+def _whole_units(columns: list[np.ndarray], content: bytes) -> tuple[list[np.ndarray], bytes]:
+    """The units of a shard with all their bytes: those sent without get them from a unit of the same anchor and digest."""
+    token, row, owner, offset, lead, digest, told = columns
+    buffer, sizes = np.frombuffer(content, np.uint8), np.abs(told)
+    ends = np.cumsum(np.maximum(told, 0))
+    order = np.lexsort((told <= 0, digest, token))  # of equal units, one with bytes first
+    new = np.ones(len(order), bool)
+    new[1:] = (token[order][1:] != token[order][:-1]) | (digest[order][1:] != digest[order][:-1])
+    source = np.empty(len(order), np.int64)
+    source[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    if (told[source] != sizes).any():
+        raise ArithmeticError("two units of different lengths have one digest, or a unit's bytes are missing")
+    data, _ = gather(buffer, (ends - np.maximum(told, 0))[source], ends[source])
+    return [token, row, owner, offset, lead, sizes, digest], data.tobytes()
+
+
 def _repeated(rows: DataFrame, items, length: int, gram: int, shared, parts: int) -> DataFrame:
     """``row`` and the packed hashes of its anchors that occur more than once (or may do so, if hot)."""
 
@@ -313,7 +346,8 @@ def repeated_ranges(
 ) -> DataFrame:
     """``row`` and ``ranges``: packed (start, end) item ranges to remove, for the rows that have any.
 
-    ``shard(units, contents)`` gets one shard's units as columns sorted by anchor, and returns rows of (row, start, end).
+    ``shard(units, contents)`` gets one shard's units as columns sorted by anchor (anchor, row, key, offset, place of the anchor, bytes,
+    digest of the bytes), and returns rows of (row, start, end).
     ``decide(keys, least, copies)`` tells which of the windows of common anchors are to be removed: ``least`` is the
     least key of a row with the same window, ``copies`` how often it occurs.
     """
@@ -335,6 +369,7 @@ def repeated_ranges(
 
     def units(batches):
         _, common, again = shared.value
+        sent: set[int] = set()
         for batch in batches:
             for first, n in slices(batch.column(0), PRESSED_SLICE):
                 part = batch.slice(first, n)
@@ -360,7 +395,13 @@ def repeated_ranges(
                     data, lengths = own.content(begin[cold], end[cold] + length)
                     offset = begin[cold] - own.first[local[cold]]
                     lead = place[cold] - begin[cold]
-                    yield _pack(deal, [token[cold], row[cold], owner[cold], offset.astype(np.int32), lead.astype(np.int32), lengths.astype(np.int32)], (data, lengths))
+                    digest, fresh = _digests(data, lengths, token[cold], sent)
+                    if len(sent) > SENT:
+                        sent.clear()
+                    kept_bytes = gather(np.frombuffer(data, np.uint8), (np.cumsum(lengths) - lengths)[fresh], np.cumsum(lengths)[fresh])[0].tobytes()
+                    told = np.where(fresh, lengths, -lengths)
+                    columns = [token[cold], row[cold], owner[cold], offset.astype(np.int32), lead.astype(np.int32), digest, told.astype(np.int32)]
+                    yield _pack(deal, columns, (kept_bytes, np.where(fresh, lengths, 0)))
                 if often.any():
                     yield from _hot(own, row[often], owner[often], _only(found, often), again)
 
@@ -411,8 +452,8 @@ def repeated_ranges(
             chosen = decide(owner, least[which], total[which])
             row, start, end = row[chosen], offset[chosen], offset[chosen] + length
         else:
-            columns, content = _opened(group, [np.uint64, *[np.int64] * 2, *[np.int32] * 3])
-            row, start, end = shard(columns, content)
+            columns, content = _opened(group, [np.uint64, *[np.int64] * 2, *[np.int32] * 2, np.int64, np.int32])
+            row, start, end = shard(*_whole_units(columns, content))
         names, start, end = _ranges(row, start, end)
         names, begin = np.unique(names, return_index=True)
         data = np.stack([start, end], 1).astype(np.int64).tobytes() if len(start) else b""

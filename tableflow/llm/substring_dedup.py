@@ -141,7 +141,7 @@ def _stream(units: list[tuple[int, int, int, bytes]], length: int, out: list) ->
 
 def shard_of(length: int):
     def shard(columns: list[np.ndarray], content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        token, row, key, offset, _, sizes = columns
+        token, row, key, offset, _, sizes, _ = columns
         begin = np.cumsum(sizes) - sizes
         order = np.lexsort((offset, row, key, token))
         edges = np.append(np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1])), len(order)) if len(order) else np.zeros(1, int)

@@ -3,7 +3,7 @@
 Units (see ``repeats``) of one anchor are aligned at it. A shard sorts their suffixes from the anchor on by merging runs:
 a comparison finds the common extension of two suffixes by binary search over hashes of their prefixes, and the
 bytes after it decide. Neighbours' common extensions, verified byte by byte, give blocks of units that agree to the right as
-far as needed; within a block, equal hashes of the bytes to the left find the units that share a window.
+far as needed; within a block, two independent hashes of the bytes to the left (136 of them at most) find the units that share a window.
 """
 
 from __future__ import annotations
@@ -122,13 +122,13 @@ class Suffixes:
 
 def shard_of(length: int):
     def shard(columns: list[np.ndarray], content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        token, row, _, offset, lead, sizes = columns
+        token, row, _, offset, lead, sizes, digest = columns
         none = np.zeros(0, np.int64)
         if not len(token):
             return none, none, none
         buffer = np.frombuffer(content, np.uint8)
         begin = np.cumsum(sizes) - sizes
-        whole = mix(byte_hashes(buffer)(begin, begin + sizes)) ^ mix(lead.astype(np.uint64))
+        whole = mix(digest.astype(np.uint64)) ^ mix(lead.astype(np.uint64))
         # Units with equal bytes and anchor place: all their windows repeat. One of them goes on.
         order = np.lexsort((whole, token))
         token, row, offset, lead, sizes, begin, whole = (x[order] for x in (token, row, offset, lead, sizes, begin, whole))
@@ -148,7 +148,7 @@ def shard_of(length: int):
             groups = group[some]
             order = suffixes.sort(groups)
             lcp = suffixes.verified(order, groups)
-            hashes = suffixes.hashes
+            hashes, others = suffixes.hashes, byte_hashes(buffer, other=True)
             left, right = (middle - a)[order], (z - middle)[order]
             for back in range(int(left.max()) + 1):
                 ahead = length - back
@@ -157,7 +157,8 @@ def shard_of(length: int):
                     continue
                 block = np.cumsum(lcp < ahead)[fits]
                 members = order[fits]
-                key = hashes(middle[members] - back, middle[members]) ^ mix(block.astype(np.uint64))
+                before = middle[members] - back, middle[members]
+                key = mix(hashes(*before)) ^ mix(mix(others(*before)) ^ block.astype(np.uint64))
                 _, which, count = np.unique(key, return_inverse=True, return_counts=True)
                 shared = members[count[which] > 1]
                 out_unit.append(some[shared])
@@ -180,10 +181,23 @@ def _repeat(keys, least, copies):
 FIELDS = StructType([StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept", StringType()), StructField("kept_sha256", StringType())])
 
 
-def remove_repeats(documents: DataFrame, key: str, text: str, keep: list[str], length: int = LENGTH, gram: int = GRAM, with_text: bool = True, **options) -> DataFrame:
+def _to_characters(buffer: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone``, and the other bytes of every character of which one is gone."""
+    head = (buffer & 0xC0) != 0x80
+    head[offsets[:-1][np.diff(offsets) > 0]] = True
+    character = np.cumsum(head) - 1
+    return np.bincount(character, weights=gone)[character] > 0 if len(buffer) else gone
+
+
+def remove_repeats(
+    documents: DataFrame, key: str, text: str, keep: list[str], length: int = LENGTH, gram: int = GRAM, with_text: bool = True,
+    whole_characters: bool = False, **options,
+) -> DataFrame:
     """``keep`` of each row, with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes as text; what is left of a cut
     character becomes U+FFFD; null for a null text, and without ``with_text``) and ``kept_sha256`` (of the remaining bytes).
 
+    With ``whole_characters`` a character goes if one of its bytes does, so that what is kept is text.
+
     A byte goes if a ``length``-byte string that covers it also starts anywhere else, in the same row or another. Equal rows are
     each other's repeats. Null text: no bytes. The key is an integer; rows without key take part like others.
     """
@@ -194,6 +208,8 @@ def remove_repeats(documents: DataFrame, key: str, text: str, keep: list[str], l
         column = unpressed(columns[0])
         buffer, offsets = utf8(column)
         gone = unpack(columns[1].to_pylist(), offsets, len(buffer))
+        if whole_characters:
+            gone = _to_characters(buffer, offsets, gone)
         total = np.append(0, np.cumsum(gone))
         head = gone.copy()
         head[1:] &= ~gone[:-1]
@@ -220,10 +236,10 @@ def remove_repeats(documents: DataFrame, key: str, text: str, keep: list[str], l
 
 
 def without_repeats(documents: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFrame:
-    """``documents`` with repeats cut out of the texts, same columns; a null text stays null."""
+    """``documents`` with repeats cut out of the texts, by whole characters, same columns; a null text stays null."""
     names = documents.columns
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
     place = {name.lower(): f"c{i}" for i, name in enumerate(names)}
     id_, text_ = place[key.lower()], place[text.lower()]
-    cut = remove_repeats(plain, id_, text_, [c for c in plain.columns if c != text_], length)
+    cut = remove_repeats(plain, id_, text_, [c for c in plain.columns if c != text_], length, whole_characters=True)
     return cut.select(*[F.col("kept" if c == text_ else c) for c in plain.columns]).toDF(*names)

@@ -27,6 +27,10 @@ ODD = [
 ]
 
 
+#: Two different words that have one polynomial hash modulo 2**64, whatever its base.
+TWINS = ["".join("ab"[(i.bit_count() + first) & 1] for i in range(1024)) for first in (0, 1)]
+
+
 def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 

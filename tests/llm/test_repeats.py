@@ -1,13 +1,15 @@
 """Passages of earlier documents (words), and byte strings that occur twice, against plain Python."""
 
 import dataclasses
+import random
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from plain_python import ODD, blank_separated, same, sha
+from plain_python import ODD, PASSAGE, TWINS, blank_separated, same, sha
 from tableflow.llm import queries, repeats, substring_dedup, suffix_dedup
+from tableflow.llm.batches import NOT_BLANK, Words, byte_hashes
 
 
 def earlier(rows):
@@ -28,7 +30,8 @@ def earlier(rows):
     return out
 
 
-def anywhere(rows, length=200):
+def anywhere(rows, length=200, whole=False):
+    """With ``whole``, a character goes if one of its bytes does."""
     counts = {}
     texts = [(key, (text or "").encode()) for key, text in rows]
     for _, data in texts:
@@ -40,6 +43,9 @@ def anywhere(rows, length=200):
         for i in range(len(data) - length + 1):
             if counts[data[i : i + length]] > 1:
                 gone[i : i + length] = True
+        heads = [i for i, b in enumerate(data) if b & 0xC0 != 0x80] + [len(data)]
+        for a, b in zip(heads, heads[1:]) if whole else ():
+            gone[a:b] = gone[a:b].any()
         spans = int((gone[1:] & ~gone[:-1]).sum() + (gone[0] if len(data) else 0))
         kept = bytes(b for b, g in zip(data, gone) if not g)
         out.append((key, len(data), int(gone.sum()), spans, sha(kept)))
@@ -151,3 +157,61 @@ def test_suffix_sort_is_lexicographic(texts):
     for at in range(1, len(order)):
         a, b = data[order[at - 1]], data[order[at]]
         assert common[at] == next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+
+
+# --- strings that have one hash, long texts, equal units ------------------------------------------
+
+
+def test_the_twins_have_one_polynomial_hash_and_two_word_hashes():
+    buffer = np.frombuffer("".join(TWINS).encode(), np.uint8)
+    one, two = byte_hashes(buffer)(np.array([0, 1024]), np.array([1024, 2048]))
+    assert one == two
+    buffer = np.frombuffer(" ".join(TWINS).encode(), np.uint8)
+    first, second = Words(buffer, np.array([0, len(buffer)]), NOT_BLANK).hashes(buffer)
+    assert first != second
+
+
+def test_texts_that_have_one_hash(spark):
+    rows = [(1, TWINS[0]), (2, TWINS[1]), (3, "x " + TWINS[0]), (4, TWINS[1] + " " + " ".join(f"w{i}" for i in range(20)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix_dedup.remove_repeats(df, "doc_id", "text", ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    same(found, anywhere(rows))
+    found = substring_dedup.remove_earlier(df, "doc_id", "text", ["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    same(found, earlier(rows))
+
+
+def long_rows():
+    """Texts of more than a slice (1 MB), one of them twice, and a passage that all share."""
+    pick = random.Random(9)
+    words = [f"{pick.randrange(10**6):x}é" for _ in range(120_000)]
+    passage = " ".join(f"passage{i}" for i in range(60))
+    long = " ".join(words) + " " + passage
+    return [(1, long), (2, "start " + long[:700_000] + passage), (3, passage), (4, long), (5, None)]
+
+
+def test_long_texts(spark):
+    rows = long_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = suffix_dedup.remove_repeats(df, "doc_id", "text", ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    same(found, anywhere(rows))
+    found = substring_dedup.remove_earlier(df, "doc_id", "text", ["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    same(found, earlier(rows))
+
+
+def test_units_are_sent_once_and_found_again(spark, monkeypatch):
+    """The same results whether a task remembers what it has sent or forgets it at once."""
+    rows = [(i, f"own{i} " * (i % 3) + PASSAGE + f" end{i % 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for limit in (repeats.SENT, 0):
+        monkeypatch.setattr(repeats, "SENT", limit)
+        found = suffix_dedup.remove_repeats(df, "doc_id", "text", ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        same(found, anywhere(rows))
+
+
+def test_cuts_at_whole_characters(spark):
+    rows = [(1, "aé" + "ü" * 150), (2, "bè" + "ü" * 150 + "ê"), (3, "c" * 250), (4, "€" * 100), (5, "c" * 250), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for row in suffix_dedup.without_repeats(df, "doc_id", "text").collect():
+        text = dict(rows)[row.doc_id]
+        assert (row.text is None) == (text is None) and "�" not in (row.text or "")
+        assert (row.text or "") == "" or set(row.text) <= set(text)

@@ -12,7 +12,7 @@ import tiktoken
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from plain_python import ODD, PASSAGE, SENTENCE, alphanumeric, same, sha
+from plain_python import ODD, PASSAGE, SENTENCE, TWINS, alphanumeric, same, sha
 from tableflow.llm import bpe, decontamination, licenses, quality, queries
 
 ITEMS = [
@@ -26,7 +26,7 @@ def hits(rows, items):
     for name, text in items:
         words = alphanumeric(text)
         length = min(13, len(words))
-        for i in range(len(words) - length + 1 if words and name is not None else 0):
+        for i in range(len(words) - length + 1 if words else 0):
             windows.setdefault(tuple(words[i : i + length]), set()).add(name)
     out = []
     for key, text in rows:
@@ -36,7 +36,7 @@ def hits(rows, items):
                 names = windows.get(tuple(words[i : i + length]))
                 if names:
                     hit |= set(range(i, i + length))
-                    found |= names
+                    found |= names - {None}
         told = ",".join(sorted(map(str, found)))
         out.append((key, len(words), len(hit), len(found), sha(told.encode()), bool(hit) and 20 * len(hit) >= len(words)))
     return out
@@ -246,3 +246,70 @@ def test_rules_by_priority_and_containment():
     assert scan("Permission is hereby granted, free of charge, to any person obtaining a copy")[0] == {"mit"}
     assert scan("no notice at all, only software") == (set(), 0.0)
     assert len(licenses.rules()) > 250
+
+
+# --- words and parts that have one hash, long texts -----------------------------------------------
+
+
+@pytest.mark.parametrize("forced", [False, True])
+def test_benchmark_words_that_have_one_hash(spark, monkeypatch, forced):
+    """A document's word that only shares its hash with an item's is no hit; nor are two of the items' words mixed up."""
+    rows = [(1, TWINS[0]), (2, TWINS[1]), (3, f"one {TWINS[1]} two"), (4, SENTENCE), (5, " ".join(reversed(SENTENCE.split())))]
+    for items in ([(1, TWINS[0])], [(1, TWINS[0]), (2, f"{TWINS[1]} two"), (None, SENTENCE), (3, "two one")]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        benchmark = spark.createDataFrame(items, "item_id long, text string")
+        found = decontamination.benchmark_hits(docs, "text", benchmark, "item_id", "text")
+        same(told(found), hits(rows, items))
+    if forced:
+        # All words of one length share a hash: in one process, as tasks would not see the change.
+        monkeypatch.setattr(decontamination.Words, "hashes", lambda self, buffer: (self.ends - self.starts).astype(np.uint64))
+        block = decontamination.make_block([("a", "one two six"), ("b", "red")], 13, 3)
+        decontamination.add_postings(block, {n: np.zeros(len(k), np.int64) for n, k in block.grams.items()}, 3)
+        for items, texts in ((block, ["one two six", "six two one", "red", "one"]),):
+            words, hashes, buffer = decontamination._words(pa.array(texts))
+            ids, met = items.numbers(words, hashes, buffer), []
+            for window, start in decontamination._matches(items, ids, words):
+                sure = items.confirmed(ids, words, buffer, window, start)
+                met += [(int(words.rows[s]), items.names[items.items[w]]) for w, s in zip(window[sure], start[sure])]
+            assert sorted(met) == [(0, "a"), (2, "b")]
+        single = decontamination.make_block([("a", "one")], 13, 3)
+        decontamination.add_postings(single, {n: np.zeros(len(k), np.int64) for n, k in single.grams.items()}, 3)
+        words, hashes, buffer = decontamination._words(pa.array(["two one"]))
+        ids = single.numbers(words, hashes, buffer)
+        met = [int(s) for w, at in decontamination._matches(single, ids, words) for s in at[single.confirmed(ids, words, buffer, w, at)]]
+        assert ids.tolist() == [1, 1] and met == [1]
+
+
+def test_parts_that_have_one_hash(spark):
+    """In one slice, and one after the other in a worker that remembers parts."""
+    path, pattern = queries.VOCABULARY, public_tokenizers.PATTERN
+    plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    short = [t[:64] for t in TWINS]
+    for texts in (TWINS, short, [TWINS[1], TWINS[0], f"{TWINS[0]} {TWINS[1]}"]):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        found = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(df, "text", path, pattern, packed=True).collect()}
+        assert found == {i: plain.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_parts_whose_hashes_are_all_equal(monkeypatch):
+    coder = bpe._Coder(bpe.tokenizer_json(queries.VOCABULARY, public_tokenizers.PATTERN))
+    texts = ["one two six", "six two", "", "ten one"]
+    expected = [x.tolist() for x in bpe._encode(coder, pa.array(texts))]
+    monkeypatch.setattr(bpe, "byte_hashes", lambda buffer: lambda starts, ends: np.zeros(len(starts), np.uint64))
+    assert [x.tolist() for x in bpe._encode(coder, pa.array(texts))] == expected
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Benchmark hits, tokens, quality and license rules of texts of 1.2 MB, with a passage at the very end."""
+    long = "\n".join(f"line {i} of a long text about nothing" for i in range(32_000)) + "\n" + SENTENCE + " under the MIT License"
+    rows = [(1, long), (2, "short " + SENTENCE), (3, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    items = [(1, SENTENCE)]
+    found = decontamination.benchmark_hits(docs, "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
+    same(told(found), hits(rows, items))
+    decoded = bpe.encode(docs, "text", queries.VOCABULARY, public_tokenizers.PATTERN, packed=True, decoded=True).select("doc_id", "decoded").collect()
+    assert {r.doc_id: bytes(r.decoded).decode() for r in decoded} == dict(rows)
+    notices = {r.doc_id: r.base_labels for r in licenses.scan_licenses(docs, "text", keep=["doc_id"]).collect()}
+    assert notices == {1: "mit", 2: "", 3: "mit"}
+    model = quality.fit(docs, "doc_id", "text", spark.createDataFrame([(2, 1)], "doc_id long, quality int"), "quality")
+    assert {r.doc_id for r in quality.score(docs, "text", model, keep=["doc_id"]).where("score between 0 and 1").collect()} == {1, 2, 3}
