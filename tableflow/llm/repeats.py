@@ -291,7 +291,7 @@ def _digests(data: bytes, lengths: np.ndarray, token: np.ndarray, sent: set[int]
 def _whole_units(columns: list[np.ndarray], content: bytes) -> tuple[list[np.ndarray], bytes]:
     """The units of a shard with all their bytes: those sent without get them from a unit of the same anchor and digest."""
     token, row, owner, offset, lead, digest, told = columns
-    buffer, sizes = np.frombuffer(content, np.uint8), np.abs(told)
+    sizes = np.abs(told)
     ends = np.cumsum(np.maximum(told, 0))
     order = np.lexsort((told <= 0, digest, token))  # of equal units, one with bytes first
     new = np.ones(len(order), bool)
@@ -300,8 +300,8 @@ def _whole_units(columns: list[np.ndarray], content: bytes) -> tuple[list[np.nda
     source[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     if (told[source] != sizes).any():
         raise ArithmeticError("two units of different lengths have one digest, or a unit's bytes are missing")
-    data, _ = gather(buffer, (ends - np.maximum(told, 0))[source], ends[source])
-    return [token, row, owner, offset, lead, sizes, digest], data.tobytes()
+    begin, stop = (ends - np.maximum(told, 0))[source].tolist(), ends[source].tolist()
+    return [token, row, owner, offset, lead, sizes, digest], b"".join([content[a:b] for a, b in zip(begin, stop)])
 
 
 def _repeated(rows: DataFrame, items, length: int, gram: int, shared, parts: int) -> DataFrame:
@@ -398,7 +398,8 @@ def repeated_ranges(
                     digest, fresh = _digests(data, lengths, token[cold], sent)
                     if len(sent) > SENT:
                         sent.clear()
-                    kept_bytes = gather(np.frombuffer(data, np.uint8), (np.cumsum(lengths) - lengths)[fresh], np.cumsum(lengths)[fresh])[0].tobytes()
+                    edge = np.cumsum(lengths)
+                    kept_bytes = b"".join([data[a:b] for a, b in zip((edge - lengths)[fresh].tolist(), edge[fresh].tolist())])
                     told = np.where(fresh, lengths, -lengths)
                     columns = [token[cold], row[cold], owner[cold], offset.astype(np.int32), lead.astype(np.int32), digest, told.astype(np.int32)]
                     yield _pack(deal, columns, (kept_bytes, np.where(fresh, lengths, 0)))
