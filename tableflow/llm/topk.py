@@ -18,17 +18,23 @@ CANDIDATES = 4096  # rows of a candidate block, on average
 QUERIES = 512
 ROUNDS = (16, 8, 4, 2)  # depths as parts of a list
 FEW = 32
-LARGEST = 2**31
+LARGEST = 2.0**63
 
 
 def scaled(embedding: str, factor: int = 256) -> Column:
-    """``floor(factor * x)`` of each component, as long."""
-    return F.transform(F.col(embedding), lambda x: F.floor(F.lit(float(factor)) * x.cast("double")).cast("bigint"))
+    """``floor(factor * x)`` of each component, as long; one that is no long fails the job."""
 
+    def whole(x):
+        value = F.lit(float(factor)) * x.cast("double")
+        fits = (value < F.lit(LARGEST)) & (value >= F.lit(-LARGEST))
+        return F.when(fits, F.floor(value)).otherwise(F.raise_error(F.lit("a scaled component does not fit 64 bits")).cast("bigint"))
 
-def usable(embedding: str, factor: int = 256) -> Column:
-    """No null, NaN or infinite component, and none whose scaled value leaves 32 bits."""
-    good = F.forall(F.col(embedding), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * factor < LARGEST))
+    return F.transform(F.col(embedding), whole)
+
+
+def usable(embedding: str) -> Column:
+    """No null, NaN or infinite component."""
+    good = F.forall(F.col(embedding), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return F.col(embedding).isNotNull() & good
 
 
@@ -43,7 +49,7 @@ def _read(lists: np.ndarray, ranks: np.ndarray, candidates: np.ndarray, weights:
 def nearest(candidates: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, candidate, score) of each query's k best in the block; equal scores by smaller id."""
     n, width = candidates.shape
-    largest = max(int(np.abs(candidates).max(initial=0)), int(np.abs(queries).max(initial=0)))
+    largest = max(abs(int(end(x))) for x in (candidates, queries) if x.size for end in (np.min, np.max)) if candidates.size and queries.size else 0
     exact = width * largest * largest < 2**53  # then doubles are exact
     out: list[tuple[int, int, int]] = []
 
@@ -95,7 +101,7 @@ def _packed(rows: DataFrame, block: Column) -> DataFrame:
         ids = group["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         values = np.array(group["v"].to_pylist(), np.int64).reshape(len(ids), -1)[order]
-        return pa.table({"width": group["width"][:1], "block": group["block"][:1], "ids": pa.array([ids[order].tobytes()]), "data": pa.array([values.astype("<i4").tobytes()])})
+        return pa.table({"width": group["width"][:1], "block": group["block"][:1], "ids": pa.array([ids[order].tobytes()]), "data": pa.array([values.astype("<i8").tobytes()])})
 
     return rows.withColumn("block", block).groupBy("width", "block").applyInArrow(pack, "width int, block long, ids binary, data binary")
 
@@ -104,11 +110,11 @@ def search(vectors: DataFrame, key: str, embedding: str, queries: Column, k: int
     """``query_id``, ``rank``, ``vec_id``, ``score``: the k best rows for every row that ``queries`` picks.
 
     Scores are inner products of components scaled to integers; equal scores go by smaller key (an integer). A query meets all
-    rows of its width but those with its own key. Rows without key, or with null, NaN or infinite components, or with values beyond
-    32 bits take no part. Every pair of blocks is one task row; it returns k rows per query, of which the best are
+    rows of its width but those with its own key. Rows without key, or with null, NaN or infinite components take no part; a scaled component, or
+    a score among the best, that does not fit 64 bits fails the job. Every pair of blocks is one task row; it returns k rows per query, of which the best are
     taken with a limit before the shuffle.
     """
-    rows = vectors.where(F.col(key).isNotNull() & usable(embedding, factor)).select(
+    rows = vectors.where(F.col(key).isNotNull() & usable(embedding)).select(
         F.col(key).cast("bigint").alias("id"), scaled(embedding, factor).alias("v"), F.size(embedding).alias("width"), queries.alias("q")
     )
     count = rows.count()
@@ -123,8 +129,8 @@ def search(vectors: DataFrame, key: str, embedding: str, queries: Column, k: int
         for batch in batches:
             for tile in batch.to_pylist():
                 ids, own = np.frombuffer(tile["ids"], np.int64), np.frombuffer(tile["own"], np.int64)
-                values = np.frombuffer(tile["data"], "<i4").astype(np.int64).reshape(len(ids), tile["width"])
-                q = np.frombuffer(tile["q"], "<i4").astype(np.int64).reshape(len(own), tile["width"])
+                values = np.frombuffer(tile["data"], "<i8").reshape(len(ids), tile["width"])
+                q = np.frombuffer(tile["q"], "<i8").reshape(len(own), tile["width"])
                 found = nearest(values, ids, q, own, k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(own[f[0]]) for f in found], pa.int64()), pa.array([int(ids[f[1]]) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())],
