@@ -48,7 +48,7 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_hash_tree(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    return sharding.shard_documents(documents, "doc_id", "text", sharding.tree(40), sharding.tree(41))
+    return sharding.shard_documents(documents, "doc_id", "text", sharding.tree(40), sharding.grown(sharding.tree(40)))
 
 
 @query()
