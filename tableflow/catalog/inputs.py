@@ -122,6 +122,20 @@ def src_jdbc_query(spark, folder):
     return jdbc.read_query(spark, target, "select c_custkey, c_name from customer where c_acctbal > 0")
 
 
+@query(
+    """select c_mktsegment, count(*) as n, max(c_acctbal) as top, min(c_custkey) as first from customer where c_acctbal > 0 group by 1"""
+)
+def src_jdbc_pushed(spark, folder):
+    """Filter, grouping and aggregates run in the database: its rows are the groups."""
+    target = derby.connection(spark)
+    customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    # Derby neither groups nor compares long texts; the type is one that it does.
+    options = jdbc.jdbc_options(target) | {"createTableColumnTypes": "C_MKTSEGMENT VARCHAR(20)", "dbtable": "customer"}
+    customer.toDF(*[c.upper() for c in customer.columns]).write.format("jdbc").options(**options).save()
+    stored = jdbc.read_table(spark, target, "APP.CUSTOMER").where("c_acctbal > 0")
+    return stored.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("top"), F.min("c_custkey").alias("first"))
+
+
 @query("select o_orderkey, o_custkey, o_totalprice from orders")
 def src_jdbc_partitioned(spark, folder):
     target = derby.connection(spark)

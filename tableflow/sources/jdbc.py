@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Mapping
 
@@ -12,6 +13,8 @@ from tableflow.operators.shape import lower_names
 
 # Fixed value: rows per page of a cursor read where none is given.
 PAGE_SIZE = 5000
+# Databases whose dialect in Spark writes limits.
+LIMITS_IN = ("postgresql", "mysql", "h2", "oracle")
 
 
 def jdbc_options(connection: Mapping[str, str]) -> dict[str, str]:
@@ -26,6 +29,34 @@ def read_query(spark: SparkSession, connection: Mapping[str, str], query: str, f
     return lower_names(reader.option("fetchsize", fetch_size).option("query", query).load())
 
 
+def register_catalog(spark: SparkSession, connection: Mapping[str, str]) -> str:
+    """The name of a Spark catalog of the connection's database, the same whenever it is asked for.
+
+    Through it Spark pushes not only filters and columns into the database, but also aggregates with their grouping, and
+    sorts with a limit, limits and offsets for the databases of ``LIMITS_IN``. For others, such as Derby, these stay in Spark: it
+    would take a limit for done that the dialect leaves out of the statement.
+    """
+    options = jdbc_options(connection)
+    name = f"jdbc_{hashlib.sha256(repr(sorted(options.items())).encode()).hexdigest()[:16]}"
+    base = f"spark.sql.catalog.{name}"
+    limits = str(connection["url"]).startswith(tuple(f"jdbc:{kind}:" for kind in LIMITS_IN))
+    pushed = {"pushDownAggregate": "true", **dict.fromkeys(("pushDownLimit", "pushDownOffset"), str(limits).lower())}
+    for key, value in (options | pushed).items():
+        spark.conf.set(f"{base}.{key}", value)
+    spark.conf.set(base, "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
+    return name
+
+
+def read_table(spark: SparkSession, connection: Mapping[str, str], table: str) -> DataFrame:
+    """A table or view of the database (``name``, or ``schema.name``, spelled as the database stores it), column names in lower case.
+
+    What is done with it next runs in the database as far as its dialect goes: ``groupBy().agg()`` of a large table then brings
+    one row per group. See :func:`register_catalog`. Use :func:`read_query` for a query's result, which is only filtered there.
+    """
+    path = ".".join("`" + part.replace("`", "``") + "`" for part in [register_catalog(spark, connection), *table.split(".")])
+    return lower_names(spark.table(path))
+
+
 def page_count(rows: int, page_size: int, max_partitions: int) -> int:
     return max(1, min(max_partitions, math.ceil(rows / page_size)))
 
