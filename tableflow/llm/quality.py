@@ -2,8 +2,13 @@
 
 Each line is good or bad. Its evidence are counts over its own bytes and words and over its neighbours'; the
 chain's transition weights make neighbouring labels agree. Forward-backward gives each line's probability of being
-good, and the document's score is their mean, weighted by the lines' bytes. The weights are fitted here, by gradient
-steps on the conditional likelihood of a bounded sample of labelled documents, every line with its document's label.
+good, and the document's score is their mean, weighted by the lines' bytes, brought to the scale of the labels. The weights are fitted here, by gradient
+steps on the conditional likelihood of a bounded sample of labelled documents.
+
+Labels are known for documents only. Fitting begins with every line labelled like its document; then lines are labelled anew, by
+the chain's own marginals together with how many lines of a good and of a bad document are expected to be good (``GOOD_LINES``), and the
+weights are fitted to these (expectation and maximisation, ``ROUNDS`` times). So a bad document may have good lines, and the
+transition weights learn how often the label changes.
 """
 
 from __future__ import annotations
@@ -19,7 +24,9 @@ from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField,
 from tableflow.llm.batches import NOT_BLANK, Words, binaries, extend, utf8
 
 SAMPLE = 3000  # labelled documents to fit on
-STEPS = 200
+STEPS = 60
+ROUNDS, ROUND_STEPS = 6, 40
+GOOD_LINES = {1: 0.97, 0: 0.7}
 RIDGE = 1e-3
 
 _UPPER, _LOWER, _DIGIT, _BANG, _BAR, _SYMBOL, _MARK, _BLANK, _HIGH, _REST = range(10)
@@ -119,12 +126,43 @@ class Model:
     weights: np.ndarray
     steps: np.ndarray
     empty: float  # score of a text without lines: the share of good documents in the sample
+    slope: float = 1.0  # of the document's log-odds over those of the mean
+    shift: float = 0.0
+
+    def marginals(self, lines: Lines) -> np.ndarray:
+        """Each line's probability of being good."""
+        return forward_backward((lines.features - self.mean) / self.scale @ self.weights, lines.first, self.steps)[0]
 
     def score(self, lines: Lines) -> np.ndarray:
-        good, _ = forward_backward((lines.features - self.mean) / self.scale @ self.weights, lines.first, self.steps)
+        good = self.marginals(lines)
         totals = np.concatenate([[[0, 0]], np.cumsum(np.column_stack([good * lines.sizes, lines.sizes]), 0)])
         part = totals[lines.first[1:]] - totals[lines.first[:-1]]
-        return np.clip(np.where(np.diff(lines.first) > 0, part[:, 0] / np.maximum(part[:, 1], 1), self.empty), 0, 1)
+        mean = part[:, 0] / np.maximum(part[:, 1], 1)
+        return np.where(np.diff(lines.first) > 0, 1 / (1 + np.exp(-(self.slope * _log_odds(mean) + self.shift))), self.empty)
+
+
+def _log_odds(share: np.ndarray) -> np.ndarray:
+    share = np.clip(share, 1e-6, 1 - 1e-6)
+    return np.log(share / (1 - share))
+
+
+def _scale(odds: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope (not negative) and shift of a logistic regression with one input, by Newton's steps, halved until they improve it."""
+    x, start = np.column_stack([odds, np.ones(len(odds))]), np.array([1.0, 0.0])
+
+    def loss(at):
+        signed = np.where(labels == 1, -1, 1) * (x @ at)
+        return np.logaddexp(0, signed).mean() + RIDGE / 2 * ((at - start) ** 2).sum()
+
+    found = start
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ found, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(x) + RIDGE * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (labels - p) / len(x) - RIDGE * (found - start))
+        while np.abs(step).max() > 1e-9 and loss(found + step) > loss(found):
+            step = step / 2
+        found = found + step
+    return (float(found[0]), float(found[1])) if found[0] > 0 else (1.0, 0.0)
 
 
 def train(documents: list[Lines], labels: list[int]) -> Model:
@@ -146,13 +184,27 @@ def train(documents: list[Lines], labels: list[int]) -> Model:
     for label, n in zip(labels, counts):
         observed[label, label] += max(0, n - 1)
     n = len(documents)
-    params, m, v = np.zeros(FEATURES + 4), 0.0, 0.0
-    for step in range(1, STEPS + 1):
-        good, pairs = forward_backward(x @ params[:FEATURES], first, params[FEATURES:].reshape(2, 2))
-        gradient = np.concatenate([x.T @ (y - good), (observed - pairs).ravel()]) / n - RIDGE * params
-        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        params = params + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model(mean, scale, params[:FEATURES], params[FEATURES:].reshape(2, 2), share)
+    params = np.zeros(FEATURES + 4)
+
+    def improved(params, y, observed, steps):
+        m, v = 0.0, 0.0
+        for step in range(1, steps + 1):
+            good, pairs = forward_backward(x @ params[:FEATURES], first, params[FEATURES:].reshape(2, 2))
+            gradient = np.concatenate([x.T @ (y - good), (observed - pairs).ravel()]) / n - RIDGE * params
+            m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
+            params = params + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        return params
+
+    params = improved(params, y, observed, STEPS)
+    prior = _log_odds(np.where(y == 1, GOOD_LINES[1], GOOD_LINES[0]))
+    for _ in range(ROUNDS):
+        guessed, changes = forward_backward(x @ params[:FEATURES] + prior, first, params[FEATURES:].reshape(2, 2))
+        params = improved(params, guessed, changes, ROUND_STEPS)
+    model = Model(mean, scale, params[:FEATURES], params[FEATURES:].reshape(2, 2), share)
+    whole = Lines(np.concatenate([d.features for d in documents]), np.concatenate([d.sizes for d in documents]), first)
+    some = np.diff(first) > 0
+    model.slope, model.shift = _scale(_log_odds(model.score(whole)[some]), np.array(labels, float)[some])
+    return model
 
 
 def remainder(key: str) -> Column:

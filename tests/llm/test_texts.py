@@ -313,3 +313,28 @@ def test_texts_longer_than_a_slice(spark):
     assert notices == {1: "mit", 2: "", 3: "mit"}
     model = quality.fit(docs, "doc_id", "text", spark.createDataFrame([(2, 1)], "doc_id long, quality int"), "quality")
     assert {r.doc_id for r in quality.score(docs, "text", model, keep=["doc_id"]).where("score between 0 and 1").collect()} == {1, 2, 3}
+
+
+def test_lines_of_mixed_documents():
+    """Bad documents of which more than half the lines are good: each line gets its own label, and documents keep theirs."""
+    import random
+
+    pick = random.Random(4)
+    prose = lambda: " ".join(pick.choice(SENTENCE.split()) for _ in range(pick.randint(6, 14))).capitalize() + "."
+    junk = lambda: " ".join("".join(pick.choice("#$|%&*!@=ABC019") for _ in range(pick.randint(2, 9))) for _ in range(pick.randint(4, 12)))
+
+    def document(good):
+        kinds = [True] * pick.randint(6, 14) if good else sorted((pick.random() < 0.6 for _ in range(pick.randint(8, 16))), reverse=pick.random() < 0.5)
+        if not good and all(kinds):
+            kinds[-1] = False
+        return "\n".join(prose() if kind else junk() for kind in kinds), kinds, int(good)
+
+    rows = [document(i % 3 > 0) for i in range(400)]
+    fit, rest = rows[:300], rows[300:]
+    model = quality.train([quality.lines_of(pa.array([text])) for text, _, _ in fit], [label for _, _, label in fit])
+    lines = quality.lines_of(pa.array([text for text, _, _ in rest]))
+    kinds = np.array([kind for _, own, _ in rest for kind in own])
+    assert ((model.marginals(lines) >= 0.5) == kinds).mean() > 0.97
+    labels = np.array([label for _, _, label in rest])
+    assert ((model.score(lines) >= 0.5) == labels).mean() > 0.95
+    assert model.steps[0, 1] > -6 and model.steps[1, 0] > -6  # a change of label is rare, not impossible
