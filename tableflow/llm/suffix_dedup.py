@@ -143,12 +143,16 @@ def shard_of(length: int):
         starts, ends = [lead[at][copies > 1] * 0], [sizes[at][copies > 1]]
         some = np.flatnonzero(~alone)
         if len(some):
-            a, z, middle = begin[at][some], (begin + sizes)[at][some], (begin + lead)[at][some]
-            suffixes = Suffixes(buffer, middle, z)
+            # Only their bytes are hashed: hashes take many times the memory of the bytes, and copies are most of a shard.
+            own, lengths = gather(buffer, begin[at][some], (begin + sizes)[at][some])
+            z = np.cumsum(lengths)
+            a = z - lengths
+            middle = a + lead[at][some]
+            suffixes = Suffixes(own, middle, z)
             groups = group[some]
             order = suffixes.sort(groups)
             lcp = suffixes.verified(order, groups)
-            hashes, others = suffixes.hashes, byte_hashes(buffer, other=True)
+            hashes, others = suffixes.hashes, byte_hashes(own, other=True)
             left, right = (middle - a)[order], (z - middle)[order]
             for back in range(int(left.max()) + 1):
                 ahead = length - back
