@@ -39,17 +39,24 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _OTHER_BASE = np.uint64(0xD1342543DE82EF95)
 _OTHER_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 _powers = {base: np.ones(1, np.uint64) for base in (_BASE, _INVERSE, _OTHER_BASE, _OTHER_INVERSE)}
+_KEPT_POWERS = 1 << 21  # of a base; the powers for longer sequences are computed whenever they are needed
 
 
 def powers(n: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """``BASE**i`` and ``BASE**-i`` modulo 2**64 for i in 0..n."""
     bases = (_OTHER_BASE, _OTHER_INVERSE) if other else (_BASE, _INVERSE)
+    found = []
     for base in bases:
         if len(_powers[base]) <= n:
-            values = np.full(n + 1 + n // 8, base, np.uint64)
+            values = np.full(max(n + 1, min(n + n // 8, _KEPT_POWERS)), base, np.uint64)
             values[0] = 1
-            _powers[base] = np.cumprod(values, dtype=np.uint64)
-    return tuple(_powers[base][: n + 1] for base in bases)
+            np.cumprod(values, dtype=np.uint64, out=values)
+            if n >= _KEPT_POWERS:
+                found.append(values)
+                continue
+            _powers[base] = values
+        found.append(_powers[base][: n + 1])
+    return tuple(found)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
