@@ -23,8 +23,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from tableflow.llm.batches import binaries, byte_hashes, extend, utf8
 from tableflow.llm.repeats import alike
 
-REMEMBERED = 150_000  # distinct parts in each of the two generations that a worker remembers
+REMEMBERED = 16 << 20  # bytes of each of the two generations of distinct parts that a worker remembers
 REMEMBERED_BYTES = 256  # of a part; longer ones are encoded whenever they come
+ENTRY_BYTES = 200  # that a remembered part takes beside its own bytes and ids
 SLICE = 1 << 20
 BATCH = 2000  # parts that the tokenizer holds at once
 
@@ -88,6 +89,17 @@ class _Coder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.seen: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of the parts seen
+
+    def remember(self, parts) -> None:
+        """Parts and their ids; those of a full generation stay for one more."""
+        for key, ids in parts:
+            if len(key) > REMEMBERED_BYTES:
+                continue
+            if self.held > REMEMBERED:
+                self.seen, self.older, self.held = {}, self.seen, 0
+            self.seen[key] = ids
+            self.held += len(key) + len(ids) + ENTRY_BYTES
 
     def encode(self, parts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -135,17 +147,17 @@ def _encode(coder: _Coder, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     which = alike(byte_hashes(buffer)(starts, ends), buffer, starts, ends)
     first = np.zeros(int(which.max()) + 1, np.int64)
     first[which[::-1]] = np.arange(len(which))[::-1]
-    if len(coder.seen) > REMEMBERED:  # parts in use move on to the new generation, the others go
-        coder.seen, coder.older = {}, coder.seen
     raw = buffer.tobytes()
     keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-    missing = [key for key in keys if key not in coder.seen]
-    if coder.older:
-        coder.seen.update((key, coder.older[key]) for key in missing if key in coder.older)
-        missing = [key for key in missing if key not in coder.seen]
-    found = dict(zip(missing, coder.encode([key.decode("utf-8", "replace") for key in missing])))
-    coder.seen.update((key, ids) for key, ids in found.items() if len(key) <= REMEMBERED_BYTES)
-    ids = [coder.seen.get(key) or found.get(key, b"") for key in keys]
+    seen, older = coder.seen, coder.older
+    known = [seen.get(key) for key in keys]
+    again = [(key, older[key]) for key, ids in zip(keys, known) if ids is None and key in older]
+    found = dict(again)
+    missing = [key for key, ids in zip(keys, known) if ids is None and key not in found]
+    fresh = list(zip(missing, coder.encode([key.decode("utf-8", "replace") for key in missing])))
+    found.update(fresh)
+    coder.remember(again + fresh)  # parts in use move on to the newer generation
+    ids = [found[key] if ids is None else ids for key, ids in zip(keys, known)]
     sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     pool, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
     lengths = sizes[which]
