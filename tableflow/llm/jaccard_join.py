@@ -30,6 +30,7 @@ TABLE_BITS = 23
 MOST = 2**16 - 1  # counts end here
 BITS = 2048
 FIRST_BITS = 512  # of these, the bits that the first round compares
+BITMAP_ROWS = 64
 SHORT = 64  # a list of so many nodes, or fewer, gives all its pairs at once
 FILTER_BITS = 1 << 24
 HOT = 1 << 15  # a shingle with this count may have a long list: it is dealt by shingle and node
@@ -73,8 +74,13 @@ class Sets:
     def bitmaps(self) -> np.ndarray:
         """BITS bits for each row, as 64-bit integers: element e flips bit e mod BITS."""
         spot = self.rows * BITS + (self.values % np.uint64(BITS)).astype(np.int64)
-        odd = np.bincount(spot, minlength=len(self.sizes) * BITS) & 1
-        return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.int64).reshape(len(self.sizes), BITS // 64)
+        out = np.zeros((len(self.sizes), BITS // 64), np.int64)
+        for row in range(0, len(out), BITMAP_ROWS):  # so many rows at a time: a count takes eight bytes
+            part = out[row : row + BITMAP_ROWS]
+            own = spot[self.first[row] : self.first[row + len(part)]] - row * BITS
+            odd = (np.bincount(own, minlength=len(part) * BITS) & 1).astype(np.uint8)
+            part[:] = np.packbits(odd, bitorder="little").view(np.int64).reshape(part.shape)
+        return out
 
 
 def least_own_overlap(sizes: np.ndarray, percent: int) -> np.ndarray:
