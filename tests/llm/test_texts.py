@@ -13,7 +13,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from plain_python import ODD, PASSAGE, SENTENCE, TWINS, alphanumeric, same, sha
-from tableflow.llm import bpe, decontamination, licenses, quality, queries
+from tableflow.llm import batches, bpe, decontamination, licenses, quality, queries
 
 ITEMS = [
     (1, SENTENCE), (2, "ONE, two!"), (3, "é" * 150), (4, None), (5, "..."), (6, " ".join(PASSAGE.split()[20:50])),
@@ -338,3 +338,31 @@ def test_lines_of_mixed_documents():
     labels = np.array([label for _, _, label in rest])
     assert ((model.score(lines) >= 0.5) == labels).mean() > 0.95
     assert model.steps[0, 1] > -6 and model.steps[1, 0] > -6  # a change of label is rare, not impossible
+
+
+def test_remembered_parts_change_generations(monkeypatch):
+    """Ids are the same whether parts are known, move on from the older generation or are encoded again."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 3 * bpe.ENTRY_BYTES)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coder = bpe._Coder(bpe.tokenizer_json(path, public_tokenizers.PATTERN))
+    table = bpe.byte_table(path)
+    texts = ["one two three four five six", "two two one", "six seven eight nine ten one", "x" * 400 + " one", ""] * 3
+    seen = {}
+    for text in texts:
+        ids, rows = bpe._encode(coder, pa.array([text]))
+        assert b"".join(table[i] for i in ids.tolist()) == text.encode() and rows.tolist() == [0, len(ids)]
+        assert seen.setdefault(text, ids.tolist()) == ids.tolist()
+        assert coder.held <= bpe.REMEMBERED + 2 * bpe.REMEMBERED_BYTES + 2 * bpe.ENTRY_BYTES
+        assert all(len(key) <= bpe.REMEMBERED_BYTES for key in (*coder.seen, *coder.older))
+    assert coder.older
+
+
+def test_powers_for_long_sequences_are_not_kept(monkeypatch):
+    monkeypatch.setattr(batches, "_KEPT_POWERS", 100)
+    monkeypatch.setattr(batches, "_powers", {base: np.ones(1, np.uint64) for base in batches._powers})
+    for n in (3, 250, 99, 101, 100, 0):
+        for other, base in ((False, batches._BASE), (True, batches._OTHER_BASE)):
+            up, down = batches.powers(n, other)
+            assert up.tolist() == [pow(int(base), i, 2**64) for i in range(n + 1)]
+            assert ((up * down) == 1).all() and len(down) == n + 1
+        assert max(map(len, batches._powers.values())) <= 100
