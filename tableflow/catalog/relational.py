@@ -366,18 +366,28 @@ def agg_skip_nulls(spark, folder):
 
 
 @query(
-    """select l_returnflag, sum(l_orderkey * 1000000000000 + 1)::decimal(38, 0) as key_total, sum(l_linenumber)::decimal(38, 0) as lines,
-    sum(cast(l_quantity as decimal(10, 2))) as quantity from lineitem group by 1"""
+    """select l_returnflag, min(l_shipdate)::date as first_day, max(l_shipdate) as last_time, min(s_name) as first_name,
+    max(l_orderkey + 9007199254740992) as top_key, sum(l_orderkey * 1000000000000 + 1)::decimal(38, 0) as key_total,
+    sum(l_linenumber)::decimal(38, 0) as lines, sum(cast(l_quantity as decimal(10, 2))) as quantity
+    from lineitem join supplier on l_suppkey = s_suppkey group by 1"""
 )
 def agg_skip_types(spark, folder):
-    """SQL's sums: whole numbers never overflow, here beyond 64 bits; decimals stay exact."""
-    rows = table(spark, folder, "lineitem").select(
+    """SQL's aggregates in the column's own type: dates, times, text, longs above 2^53, decimals; sums of whole numbers, here beyond 64 bits, never overflow."""
+    lineitem, supplier = table(spark, folder, "lineitem"), table(spark, folder, "supplier").select("s_suppkey", "s_name")
+    rows = joins.lookup_join(lineitem, supplier, {"l_suppkey": "s_suppkey"}).select(
         "l_returnflag",
+        F.col("l_shipdate").cast("date").alias("day"),
+        F.col("l_shipdate").alias("time"),
+        "s_name",
+        (F.col("l_orderkey") + 9007199254740992).alias("large"),
         (F.col("l_orderkey") * 1000000000000 + 1).alias("huge"),
         "l_linenumber",
         F.col("l_quantity").cast("decimal(10,2)").alias("exact"),
     )
-    wanted = [("huge", "SUM", "key_total"), ("l_linenumber", "SUM", "lines"), ("exact", "SUM", "quantity")]
+    wanted = [
+        ("day", "MIN", "first_day"), ("time", "MAX", "last_time"), ("s_name", "MIN", "first_name"), ("large", "MAX", "top_key"),
+        ("huge", "SUM", "key_total"), ("l_linenumber", "SUM", "lines"), ("exact", "SUM", "quantity"),
+    ]
     found = aggregates.aggregate(rows, ["l_returnflag"], wanted, nulls="skip")
     return found.withColumn("quantity", F.col("quantity").cast("decimal(38,2)"))
 

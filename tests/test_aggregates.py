@@ -2,6 +2,7 @@ import datetime
 
 import pytest
 
+from tableflow import catalog
 from tableflow.operators.aggregates import Agg, aggregate, distinct_keys
 from tableflow.operators import rollups
 from pyspark.sql import functions as F
@@ -116,3 +117,21 @@ def test_a_sum_of_longs_does_not_overflow(spark, rows, ansi):
         assert sorted((r.k, r.s and int(r.s), r.m) for r in found.collect()) == [("a", 2**64 - 2, 2**63 - 1), ("b", None, None), ("c", -(2**63) - 1, -1)]
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_extremes_of_text_do_not_sort(spark, rows):
+    data = [("a", "x", b"\x02"), ("a", "é", b"\x01"), ("a", None, None), ("b", None, None), (None, "", b"")]
+    df = rows(data, "k string, v string, b binary")
+    wanted = [("v", "MIN", "low"), ("v", "MAX", "high"), ("b", "MIN", "least"), ("v", "COUNT", "n")]
+    found = aggregate(df, ["k"], wanted, nulls="skip")
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()
+    least = {r.k: (r.low, r.high, r.least and bytes(r.least), r.n) for r in found.collect()}
+    assert least == {"a": ("x", "é", b"\x01", 2), "b": (None, None, None, 0), None: ("", "", b"", 1)}
+    assert [tuple(r) for r in aggregate(df, [], wanted[:2], nulls="skip").collect()] == [("", "é")]
+
+
+def test_all_types_are_aggregated_in_one_query(spark):
+    """Extremes and sums over lines with their suppliers, as the query began."""
+    found = catalog.queries()["agg_skip_types"](spark, "/root/testdata/sf0.001")
+    assert found.columns == ["l_returnflag", "first_day", "last_time", "first_name", "top_key", "key_total", "lines", "quantity"]
+    assert [d for _, d in found.dtypes[1:]] == ["date", "timestamp_ntz", "string", "bigint", "decimal(38,0)", "decimal(38,0)", "decimal(38,2)"]
