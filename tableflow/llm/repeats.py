@@ -5,7 +5,8 @@ first of equal ones, so equal windows have equal anchors at equal places. A run
 the text that they span, is a unit. The steps:
 
 1. Count anchors in a table of fixed size (16 MB), over all documents.
-2. Deal (anchor, row) pairs by anchor and keep anchors that occur more than once.
+2. Deal (anchor, row) pairs by anchor and keep anchors that occur more than once. Where keys decide nothing the pairs have a
+   digest of their unit: equal units go as a whole, and only one of them sends its bytes, if the anchor has other units.
 3. Bring each row's kept anchors to its text, and deal the units of these anchors by anchor to shards. A
    shard compares the units of each anchor (this is the operator's own part). A task sends the bytes of equal units once, told
    by a cryptographic digest (64 bits of BLAKE2, looked up within one anchor and length); their other places are a few numbers.
@@ -40,8 +41,10 @@ PART_BYTES = 4 << 20  # text for one shard
 PRESSED_SLICE = SLICE_BYTES // 3
 _DONE = 1 << 40  # parts from here on hold results
 COMMON_BITS = 22  # at most so many anchors are common (32 MB); beyond that HOT grows with the corpus
+HELD_BYTES = 8 << 20  # units that a task holds before it deals them to parts
 CHUNK = 1 << 14  # windows whose bytes are held at once
 SENT = 1 << 19  # digests of sent units that a task remembers
+_GOES, _SENT = 1, 2  # what becomes of a unit: it goes as a whole, it is sent and compared
 
 
 @dataclass
@@ -55,6 +58,7 @@ class Items:
     window: Callable[[np.ndarray], np.ndarray]  # hashes of the windows at these items
     content: Callable[[np.ndarray, np.ndarray], tuple[bytes, np.ndarray]]  # bytes of item ranges, and their lengths
     plain: Callable[[], tuple[np.ndarray, np.ndarray]]  # bytes of all items, equal for equal items, and where each begins, items + 1 entries
+    lies: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]  # the slice's bytes, and where item ranges begin and end there
 
 
 @dataclass
@@ -288,6 +292,12 @@ def _digests(data: bytes, lengths: np.ndarray, token: np.ndarray, sent: set[int]
     return np.array(digest, np.int64), np.array(fresh, bool)
 
 
+def _digests_at(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A digest of each byte range."""
+    view = memoryview(buffer)
+    return np.frombuffer(b"".join(hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), end.tolist())), "<i8")
+
+
 def _whole_units(columns: list[np.ndarray], content: bytes) -> tuple[list[np.ndarray], bytes]:
     """The units of a shard with all their bytes: those sent without get them from a unit of the same anchor and digest."""
     token, row, owner, offset, lead, digest, told = columns
@@ -304,52 +314,85 @@ def _whole_units(columns: list[np.ndarray], content: bytes) -> tuple[list[np.nda
     return [token, row, owner, offset, lead, sizes, digest], b"".join([content[a:b] for a, b in zip(begin, stop)])
 
 
-def _repeated(rows: DataFrame, items, length: int, gram: int, shared, parts: int) -> DataFrame:
-    """``row`` and the packed hashes of its anchors that occur more than once (or may do so, if hot)."""
+def _names(token: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    return mix(token ^ mix(digest.view(np.uint64)))
+
+
+def _fates(token: np.ndarray, row: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, rows and fates of the units of some anchors."""
+    order = np.lexsort((row, digest, token))
+    token, row, digest = token[order], row[order], digest[order]
+    anchor, unit = np.ones(len(order), bool), np.ones(len(order), bool)
+    anchor[1:] = token[1:] != token[:-1]
+    unit[1:] = anchor[1:] | (digest[1:] != digest[:-1])
+    of_anchor, of_unit = np.cumsum(anchor) - 1, np.cumsum(unit) - 1
+    several = np.bincount(of_unit)[of_unit] > 1
+    differ = np.bincount(of_anchor[unit])[of_anchor] > 1
+    first = row == row[np.flatnonzero(unit)][of_unit]
+    return _names(token, digest), row, (several * _GOES | (differ & first) * _SENT).astype(np.uint8)
+
+
+def _repeated(rows: DataFrame, items, length: int, gram: int, shared, parts: int, whole: bool = False) -> DataFrame:
+    """``row``, the packed hashes of its anchors that occur more than once (or may do so, if hot), and for each of them a byte: ``_SENT``
+    if its units are to be compared. With ``whole``, units of anchors that are not hot are named one by one, and ``_GOES`` is for those
+    that occur more than once; one of equal ones is to be compared, if the anchor has other units."""
 
     def pairs(batches):
         several, common, _ = shared.value
         for batch in batches:
             for first, n in slices(batch.column(0)):
-                found = anchors_of(items(batch.column(0).slice(first, n)), length, gram)
-                row = batch.column(2).slice(first, n).to_numpy(zero_copy_only=False)[found.rows]
-                keep = several[slot(found.hashes, several)]
-                token, row = found.hashes[keep], row[keep]
+                own = items(batch.column(0).slice(first, n))
+                found = anchors_of(own, length, gram)
+                found = _only(found, several[slot(found.hashes, several)])
+                token, row = found.hashes, batch.column(2).slice(first, n).to_numpy(zero_copy_only=False)[found.rows]
                 often = among(token, common)
+                columns = [token, row]
+                if whole:
+                    digest = np.zeros(len(token), np.int64)
+                    digest[~often] = _digests_at(*own.lies(found.begin[~often], found.end[~often] + length))
+                    columns.append(digest)
                 part = (np.where(often, mix(token ^ mix(row.view(np.uint64))), mix(token)) % np.uint64(parts)).astype(np.int64)
                 part[often] = -1 - part[often]
                 order = np.argsort(part, kind="stable")
                 if len(order):
-                    yield _pack(part[order], [token[order], row[order]])
+                    yield _pack(part[order], [x[order] for x in columns])
 
     def many(group: pa.Table) -> pa.Table:
         token, row = _column(group, "a", np.uint64), _column(group, "b", np.int64)
+        fate = np.full(len(token), _SENT, np.uint8)
         if group["part"][0].as_py() >= 0:
             _, which, count = np.unique(token, return_inverse=True, return_counts=True)
-            token, row = token[count[which] > 1], row[count[which] > 1]
+            keep = count[which] > 1
+            token, row = token[keep], row[keep]
+            fate = fate[keep]
+            if whole:
+                token, row, fate = _fates(token, row, _column(group, "c", np.int64)[keep])
         # Each pair once: equal rows share a hash, and each of them gets this list.
         order = np.lexsort((token, row))
-        token, row = token[order], row[order]
+        token, row, fate = token[order], row[order], fate[order]
         new = np.ones(len(order), bool)
         new[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
-        token, row = token[new], row[new]
+        token, row, fate = token[new], row[new], fate[new]
         names, begin = np.unique(row, return_index=True)
-        return pa.table({"row": names, "anchors": binaries(token.tobytes(), np.append(begin, len(row)) * 8)})
+        edges = np.append(begin, len(row))
+        return pa.table({"row": names, "anchors": binaries(token.tobytes(), edges * 8), "fates": binaries(fate.tobytes(), edges)})
 
-    packed = rows.mapInArrow(pairs, _PACKED)
-    return packed.groupBy("part").applyInArrow(many, "row long, anchors binary").groupBy("row").agg(F.collect_list("anchors").alias("anchors"))
+    found = rows.mapInArrow(pairs, _PACKED).groupBy("part").applyInArrow(many, "row long, anchors binary, fates binary")
+    lists = found.groupBy("row").agg(F.collect_list(F.struct("anchors", "fates")).alias("lists"))
+    return lists.select("row", F.col("lists.anchors").alias("anchors"), F.col("lists.fates").alias("fates"))
 
 
 def repeated_ranges(
     documents: DataFrame, key: str, text: str, items: Callable[[pa.Array], Items], length: int, gram: int,
-    shard: Callable, decide: Callable, bits: int = TABLE_BITS, hot: int = HOT, part_bytes: int = PART_BYTES,
+    shard: Callable, decide: Callable, bits: int = TABLE_BITS, hot: int = HOT, part_bytes: int = PART_BYTES, whole: bool = False,
 ) -> DataFrame:
     """``row`` and ``ranges``: packed (start, end) item ranges to remove, for the rows that have any.
 
     ``shard(units, contents)`` gets one shard's units as columns sorted by anchor (anchor, row, key, offset, place of the anchor, bytes,
     digest of the bytes), and returns rows of (row, start, end).
     ``decide(keys, least, copies)`` tells which of the windows of common anchors are to be removed: ``least`` is the
-    least key of a row with the same window, ``copies`` how often it occurs.
+    least key of a row with the same window, ``copies`` how often it occurs. ``whole``: all of several equal units go, whatever
+    their keys.
     """
     source = _rows(documents, key, text)
     table = _table(source, lambda column: anchors_of(items(column), length, gram).hashes, bits)
@@ -365,11 +408,12 @@ def repeated_ranges(
     listed = documents.sparkSession.sparkContext.broadcast(common)
     again = _table(source, common_windows, bits) > 1 if len(common) else None
     shared = documents.sparkSession.sparkContext.broadcast((table > 1, common, again))
-    kept = written(_repeated(source, items, length, gram, shared, parts), "anchors")
+    kept = written(_repeated(source, items, length, gram, shared, parts, whole), "anchors")
 
     def units(batches):
         _, common, again = shared.value
         sent: set[int] = set()
+        held, size = [], 0
         for batch in batches:
             for first, n in slices(batch.column(0), PRESSED_SLICE):
                 part = batch.slice(first, n)
@@ -378,20 +422,31 @@ def repeated_ranges(
                 lists = part.column(3).to_pylist()
                 sizes = [sum(map(len, x)) // 8 for x in lists]
                 wanted = np.frombuffer(b"".join(b for x in lists for b in x), np.uint64)
-                pairs = np.sort(mix(wanted ^ mix(np.repeat(np.arange(n), sizes).astype(np.uint64))))
-                mine = mix(found.hashes ^ mix(found.rows.astype(np.uint64)))
+                fates = np.frombuffer(b"".join(b for x in part.column(4).to_pylist() for b in x), np.uint8)
+                pairs = mix(wanted ^ mix(np.repeat(np.arange(n), sizes).astype(np.uint64)))
+                order = np.argsort(pairs)
+                pairs, fates = pairs[order], fates[order]
+                name = found.hashes.copy()
+                if whole:
+                    cold = np.flatnonzero(~among(name, common))
+                    name[cold] = _names(name[cold], _digests_at(*own.lies(found.begin[cold], found.end[cold] + length)))
+                mine = mix(name ^ mix(found.rows.astype(np.uint64)))
                 at = np.minimum(np.searchsorted(pairs, mine), max(0, len(pairs) - 1))
                 keep = pairs[at] == mine if len(pairs) else np.zeros(len(mine), bool)
-                found = _only(found, keep)
+                fate = np.zeros(len(mine), np.uint8)
+                fate[keep] = fates[at[keep]]
+                done = np.flatnonzero(fate & _GOES)
+                if len(done):
+                    row = part.column(2).to_numpy(zero_copy_only=False)[found.rows[done]]
+                    base = own.first[found.rows[done]]
+                    yield _settled(row, found.begin[done] - base, found.end[done] - base + length)
+                found = _only(found, fate & _SENT > 0)
                 token, local, begin, end, place = found.hashes, found.rows, found.begin, found.end, found.place
                 row = part.column(2).to_numpy(zero_copy_only=False)[local]
                 owner = part.column(1).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)[local]
                 often = among(token, common)
                 cold = np.flatnonzero(~often)
-                deal = (mix(token[cold]) % np.uint64(parts)).astype(np.int64)
-                cold = cold[np.lexsort((token[cold], deal))]
                 if len(cold):
-                    deal = (mix(token[cold]) % np.uint64(parts)).astype(np.int64)
                     data, lengths = own.content(begin[cold], end[cold] + length)
                     offset = begin[cold] - own.first[local[cold]]
                     lead = place[cold] - begin[cold]
@@ -402,9 +457,32 @@ def repeated_ranges(
                     kept_bytes = b"".join([data[a:b] for a, b in zip((edge - lengths)[fresh].tolist(), edge[fresh].tolist())])
                     told = np.where(fresh, lengths, -lengths)
                     columns = [token[cold], row[cold], owner[cold], offset.astype(np.int32), lead.astype(np.int32), digest, told.astype(np.int32)]
-                    yield _pack(deal, columns, (kept_bytes, np.where(fresh, lengths, 0)))
+                    held.append((columns, kept_bytes))
+                    size += len(kept_bytes) + 40 * len(cold)
+                    if size > HELD_BYTES:
+                        yield _dealt(held)
+                        held, size = [], 0
                 if often.any():
                     yield from _hot(own, row[often], owner[often], _only(found, often), again)
+        if held:
+            yield _dealt(held)
+
+    def _dealt(held):
+        """Units of several slices by part: the more of them in a row, the better they are compressed."""
+        columns = [np.concatenate(x) for x in zip(*(columns for columns, _ in held))]
+        data, told = b"".join(data for _, data in held), columns[-1].astype(np.int64)
+        deal = (mix(columns[0]) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((columns[0], deal))
+        stop = np.cumsum(np.maximum(told, 0))
+        begin = stop - np.maximum(told, 0)
+        contents = b"".join([data[a:b] for a, b in zip(begin[order].tolist(), stop[order].tolist())])
+        return _pack(deal[order], [x[order] for x in columns], (contents, np.maximum(told[order], 0)))
+
+    def _settled(row, start, end):
+        names, first, last = _ranges(row, start, end)
+        deal = _DONE + (mix(names.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(deal, kind="stable")
+        return _pack(deal[by], [names[by], first[by], last[by]])
 
     def _hot(own, row, owner, found, again):
         start, run = _windows_of(found)
@@ -421,10 +499,7 @@ def repeated_ranges(
         np.minimum.at(least, which, owner)
         sure = decide(owner, least[which], copies[which])
         if sure.any():
-            names, first, last = _ranges(row[sure], offset[sure], offset[sure] + length)
-            deal = _DONE + (mix(names.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(deal, kind="stable")
-            yield _pack(deal[by], [names[by], first[by], last[by]])
+            yield _settled(row[sure], offset[sure], offset[sure] + length)
         # Of each window, one occurrence goes on, or all in the row of the least key.
         order = np.lexsort((owner, which))
         head = np.ones(len(order), bool)
@@ -460,7 +535,7 @@ def repeated_ranges(
         data = np.stack([start, end], 1).astype(np.int64).tobytes() if len(start) else b""
         return pa.table({"row": names, "ranges": binaries(data, np.append(begin, len(start)) * 16)})
 
-    joined = _pressed(source, "text").join(kept, "row").select("text", "key", "row", "anchors")
+    joined = _pressed(source, "text").join(kept, "row").select("text", "key", "row", "anchors", "fates")
     found = joined.mapInArrow(units, _PACKED).groupBy("part").applyInArrow(compare, "row long, ranges binary")
     return written(found.groupBy("row").agg(F.collect_list("ranges").alias("ranges")), "ranges")
 

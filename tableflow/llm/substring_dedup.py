@@ -103,7 +103,10 @@ def items(column: pa.Array) -> Items:
         data[inside] = gather(buffer, words.starts, words.ends)[0]
         return data, edges
 
-    return Items(len(words), words.rows, words.first, mix(hashes(at, at + GRAM)), lambda s: mix(hashes(s, s + LENGTH)), content, plain)
+    def lies(begin, end):
+        return buffer, words.starts[begin], words.ends[end - 1]
+
+    return Items(len(words), words.rows, words.first, mix(hashes(at, at + GRAM)), lambda s: mix(hashes(s, s + LENGTH)), content, plain, lies)
 
 
 def spans(statistics: list[int], length: int) -> list[tuple[int, int]]:

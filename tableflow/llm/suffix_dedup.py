@@ -36,7 +36,8 @@ def items_of(gram: int):
             data, lengths = gather(buffer, begin, end)
             return data.tobytes(), lengths
 
-        return Items(len(buffer), rows, offsets, grams, _windows(hashes), content, lambda: (buffer, np.arange(len(buffer) + 1)))
+        plain, lies = lambda: (buffer, np.arange(len(buffer) + 1)), lambda begin, end: (buffer, begin, end)
+        return Items(len(buffer), rows, offsets, grams, _windows(hashes), content, plain, lies)
 
     return items
 
@@ -205,7 +206,7 @@ def remove_repeats(
     A byte goes if a ``length``-byte string that covers it also starts anywhere else, in the same row or another. Equal rows are
     each other's repeats. Null text: no bytes. The key is an integer; rows without key take part like others.
     """
-    ranges = repeated_ranges(documents, key, text, items_of(gram), length, gram, shard_of(length), _repeat, **options)
+    ranges = repeated_ranges(documents, key, text, items_of(gram), length, gram, shard_of(length), _repeat, whole=True, **options)
     marked = with_ranges(documents, key, text, ranges, keep)
 
     def run(columns):

@@ -215,3 +215,20 @@ def test_cuts_at_whole_characters(spark):
         text = dict(rows)[row.doc_id]
         assert (row.text is None) == (text is None) and "�" not in (row.text or "")
         assert (row.text or "") == "" or set(row.text) <= set(text)
+
+
+def test_equal_units_are_settled_without_their_bytes(spark, monkeypatch):
+    """No bytes travel for anchors whose units are all equal, and a range that only one of them lies in stays."""
+
+    def none(*_):
+        raise AssertionError("bytes of a unit are sent")
+
+    rows = [(i, PASSAGE) for i in range(40)] + [(40, "short"), (41, None), (None, PASSAGE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    with monkeypatch.context() as patch:
+        patch.setattr(repeats, "_digests", none)
+        same(suffix_dedup.remove_repeats(df, "doc_id", "text", ["doc_id"]).select(columns).collect(), anywhere(rows))
+    rows += [(50 + i, f"own{i} " * (i % 7) + PASSAGE[i:] + f" end{i % 4}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    same(suffix_dedup.remove_repeats(df, "doc_id", "text", ["doc_id"]).select(columns).collect(), anywhere(rows))
