@@ -4,7 +4,8 @@ A window is a fixed number of consecutive items (words or bytes). Its anchor is
 first of equal ones, so equal windows have equal anchors at equal places. A run of windows with one anchor, together with
 the text that they span, is a unit. The steps:
 
-1. Count anchors in a table of fixed size (16 MB), over all documents.
+1. Count anchors in a table of fixed size (16 MB), over all documents; where keys decide nothing, in 32 times as many slots, of
+   which the driver gets a bit (more than one) and the few that reach ``hot``.
 2. Deal (anchor, row) pairs by anchor and keep anchors that occur more than once. Where keys decide nothing the pairs have a
    digest of their unit: equal units go as a whole, and only one of them sends its bytes, if the anchor has other units.
 3. Bring each row's kept anchors to its text, and deal the units of these anchors by anchor to shards. A
@@ -36,6 +37,7 @@ from tableflow.llm.batches import SLICE_BYTES, binaries, extend, mix, slices
 from tableflow.llm.shared import written
 
 TABLE_BITS = 22
+SLOT_BITS = 27  # 16 MB as a bitmap
 HOT = 512
 PART_BYTES = 4 << 20  # text for one shard
 PRESSED_SLICE = SLICE_BYTES // 3
@@ -44,6 +46,7 @@ COMMON_BITS = 22  # at most so many anchors are common (32 MB); beyond that HOT
 HELD_BYTES = 8 << 20  # units that a task holds before it deals them to parts
 CHUNK = 1 << 14  # windows whose bytes are held at once
 SENT = 1 << 19  # digests of sent units that a task remembers
+COUNTED = 1 << 20  # hashes that a task holds before it sends their slots
 _GOES, _SENT = 1, 2  # what becomes of a unit: it goes as a whole, it is sent and compared
 
 
@@ -153,9 +156,104 @@ def _table(rows: DataFrame, found: Callable[[pa.Array], np.ndarray], bits: int)
     return table
 
 
-def slot(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+class Slots:
+    """Some of a number of slots, a bit for each of them."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
+
+    @classmethod
+    def of(cls, chosen: np.ndarray, count: int) -> Slots:
+        packed = np.zeros(count // 8, np.uint8)
+        np.bitwise_or.at(packed, chosen >> 3, np.uint8(1) << (chosen & 7).astype(np.uint8))
+        return cls(packed)
+
+    def __len__(self) -> int:
+        return 8 * len(self.packed)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    def any(self) -> bool:
+        return bool(self.packed.any())
+
+
+def _slots(rows: DataFrame, found: Callable[[pa.Array], np.ndarray], bits: int, hot: int) -> tuple[Slots, np.ndarray, np.ndarray, int]:
+    """The slots that several of the hashes which ``found`` has of each slice of texts fall into, those that ``hot`` of them do, how many
+    those have, and the number of all hashes. A task sends slots as steps to the next one, byte by byte: hardly more than a byte each."""
+    count = 1 << bits
+    width = max(8, count >> 6)
+
+    def planes(values):
+        return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+    def values(data):
+        return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+    def sent(held):
+        at, times = np.unique(np.concatenate(held), return_counts=True)
+        names, begin = np.unique(at // width, return_index=True)
+        edges, codec = np.append(begin, len(at)).tolist(), pa.Codec("zstd")
+        data = [
+            codec.compress(planes(np.diff(at[a:b], prepend=name * width)) + planes(times[a:b]), asbytes=True)
+            for name, a, b in zip(names.tolist(), edges, edges[1:])
+        ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.int32()), pa.array(np.diff(edges), pa.int64()), pa.array(data, pa.binary())], names=["slice", "n", "data"]
+        )
+
+    def counted(batches):
+        held, size = [], 0
+        for batch in batches:
+            for first, n in slices(batch.column(0)):
+                held.append(_slot(found(batch.column(0).slice(first, n)), bits))
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield sent(held)
+                    held, size = [], 0
+        if size:
+            yield sent(held)
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        totals: dict[int, int] = {}
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for number, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                data = codec.decompress(data, 8 * n, asbytes=True)
+                at, times = np.cumsum(values(data[: 4 * n]), dtype=np.int64), values(data[4 * n :]).astype(np.int64)
+                part = sums.setdefault(number, np.zeros(width, np.uint32))
+                part[at] = np.minimum(part[at] + times, 2**32 - 1)
+                totals[number] = totals.get(number, 0) + int(times.sum())
+        full = {number: np.flatnonzero(part >= hot) for number, part in sums.items()}
+        columns = [
+            pa.array(list(sums), pa.int32()),
+            pa.array([codec.compress(np.packbits(part > 1, bitorder="little").tobytes(), asbytes=True) for part in sums.values()], pa.binary()),
+            pa.array([(full[number] + number * width).tobytes() for number in sums], pa.binary()),
+            pa.array([part[full[number]].astype(np.int64).tobytes() for number, part in sums.items()], pa.binary()),
+            pa.array([totals[number] for number in sums], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["slice", "several", "hot", "times", "total"])
+
+    packed, full, often, total = np.zeros(count // 8, np.uint8), [], [], 0
+    sums = rows.select("text").mapInArrow(counted, "slice int, n long, data binary").repartition(16, "slice")
+    for number, several, hots, times, n in sums.mapInArrow(add, "slice int, several binary, hot binary, times binary, total long").collect():
+        several = pa.Codec("zstd").decompress(several, width // 8, asbytes=True)
+        packed[number * width // 8 : (number + 1) * width // 8] = np.frombuffer(several, np.uint8)
+        full.append(np.frombuffer(hots, np.int64))
+        often.append(np.frombuffer(times, np.int64))
+        total += n
+    none = [np.zeros(0, np.int64)]
+    return Slots(packed), np.concatenate(none + full), np.concatenate(none + often), total
+
+
+def slot(hashes: np.ndarray, table: np.ndarray | Slots) -> np.ndarray:
+    return _slot(hashes, int(np.log2(len(table))))
+
+
+def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
     # Mixed again: anchors are least hashes, so their own upper bits would leave most slots empty.
-    return (mix(hashes) >> np.uint64(64 - int(np.log2(len(table))))).astype(np.int64)
+    return (mix(hashes) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def among(hashes: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -165,11 +263,13 @@ def among(hashes: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)] == hashes
 
 
-def common_anchors(rows: DataFrame, items, length: int, gram: int, table: np.ndarray, parts: int, hot: int) -> np.ndarray:
-    """Ascending hashes of the anchors that occur ``hot`` times: counted each, as a slot of the table holds more of them the larger the corpus."""
-    if not (table >= hot).any():
+def common_anchors(rows: DataFrame, items, length: int, gram: int, table: np.ndarray | Slots, parts: int, hot: int) -> np.ndarray:
+    """Ascending hashes of the anchors that occur ``hot`` times: counted each, as a slot of the table (or of those given) holds more of them
+    the larger the corpus."""
+    reached = table if isinstance(table, Slots) else table >= hot
+    if not reached.any():
         return np.zeros(0, np.uint64)
-    shared = rows.sparkSession.sparkContext.broadcast(table >= hot)
+    shared = rows.sparkSession.sparkContext.broadcast(reached)
 
     def count(batches):
         def packed():
@@ -395,10 +495,18 @@ def repeated_ranges(
     their keys.
     """
     source = _rows(documents, key, text)
-    table = _table(source, lambda column: anchors_of(items(column), length, gram).hashes, bits)
+    hashes = lambda column: anchors_of(items(column), length, gram).hashes
     total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(64, total // part_bytes)
-    common = common_anchors(source, items, length, gram, table, parts, max(hot, 2, -(-int(table.sum(dtype=np.int64)) >> COMMON_BITS)))
+    if whole:
+        several, reached, times, n = _slots(source, hashes, SLOT_BITS, max(hot, 2))
+        hot = max(hot, 2, -(-n >> COMMON_BITS))
+        reached = Slots.of(reached[times >= hot], len(several))
+    else:
+        reached = _table(source, hashes, bits)
+        several = reached > 1
+        hot = max(hot, 2, -(-int(reached.sum(dtype=np.int64)) >> COMMON_BITS))
+    common = common_anchors(source, items, length, gram, reached, parts, hot)
 
     def common_windows(column):
         own = items(column)
@@ -407,7 +515,7 @@ def repeated_ranges(
 
     listed = documents.sparkSession.sparkContext.broadcast(common)
     again = _table(source, common_windows, bits) > 1 if len(common) else None
-    shared = documents.sparkSession.sparkContext.broadcast((table > 1, common, again))
+    shared = documents.sparkSession.sparkContext.broadcast((several, common, again))
     kept = written(_repeated(source, items, length, gram, shared, parts, whole), "anchors")
 
     def units(batches):

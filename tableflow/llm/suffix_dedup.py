@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tableflow.llm.batches import byte_hashes, extend, mix, utf8
-from tableflow.llm.repeats import PRESSED_SLICE, Items, gather, repeated_ranges, unpack, unpressed, with_ranges
+from tableflow.llm.repeats import PART_BYTES, PRESSED_SLICE, Items, gather, repeated_ranges, unpack, unpressed, with_ranges
 
 LENGTH = 200
 GRAM = 64
+HOT = PART_BYTES // 512  # units have at most 336 bytes, and equal ones meet once: those of one anchor stay below a shard's text
 
 
 def items_of(gram: int):
@@ -196,7 +197,7 @@ def _to_characters(buffer: np.ndarray, offsets: np.ndarray, gone: np.ndarray) ->
 
 def remove_repeats(
     documents: DataFrame, key: str, text: str, keep: list[str], length: int = LENGTH, gram: int = GRAM, with_text: bool = True,
-    whole_characters: bool = False, **options,
+    whole_characters: bool = False, hot: int = HOT, **options,
 ) -> DataFrame:
     """``keep`` of each row, with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes as text; what is left of a cut
     character becomes U+FFFD; null for a null text, and without ``with_text``) and ``kept_sha256`` (of the remaining bytes).
@@ -206,7 +207,7 @@ def remove_repeats(
     A byte goes if a ``length``-byte string that covers it also starts anywhere else, in the same row or another. Equal rows are
     each other's repeats. Null text: no bytes. The key is an integer; rows without key take part like others.
     """
-    ranges = repeated_ranges(documents, key, text, items_of(gram), length, gram, shard_of(length), _repeat, whole=True, **options)
+    ranges = repeated_ranges(documents, key, text, items_of(gram), length, gram, shard_of(length), _repeat, hot=hot, whole=True, **options)
     marked = with_ranges(documents, key, text, ranges, keep)
 
     def run(columns):

@@ -232,3 +232,34 @@ def test_equal_units_are_settled_without_their_bytes(spark, monkeypatch):
     rows += [(50 + i, f"own{i} " * (i % 7) + PASSAGE[i:] + f" end{i % 4}") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     same(suffix_dedup.remove_repeats(df, "doc_id", "text", ["doc_id"]).select(columns).collect(), anywhere(rows))
+
+
+def test_slots_are_counted(spark, monkeypatch):
+    """As bits, those that reach a number by their counts, however many tasks and sends the hashes come in."""
+    monkeypatch.setattr(repeats, "COUNTED", 200)
+    pick = random.Random(4)
+    texts = [" ".join(f"w{pick.randrange(2)}" for _ in range(300)) for _ in range(30)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    hashes = lambda column: repeats.anchors_of(substring_dedup.items(column), 13, 5).hashes
+    for bits in (9, 20):
+        table = np.bincount(repeats._slot(hashes(rows.toArrow()["text"].combine_chunks()), bits), minlength=1 << bits)
+        several, full, times, total = repeats._slots(rows, hashes, bits, 20)
+        assert total == table.sum() > 0 and len(several) == 1 << bits
+        assert several[np.arange(1 << bits)].tolist() == (table > 1).tolist()
+        assert dict(zip(full.tolist(), times.tolist())) == {i: table[i] for i in np.flatnonzero(table >= 20).tolist()} != {}
+        reached = repeats.Slots.of(full, 1 << bits)
+        assert np.flatnonzero(reached[np.arange(1 << bits)]).tolist() == sorted(full.tolist()) and reached.any()
+    assert not repeats.Slots.of(np.zeros(0, np.int64), 512).any()
+
+
+def test_units_that_fit_a_shard_do_not_travel_as_windows(spark, monkeypatch):
+    """A passage in 600 texts: of each text's units bytes are sent once, not those of each window in them."""
+
+    def none(*_):
+        raise AssertionError("windows are sent one by one")
+
+    monkeypatch.setattr(repeats, "alike", none)
+    rows = [(i, f"{i * 7919} own{i} " * (1 + i % 3) + PASSAGE + f" end{i * 31}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = suffix_dedup.remove_repeats(df, "doc_id", "text", ["doc_id"])
+    same(found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), anywhere(rows))
