@@ -357,6 +357,53 @@ def test_remembered_parts_change_generations(monkeypatch):
     assert coder.older
 
 
+class Counting:
+    """A tokenizer that counts the strings it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.strings = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.strings += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_parts_are_encoded_side_by_side_and_once():
+    """A worker remembers 250,000 distinct words, and the tokenizer gets many of them in one string."""
+    coder = bpe._Coder(bpe.tokenizer_json(PATH, public_tokenizers.PATTERN))
+    coder.tokenizer = Counting(coder.tokenizer)
+    letters = "etaoinshrdlu"
+    words = ["".join(letters[i // 12**k % 12] for k in range(5)) + letters[i % 7] for i in range(248_832)]
+    texts = [" ".join(words[i : i + 5000]) for i in range(0, len(words), 5000)]
+    first = [bpe._encode(coder, pa.array([t])) for t in texts]
+    assert coder.tokenizer.strings < len(words) / 40
+    for i in (0, 20, -1):
+        assert first[i][0].tolist() == REFERENCE.encode_ordinary(texts[i])
+    coder.tokenizer.strings = 0
+    for (ids, rows), text in zip(first, texts):
+        again = bpe._encode(coder, pa.array([text]))
+        assert np.array_equal(again[0], ids) and np.array_equal(again[1], rows)
+    assert coder.tokenizer.strings <= 2 * len(texts)
+
+
+def test_remembered_parts_whose_hashes_are_all_equal(monkeypatch):
+    """One slice after the other: a remembered part of the same hash and length is no match."""
+    monkeypatch.setattr(bpe, "byte_hashes", lambda buffer: lambda starts, ends: np.zeros(len(starts), np.uint64))
+    coder = bpe._Coder(bpe.tokenizer_json(PATH, public_tokenizers.PATTERN))
+    for text in ["a one two six", "a six two", "a two", "a ten one", "a one", ""] * 2:
+        assert bpe._encode(coder, pa.array([text]))[0].tolist() == REFERENCE.encode_ordinary(text)
+
+
+def test_parts_side_by_side_that_are_no_text():
+    """Bytes that are no characters are replaced, and the parts beside them keep their own ids."""
+    texts = [b"one two \xff\xfe three four", b" \xe6\xbc five\xc3 six", "漢字 é\u3000 ' s's\u0085 1".encode(), b"\xf0\x9f  \n x"]
+    coder = bpe._Coder(bpe.tokenizer_json(PATH, public_tokenizers.PATTERN))
+    for column in (texts, texts[::-1], [b" ".join(texts)]):
+        ids, rows = bpe._encode(coder, pa.array(column, pa.binary()))
+        for text, a, b in zip(column, rows[:-1], rows[1:]):
+            assert ids[a:b].tolist() == REFERENCE.encode_ordinary(text.decode("utf-8", "replace"))
+
+
 def test_powers_for_long_sequences_are_not_kept(monkeypatch):
     monkeypatch.setattr(batches, "_KEPT_POWERS", 100)
     monkeypatch.setattr(batches, "_powers", {base: np.ones(1, np.uint64) for base in batches._powers})
