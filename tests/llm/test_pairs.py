@@ -131,6 +131,42 @@ def test_bounds_stop_early_and_stay_exact():
         assert [f[1:] for f in found if f[0] == query] == [(i, scores[i]) for i in best]
 
 
+def test_scores_of_blocks_before_close_later_ones(monkeypatch):
+    """The k-th score is kept from block to block: of clustered candidates only a part is scored in full, and results stay exact."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    values = np.floor(256 * (centres[rng.integers(0, 40, 20000)] + 0.05 * rng.normal(size=(20000, 16)))).astype(np.int64)
+    ids, asked = rng.permutation(20000), np.arange(0, 20000, 100)
+    met, plain = [], topk.Best
+    monkeypatch.setattr(topk, "Best", lambda *a: met.append(plain(*a)) or met[-1])
+    found = topk.nearest(values, ids, values[asked], ids[asked], 5)
+    scores = values[asked] @ values.T
+    scores[np.arange(200), asked] = -(2**62)
+    for query in range(200):
+        best = sorted(range(20000), key=lambda i: (-scores[query, i], ids[i]))[:5]
+        assert [f[1:] for f in found if f[0] == query] == [(ids[i], scores[query, i]) for i in best]
+    assert sum(best.computed for best in met) < 200 * 20000 / 2
+
+
+def test_nearest_sends_no_pair_of_blocks(spark, monkeypatch):
+    """A query travels once per group of candidates, however many blocks that has, and a candidate once per strip of queries."""
+    rows = [(i, [math.sin(i * 7 + j) * (1e13 if i == 30 and j == 1 else 1) for j in range(3 + (i % 11 == 0))]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for setting, value in (("CANDIDATES", 16 * 16), ("QUERIES", 16 * 4), ("GROUPS", 3), ("GROUP", 16 * 300), ("ROWS", (40, 5)), ("FIRST", 10)):
+        monkeypatch.setattr(topk, setting, value)
+    found = topk.search(df, "vec_id", "embedding", F.col("vec_id") % 2 == 0, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan and "hashpartitioning(width" in plan and ", 8)" in plan
+    scaled = [[math.floor(256 * x) for x in v] for _, v in rows]
+    expected = []
+    for query in range(0, 1200, 2):
+        scores = [(-sum(a * b for a, b in zip(scaled[query], v)), i) for i, v in enumerate(scaled) if i != query and len(v) == len(scaled[query])]
+        expected += [(query, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:4], 1)]
+    same(found.collect(), expected)
+
+
 # --- archives ------------------------------------------------------------------------------------
 
 
